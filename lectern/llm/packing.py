@@ -35,7 +35,7 @@ from lectern.llm.shared import cut
 MODEL = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 2
-GROUP_PIECES = 1500
+GROUP_PIECES = 1000
 _loaded: dict[str, tuple] = {}
 
 
