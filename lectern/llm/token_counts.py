@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 150_000
 _MARK = "▁"
 _CUT = re.compile(r"(?<=[^ ▁]) ")
 _loaded: dict[str, tuple] = {}
