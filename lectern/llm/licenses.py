@@ -180,7 +180,7 @@ def _gate(low: Column) -> Column:
     named = F.lit(False)
     for key in ("gpl", "cc", "mpl", "spl", "apache", "cddl", "odc", "bsd", "apsl", "epl", "zpl", "upl", "osl", "afl", "ofl", "cpl", "npl", "qpl", "eupl", "edl", "fdl", "odbl", "pddl", "ms"):
         named = named | F.contains(low, F.lit(key))
-    return some | (named & low.rlike(rf"\b(?:[al]?gpl|gfdl|fdl|[menzu]pl|eupl|sspl|wtfpl|cpl|npl|qpl|apsl|cddl|o[sf]l|afl|edl|odbl|pddl|apache|boost|bsd|cc0|cc{_SEPARATOR}(?:zero|by)|ms{_SEPARATOR}[pr]l|odc{_SEPARATOR}by)"))
+    return some | (named & low.rlike(rf"(?<![0-9a-z])(?:[al]?gpl|gfdl|fdl|[menzu]pl|eupl|sspl|wtfpl|cpl|npl|qpl|apsl|cddl|o[sf]l|afl|edl|odbl|pddl|apache|boost|bsd|cc0|cc{_SEPARATOR}(?:zero|by)|ms{_SEPARATOR}[pr]l|odc{_SEPARATOR}by)(?![0-9a-z])"))
 
 
 def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
