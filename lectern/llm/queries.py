@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontaminate, packing, token_counts
+from lectern.llm import decontaminate, licenses, packing, secrets, token_counts, url_filters
 
 QUERIES = {
     "op1_token_counts": token_counts.registered,
     "op2_decontamination": decontaminate.registered,
+    "op3_license_scan": licenses.registered,
     "op5_packing": packing.registered,
+    "op6_url_filter": url_filters.registered,
+    "op7_secret_scan": secrets.registered,
 }
 ORACLES = {"op2_decontamination": decontaminate.ORACLE}
