@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontaminate, licenses, packing, secrets, token_counts, url_filters
+from lectern.llm import decontaminate, epsilon_grid, jaccard_join, langid, licenses, packing, secrets, token_counts, url_filters
 
 QUERIES = {
     "op1_token_counts": token_counts.registered,
     "op2_decontamination": decontaminate.registered,
     "op3_license_scan": licenses.registered,
+    "op4_jaccard_join": jaccard_join.registered,
     "op5_packing": packing.registered,
     "op6_url_filter": url_filters.registered,
     "op7_secret_scan": secrets.registered,
+    "op8_language_id": langid.registered,
+    "op9_embedding_near_dedup": epsilon_grid.registered,
 }
 ORACLES = {"op2_decontamination": decontaminate.ORACLE}
