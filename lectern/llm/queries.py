@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontaminate, epsilon_grid, jaccard_join, langid, licenses, packing, secrets, token_counts, url_filters
+from lectern.llm import decontaminate, epsilon_grid, html_extract, jaccard_join, langid, licenses, packing, secrets, token_counts, url_filters
 
 QUERIES = {
     "op1_token_counts": token_counts.registered,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_secret_scan": secrets.registered,
     "op8_language_id": langid.registered,
     "op9_embedding_near_dedup": epsilon_grid.registered,
+    "op10_html_extraction": html_extract.registered,
 }
 ORACLES = {"op2_decontamination": decontaminate.ORACLE}
