@@ -26,7 +26,8 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    pass
+    """Importing a module of queries registers them."""
+    from lectern.plans import evaluation_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
