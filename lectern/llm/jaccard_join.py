@@ -8,7 +8,7 @@
 3. Index. Keys held by one group are dropped by an aggregate that is combined before it moves; the rest of the index
    joins back (large partitions can be split). Groups are expanded into their classes.
 4. Verification in star rounds. In each list one class is the centre; the members that are not yet connected to it, of
-   fitting size and not compared before, are verified against it on whole sets. Crowds of near copies come together in
+   fitting size and signature and not compared before, are verified against it on whole sets. Crowds of near copies come together in
    these rounds. A last round compares every pair that still shares a key across components, so no link is lost that
    joins different components; links within one component add nothing to the result.
 
@@ -33,8 +33,11 @@ from lectern.llm.shared import cut
 SIZE = 5
 PERCENT = 75
 BUCKET_BITS = 18
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 BROADCAST_IDS = 1_000_000
+#: Bits of a set's signature; element hashes toggle bits, so that two signatures differ in no more bits than the sets
+#: differ in elements. Pairs whose signatures differ in too many bits are ruled out before any text moves.
+SIGNATURE = 1024
 _HEAVY = 8  # times the mean
 
 
@@ -95,13 +98,14 @@ def _sets(docs: DataFrame, classes: np.ndarray, size: int, percent: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
         for batch in batches:
-            n_all, prints, groups, keys, ends = [], [], [], [], [0]
+            n_all, prints, groups, keys, ends, signs = [], [], [], [], [0], []
             for a, b, data, offsets in slices(batch.column(1)):
                 h, bounds = _hashes(words_of(data, offsets, NONSPACE), size)
                 for d in range(b - a):
                     u = np.unique(h[bounds[d] : bounds[d + 1]])
                     n = len(u)
                     n_all.append(n)
+                    signs.append(np.packbits(np.bincount((mix(u) & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1))
                     if not n:
                         prints.append(0)
                         groups.append(0)
@@ -117,9 +121,20 @@ def _sets(docs: DataFrame, classes: np.ndarray, size: int, percent: int) -> Data
                     ends.append(ends[-1] + len(u))
             flat = np.concatenate(keys) if keys else np.empty(0, np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_all, pa.int32()), pa.array(prints, pa.int64()), pa.array(groups, pa.int64()), listed], names=["id", "n", "print", "grp", "keys"])
+            words = SIGNATURE // 64
+            sign = pa.ListArray.from_arrays(pa.array(np.arange(0, words * len(n_all) + 1, words), pa.int32()), pa.array(np.concatenate(signs).view(np.int64) if signs else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_all, pa.int32()), pa.array(prints, pa.int64()), pa.array(groups, pa.int64()), listed, sign], names=["id", "n", "print", "grp", "keys", "sign"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n int, print long, grp long, keys array<int>")
+    return docs.select("id", "text").mapInArrow(run, "id long, n int, print long, grp long, keys array<int>, sign array<long>")
+
+
+def _possible(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that their sizes and signatures do not rule out. signs: id, n, sign."""
+    one = signs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sign").alias("sa"))
+    two = signs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sign").alias("sb"))
+    differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SIGNATURE // 64)), F.lit(0))
+    held = pairs.join(one, "a").join(two, "b")
+    return held.filter(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -169,6 +184,7 @@ def join(
     n_wanted = wanted.count()
     # 8 bytes an id: told to every task only below a fixed number of them.
     texts = cut(docs.join(F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")))
+    signs = cut(sets.join(F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted, "id", "left_semi").groupBy("id").agg(F.max("n").alias("n"), F.max("sign").alias("sign")))
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     pair = [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
     links = checked = member = None
@@ -190,9 +206,11 @@ def join(
         pairs = pairs.select(*pair).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
+        pairs = cut(_possible(pairs, signs, percent))
         if pairs.isEmpty():
-            break
+            if last:
+                break
+            continue
         found = cut(_verified(pairs, texts, size, percent))
         links = found if links is None else links.unionByName(found)
         checked = pairs if checked is None else checked.unionByName(pairs)
