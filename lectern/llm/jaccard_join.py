@@ -32,13 +32,13 @@ from lectern.llm.shared import cut
 
 SIZE = 5
 PERCENT = 75
-BUCKET_BITS = 18
+BUCKET_BITS = 19
 STAR_ROUNDS = 2
 BROADCAST_IDS = 1_000_000
 #: Bits of a set's signature; element hashes toggle bits, so that two signatures differ in no more bits than the sets
 #: differ in elements. Pairs whose signatures differ in too many bits are ruled out before any text moves.
-SIGNATURE = 1024
-_HEAVY = 8  # times the mean
+SIGNATURE = 4096
+_HEAVY = 2  # times the mean
 
 
 def _hashes(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +81,7 @@ def heavy_buckets(docs: DataFrame, size: int) -> np.ndarray:
     counts = cut(counts)
     mean = counts.agg(F.sum("n") / F.lit(float(1 << BUCKET_BITS))).first()[0] or 0.0
     out = np.zeros(1 << BUCKET_BITS, dtype=np.uint8)
-    # At most an eighth of the buckets can be this far above the mean.
+    # At most half of the buckets can be this far above the mean.
     for r in counts.filter(F.col("n") > max(_HEAVY * mean, 8)).select("bucket", F.floor(F.log2("n")).cast("int").alias("c")).collect():
         out[r["bucket"]] = r["c"]
     return out
@@ -98,13 +98,14 @@ def _sets(docs: DataFrame, classes: np.ndarray, size: int, percent: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
         for batch in batches:
-            n_all, prints, groups, keys, ends, signs = [], [], [], [], [0], []
+            n_all, prints, groups, keys, ends, signs, lost = [], [], [], [], [0], [], []
             for a, b, data, offsets in slices(batch.column(1)):
                 h, bounds = _hashes(words_of(data, offsets, NONSPACE), size)
                 for d in range(b - a):
                     u = np.unique(h[bounds[d] : bounds[d + 1]])
                     n = len(u)
                     n_all.append(n)
+                    lost.append(0)
                     signs.append(np.packbits(np.bincount((mix(u) & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1))
                     if not n:
                         prints.append(0)
@@ -117,28 +118,39 @@ def _sets(docs: DataFrame, classes: np.ndarray, size: int, percent: int) -> Data
                         u = u[np.argsort(c, kind="stable")]
                     u = u[: prefix_length(n, percent)]
                     groups.append(int(mix(np.array([mix(u ^ np.uint64(0x5555)).sum(dtype=np.uint64) + np.uint64(n)], dtype=np.uint64)).view(np.int64)[0]))
-                    keys.append((u >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                    ends.append(ends[-1] + len(u))
+                    short = np.unique((u >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+                    keys.append(short)
+                    lost[-1] = len(u) - len(short)
+                    ends.append(ends[-1] + len(short))
             flat = np.concatenate(keys) if keys else np.empty(0, np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
             words = SIGNATURE // 64
             sign = pa.ListArray.from_arrays(pa.array(np.arange(0, words * len(n_all) + 1, words), pa.int32()), pa.array(np.concatenate(signs).view(np.int64) if signs else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_all, pa.int32()), pa.array(prints, pa.int64()), pa.array(groups, pa.int64()), listed, sign], names=["id", "n", "print", "grp", "keys", "sign"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_all, pa.int32()), pa.array(prints, pa.int64()), pa.array(groups, pa.int64()), listed, sign, pa.array(lost, pa.int32())], names=["id", "n", "print", "grp", "keys", "sign", "lost"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n int, print long, grp long, keys array<int>, sign array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, n int, print long, grp long, keys array<int>, sign array<long>, lost int")
 
 
 def _possible(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that their sizes and signatures do not rule out. signs: id, n, sign."""
-    one = signs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sign").alias("sa"))
-    two = signs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sign").alias("sb"))
-    differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SIGNATURE // 64)), F.lit(0))
+    """Pairs (a, b) that their sizes, signatures and shared keys do not rule out. signs: id, n, sign, lost.
+
+    `shared`, where known, is the number of prefix keys that the two have in common. Of the set whose prefix ends first
+    in the order, all common elements up to there are among those, so the sets have at most `shared` and the rest of
+    the longer remainder in common. Keys are 32 bits of a shingle; `lost` counts those that fell together in one set.
+    """
+    one = signs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sign").alias("sa"), F.col("lost").alias("la"))
+    two = signs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sign").alias("sb"), F.col("lost").alias("lb"))
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     held = pairs.join(one, "a").join(two, "b")
+    total = F.col("na") + F.col("nb")
+    rest = F.greatest(*(F.ceil(F.col(n) * percent / 100) - 1 for n in ("na", "nb")))  # size without the prefix
+    most = F.col("shared") + F.col("la") + F.col("lb") + rest
+    held = held.filter(F.col("shared").isNull() | (most * (100 + percent) >= total * percent))
     return held.filter(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """pairs (a, b) whose whole sets reach the similarity. texts: id, text."""
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """pairs (a, b) whose whole sets reach the similarity. docs: id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,6 +172,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
+    # Only texts that stand in a pair move.
+    named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.lit(1).alias("one")).select("id")
+    few = named.count() <= BROADCAST_IDS  # 8 bytes an id
+    texts = docs.join(F.broadcast(named) if few else named, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
     held = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     return held.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -177,21 +193,20 @@ def join(
     listed = entries.join(shared, "key").groupBy("key", "grp").agg(F.lit(1).alias("one")).select("key", "grp")
     # Classes of one group meet under the group's own name as well, in case no other group shares its keys.
     crowded = classes.groupBy("grp").agg(F.count("*").alias("m")).filter("m > 1").select("grp")
-    own = classes.join(crowded, "grp").select(F.xxhash64("grp", F.lit("group")).alias("key"), "id", "n")
-    lists = listed.join(classes.select("grp", "id", "n"), "grp").select(F.col("key").cast("long").alias("key"), "id", "n").unionByName(own)
+    own = classes.join(crowded, "grp").select(F.xxhash64("grp", F.lit("group")).alias("key"), "id", "n", F.lit(True).alias("own"))
+    lists = listed.join(classes.select("grp", "id", "n"), "grp").select(F.col("key").cast("long").alias("key"), "id", "n", F.lit(False).alias("own")).unionByName(own)
     lists = cut(lists)
     wanted = lists.select("id").groupBy("id").agg(F.lit(1).alias("one")).select("id")
     n_wanted = wanted.count()
     # 8 bytes an id: told to every task only below a fixed number of them.
-    texts = cut(docs.join(F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")))
-    signs = cut(sets.join(F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted, "id", "left_semi").groupBy("id").agg(F.max("n").alias("n"), F.max("sign").alias("sign")))
+    signs = cut(sets.join(F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted, "id", "left_semi").groupBy("id").agg(F.max("n").alias("n"), F.max("sign").alias("sign"), F.max("lost").alias("lost")))
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     pair = [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
     links = checked = member = None
     for turn in range(star_rounds + 1):
         now = lists
         if member is not None:
-            now = lists.join(member, lists["id"] == member["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+            now = lists.join(member, lists["id"] == member["node"], "left").select("key", "id", "n", "own", F.coalesce("component", "id").alias("c"))
         else:
             now = lists.withColumn("c", F.col("id"))
         last = turn == star_rounds
@@ -203,7 +218,9 @@ def join(
         else:
             centre = mixed.select("key", F.col("centre.id").alias("other"), F.col("centre.n").alias("m"), F.col("centre.c").alias("oc"))
             pairs = now.join(centre, "key").filter((F.col("id") != F.col("other")) & (F.col("c") != F.col("oc")) & fits)
-        pairs = pairs.select(*pair).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
+        # Only the last round sees all keys that two classes share; classes of one group share them all.
+        seen = F.when(F.max(F.col("own").cast("int")) == 0, F.count("*")) if last else F.lit(None).cast("long")
+        pairs = pairs.select(*pair, "own").groupBy("a", "b").agg(seen.alias("shared"))
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = cut(_possible(pairs, signs, percent))
@@ -211,7 +228,7 @@ def join(
             if last:
                 break
             continue
-        found = cut(_verified(pairs, texts, size, percent))
+        found = cut(_verified(pairs, docs, size, percent))
         links = found if links is None else links.unionByName(found)
         checked = pairs if checked is None else checked.unionByName(pairs)
         member = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
