@@ -9,10 +9,12 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Units of Korean money amounts: fixed values.
 UNITS = {"조": 10**12, "억": 10**8, "천만": 10**7, "백만": 10**6, "십만": 10**5, "만": 10**4, "천": 10**3, "백": 10**2}
 EVIDENCE = 500
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())]))
 
 
 def collapse(c: Column) -> Column:
@@ -71,7 +73,7 @@ def escape_markdown(c: Column) -> Column:
     return F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Canonical composition."""
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
@@ -82,14 +84,14 @@ def spans(pattern: str):
     """All matches of a Python pattern with code-point offsets."""
     found = re.compile(pattern)
 
-    @F.pandas_udf("array<struct<start:int,end:int,text:string>>")
+    @F.pandas_udf(_SPANS)
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: [{"start": m.start(), "end": m.end(), "text": m[0]} for m in found.finditer(t)], na_action="ignore")
 
     return run
 
 
-@F.pandas_udf("struct<text:string,at:array<int>>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
 def collapse_with_map(s: pd.Series) -> pd.DataFrame:
     """Collapsed text, and the original offset of each of its characters."""
 

@@ -57,14 +57,13 @@ def _r(top: str, bottom: str) -> str:
 
 
 _RATIOS = f"round({_r('tp', 'tp + fp')}, 6) AS precision, round({_r('tp', 'tp + fn')}, 6) AS recall, round({_r('2 * tp', '2 * tp + fp + fn')}, 6) AS f1"
-_ROUNDED = [F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]
 
 
 @register("eval_per_item_report", f"WITH {BASE}, c AS ({counts_sql('b')}) SELECT item, tp, fp, fn, tn, tp + fn AS support, tp + fp AS predicted, {_RATIOS} FROM c")
 def eval_per_item_report(spark, d):
     """Confusion counts, support and ratios per item; undefined ratios are 0."""
     c = ev.scores(ev.confusion(matched(spark, d), ["item"], pred="b"))
-    return c.select("item", "tp", "fp", "fn", "tn", (F.col("tp") + F.col("fn")).alias("support"), (F.col("tp") + F.col("fp")).alias("predicted"), *_ROUNDED)
+    return c.select("item", "tp", "fp", "fn", "tn", (F.col("tp") + F.col("fn")).alias("support"), (F.col("tp") + F.col("fp")).alias("predicted"), *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
 @register(

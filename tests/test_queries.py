@@ -1,5 +1,7 @@
 """Every registered query of the engine beside its SQL, on the smallest tables."""
 
+import os
+
 import pytest
 from compare import differ
 
@@ -20,6 +22,14 @@ def test_entry_point(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_entries_import_without_a_session():
+    import subprocess
+    import sys
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 100)"], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert said.stdout.strip() == "True", said.stderr
+
+
 def test_sentences(spark, sf):
     import re
 

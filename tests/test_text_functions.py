@@ -17,7 +17,7 @@ def test_money(spark):
 
 
 def test_amount_needs_to_be_positive(spark):
-    assert [one(spark, v, tx.amount) for v in ("1,200", "0", "-5", "three", None)] == [1200, None, None, None, None] or one(spark, "-5", tx.amount) in (None, 5)
+    assert [one(spark, v, tx.amount) for v in ("1,200", "0", "-5", "three", None)] == [1200, None, None, None, None]
 
 
 def test_guard_and_collapse(spark):
@@ -30,7 +30,7 @@ def test_levels(spark):
 
 
 def test_greedy_skips_but_goes_on(spark):
-    df = spark.sql("SELECT array(struct(1L AS id, 6L AS size), struct(2L, 7L), struct(3L, 4L)) AS a")
+    df = spark.sql("SELECT array(struct(1L AS id, 6L AS size), struct(2L AS id, 7L AS size), struct(3L AS id, 4L AS size)) AS a")
     assert df.select(seq.greedy(F.col("a"), 10).alias("ids")).first()["ids"] == [1, 3]
 
 
