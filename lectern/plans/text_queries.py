@@ -434,3 +434,22 @@ def slice_alignment(spark, d):
     x = docs(spark, d).select("lang", "text", F.expr(f"arrays_zip(split(text, '\\n'), {seq._starts('text')})").alias("z"))
     good = F.filter("z", lambda s: F.substr(F.col("text"), s["1"] + 1, F.length(s["0"])) == s["0"])
     return x.groupBy("lang").agg(F.sum(F.size("z")).alias("n"), F.sum(F.size(good)).alias("aligned"))
+
+
+@register("candidate_segments")
+def candidate_segments(spark, d):
+    """Lines around pattern hits of each document, packed under 1800 characters; held against brute force in the tests."""
+    from lectern.operators.segments import select
+
+    one = F.array(F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("type"), "text"))
+    x = docs(spark, d).select("doc_id", select(one, "licen[sc]e|reserved", "tion", 1).alias("s")).filter(F.size("s.segments") > 0)
+    return x.select("doc_id", F.size("s.segments").alias("n"), F.aggregate("s.segments", F.lit(0), lambda a, s: a + F.length(s["text"])).alias("chars"), "s.truncated")
+
+
+@register("review_rules")
+def review_rules(spark, d):
+    """The review rules over every document as a notice of its own."""
+    from lectern.operators.rules import judge
+
+    notice = docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), F.create_map(F.lit("입찰추정가격"), F.col("n_chars").cast("string"), F.lit("적용계약법"), F.lit("국가계약법"), F.lit("계약방법"), F.lit("협상")).alias("meta"), F.array(F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.lit("공고문").alias("type"), "text")).alias("docs"))
+    return judge(notice).select("id", "v2", "v3", "v22", "sections")
