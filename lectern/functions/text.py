@@ -17,6 +17,11 @@ EVIDENCE = 500
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())]))
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once a row, however often it is used (also within lambdas)."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def collapse(c: Column) -> Column:
     """Unicode white space as single spaces, trimmed: the key of equal texts."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))

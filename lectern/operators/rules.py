@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import amount, money, safe, squeeze
+from lectern.functions.text import amount, let, money, safe, squeeze
 
 # Thresholds, words and patterns the rules are defined by.
 THRESHOLD = {"국가계약법": 230_000_000, "지방계약법": 230_000_000}
@@ -48,16 +48,16 @@ def matches(text: Column, pattern: str) -> Column:
     """Array of (before, match, after) for every match: the whole text ahead of it, the match, the whole text behind it."""
     marked = F.regexp_replace(text, f"({pattern})", f"{_OPEN}$1{_CLOSE}")
     clean = lambda c: F.translate(c, _OPEN + _CLOSE, "")
-    pieces = F.split(marked, _OPEN)
+    none = F.array().cast("array<struct<before:string,match:string,after:string>>")
 
-    def one(i):
+    def one(pieces, i):
         whole = F.get(pieces, i)
         return F.struct(
             clean(F.array_join(F.slice(pieces, 1, i), "")).alias("before"), F.substring_index(whole, _CLOSE, 1).alias("match"),
             clean(F.concat(F.substr(whole, F.instr(whole, _CLOSE) + 1), F.array_join(F.slice(pieces, i + 2, F.size(pieces)), ""))).alias("after"),
         )
 
-    return F.when(F.size(pieces) > 1, F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), one)).otherwise(F.array().cast("array<struct<before:string,match:string,after:string>>"))
+    return let(F.split(marked, _OPEN), lambda p: F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: one(p, i))).otherwise(none))
 
 
 def _level(number: Column, mark: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.text import let
+
 _SEGMENT = "array<struct<down:int,place:int,start:int,doc_id:string,end:int,text:string>>"
 
 
@@ -13,7 +15,10 @@ def around(doc: Column, place: Column, primary: str, secondary: str, reach: int,
     lines = F.split(doc["text"], r"(?<=\n)")
     hit = lambda l: l.rlike(f"(?i){primary}") | (l.rlike(f"(?i){secondary}") if both else F.lit(False))
     hits = F.transform(lines, hit)
-    near = F.transform(lines, lambda l, i: F.struct(l.alias("text"), F.exists(F.slice(hits, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + reach + 1), lambda h: h).alias("near")))
+    near = let(
+        F.struct(lines.alias("lines"), hits.alias("hits")),
+        lambda z: F.transform(z["lines"], lambda l, i: F.struct(l.alias("text"), F.exists(F.slice(z["hits"], F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + reach + 1), lambda h: h).alias("near"))),
+    )
 
     def scored(start, text):
         down = -(10 * F.regexp_count(text, F.lit(f"(?i){primary}")) + 2 * F.regexp_count(text, F.lit(f"(?i){secondary}")))
@@ -49,4 +54,4 @@ def select(docs: Column, primary: str, secondary: str, reach: int = 2, both: boo
 
     begin = F.struct(F.lit(0).alias("used"), F.array().cast(_SEGMENT).alias("taken"))
     in_order = lambda t: F.array_sort(F.transform(t, lambda s: F.struct(s["doc_id"].alias("doc_id"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))))
-    return F.aggregate(ranked, begin, step, lambda a: F.struct(in_order(a["taken"]).alias("segments"), (F.size(a["taken"]) < F.size(ranked)).alias("truncated")))
+    return let(ranked, lambda r: F.aggregate(r, begin, step, lambda a: F.struct(in_order(a["taken"]).alias("segments"), (F.size(a["taken"]) < F.size(r)).alias("truncated"))))
