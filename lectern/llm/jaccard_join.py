@@ -5,6 +5,7 @@
    every task, and their shingles come last, by size class. All others are in order of hash.
 2. Prefixes. Sets with Jaccard >= t share a shingle among the first n - ceil(t n) + 1 of each. Equal sets become one
    class; classes with the same prefix and size become one group, and only groups enter the inverted index.
+   A key's place in its prefix is kept: a pair is made only where enough elements follow in both sets.
 3. Index. Keys held by one group are dropped by an aggregate that is combined before it moves; the rest of the index
    joins back (large partitions can be split). Groups are expanded into their classes.
 4. Verification in star rounds. In each list one class is the centre; the members that are not yet connected to it, of
@@ -98,14 +99,13 @@ def _sets(docs: DataFrame, classes: np.ndarray, size: int, percent: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
         for batch in batches:
-            n_all, prints, groups, keys, ends, signs, lost = [], [], [], [], [0], [], []
+            n_all, prints, groups, keys, ends, signs = [], [], [], [], [0], []
             for a, b, data, offsets in slices(batch.column(1)):
                 h, bounds = _hashes(words_of(data, offsets, NONSPACE), size)
                 for d in range(b - a):
                     u = np.unique(h[bounds[d] : bounds[d + 1]])
                     n = len(u)
                     n_all.append(n)
-                    lost.append(0)
                     signs.append(np.packbits(np.bincount((mix(u) & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1))
                     if not n:
                         prints.append(0)
@@ -118,34 +118,23 @@ def _sets(docs: DataFrame, classes: np.ndarray, size: int, percent: int) -> Data
                         u = u[np.argsort(c, kind="stable")]
                     u = u[: prefix_length(n, percent)]
                     groups.append(int(mix(np.array([mix(u ^ np.uint64(0x5555)).sum(dtype=np.uint64) + np.uint64(n)], dtype=np.uint64)).view(np.int64)[0]))
-                    short = np.unique((u >> np.uint64(32)).astype(np.uint32)).view(np.int32)
-                    keys.append(short)
-                    lost[-1] = len(u) - len(short)
-                    ends.append(ends[-1] + len(short))
+                    keys.append((u >> np.uint64(32)).astype(np.uint32).view(np.int32))  # in order
+                    ends.append(ends[-1] + len(u))
             flat = np.concatenate(keys) if keys else np.empty(0, np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
             words = SIGNATURE // 64
             sign = pa.ListArray.from_arrays(pa.array(np.arange(0, words * len(n_all) + 1, words), pa.int32()), pa.array(np.concatenate(signs).view(np.int64) if signs else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_all, pa.int32()), pa.array(prints, pa.int64()), pa.array(groups, pa.int64()), listed, sign, pa.array(lost, pa.int32())], names=["id", "n", "print", "grp", "keys", "sign", "lost"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_all, pa.int32()), pa.array(prints, pa.int64()), pa.array(groups, pa.int64()), listed, sign], names=["id", "n", "print", "grp", "keys", "sign"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n int, print long, grp long, keys array<int>, sign array<long>, lost int")
+    return docs.select("id", "text").mapInArrow(run, "id long, n int, print long, grp long, keys array<int>, sign array<long>")
 
 
 def _possible(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that their sizes, signatures and shared keys do not rule out. signs: id, n, sign, lost.
-
-    `shared`, where known, is the number of prefix keys that the two have in common. Of the set whose prefix ends first
-    in the order, all common elements up to there are among those, so the sets have at most `shared` and the rest of
-    the longer remainder in common. Keys are 32 bits of a shingle; `lost` counts those that fell together in one set.
-    """
-    one = signs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sign").alias("sa"), F.col("lost").alias("la"))
-    two = signs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sign").alias("sb"), F.col("lost").alias("lb"))
+    """Pairs (a, b) that their sizes and signatures do not rule out. signs: id, n, sign."""
+    one = signs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sign").alias("sa"))
+    two = signs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sign").alias("sb"))
     differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     held = pairs.join(one, "a").join(two, "b")
-    total = F.col("na") + F.col("nb")
-    rest = F.greatest(*(F.ceil(F.col(n) * percent / 100) - 1 for n in ("na", "nb")))  # size without the prefix
-    most = F.col("shared") + F.col("la") + F.col("lb") + rest
-    held = held.filter(F.col("shared").isNull() | (most * (100 + percent) >= total * percent))
     return held.filter(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
 
 
@@ -188,39 +177,40 @@ def join(
     sets = cut(_sets(docs, heavy_buckets(docs, size), size, percent))
     full = sets.filter((F.col("n") > 0) & F.col("id").isNotNull())
     classes = cut(full.groupBy("n", "print").agg(F.min("id").alias("id"), F.min("grp").alias("grp")))
-    entries = full.select("grp", F.explode("keys").alias("key"))
+    entries = full.select("grp", F.posexplode("keys").alias("pos", "key"))
     shared = entries.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo != hi").select("key")
-    listed = entries.join(shared, "key").groupBy("key", "grp").agg(F.lit(1).alias("one")).select("key", "grp")
+    listed = entries.join(shared, "key").groupBy("key", "grp").agg(F.min("pos").alias("pos"))
     # Classes of one group meet under the group's own name as well, in case no other group shares its keys.
     crowded = classes.groupBy("grp").agg(F.count("*").alias("m")).filter("m > 1").select("grp")
-    own = classes.join(crowded, "grp").select(F.xxhash64("grp", F.lit("group")).alias("key"), "id", "n", F.lit(True).alias("own"))
-    lists = listed.join(classes.select("grp", "id", "n"), "grp").select(F.col("key").cast("long").alias("key"), "id", "n", F.lit(False).alias("own")).unionByName(own)
+    own = classes.join(crowded, "grp").select(F.xxhash64("grp", F.lit("group")).alias("key"), "id", "n", F.lit(0).alias("pos"))
+    lists = listed.join(classes.select("grp", "id", "n"), "grp").select(F.col("key").cast("long").alias("key"), "id", "n", "pos").unionByName(own)
     lists = cut(lists)
     wanted = lists.select("id").groupBy("id").agg(F.lit(1).alias("one")).select("id")
     n_wanted = wanted.count()
     # 8 bytes an id: told to every task only below a fixed number of them.
-    signs = cut(sets.join(F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted, "id", "left_semi").groupBy("id").agg(F.max("n").alias("n"), F.max("sign").alias("sign"), F.max("lost").alias("lost")))
-    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    signs = cut(sets.join(F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted, "id", "left_semi").groupBy("id").agg(F.max("n").alias("n"), F.max("sign").alias("sign")))
+    # Of a linked pair the first shared key stands so early in both that enough is left behind it to share. That one key
+    # is enough to find the pair; where it stands late, a pair cannot be linked and is not made.
+    need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
+    fits = (F.col("n") - F.col("pos") >= need) & (F.col("m") - F.col("opos") >= need)
     pair = [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
     links = checked = member = None
     for turn in range(star_rounds + 1):
         now = lists
         if member is not None:
-            now = lists.join(member, lists["id"] == member["node"], "left").select("key", "id", "n", "own", F.coalesce("component", "id").alias("c"))
+            now = lists.join(member, lists["id"] == member["node"], "left").select("key", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
         else:
             now = lists.withColumn("c", F.col("id"))
         last = turn == star_rounds
-        mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id"), F.col("n"), F.col("c"))).alias("centre")).filter("lo != hi")
+        mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id"), F.col("n"), F.col("pos"), F.col("c"))).alias("centre")).filter("lo != hi")
         if last:
             left = now.join(mixed.select("key"), "key")
-            other = left.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("c").alias("oc"))
+            other = left.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("pos").alias("opos"), F.col("c").alias("oc"))
             pairs = left.join(other, "key").filter((F.col("id") < F.col("other")) & (F.col("c") != F.col("oc")) & fits)
         else:
-            centre = mixed.select("key", F.col("centre.id").alias("other"), F.col("centre.n").alias("m"), F.col("centre.c").alias("oc"))
+            centre = mixed.select("key", F.col("centre.id").alias("other"), F.col("centre.n").alias("m"), F.col("centre.pos").alias("opos"), F.col("centre.c").alias("oc"))
             pairs = now.join(centre, "key").filter((F.col("id") != F.col("other")) & (F.col("c") != F.col("oc")) & fits)
-        # Only the last round sees all keys that two classes share; classes of one group share them all.
-        seen = F.when(F.max(F.col("own").cast("int")) == 0, F.count("*")) if last else F.lit(None).cast("long")
-        pairs = pairs.select(*pair, "own").groupBy("a", "b").agg(seen.alias("shared"))
+        pairs = pairs.select(*pair).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = cut(_possible(pairs, signs, percent))
