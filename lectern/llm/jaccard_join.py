@@ -10,7 +10,7 @@
    joins back (large partitions can be split). Groups are expanded into their classes.
 4. Verification in star rounds. In each list one class is the centre; the members that are not yet connected to it, of
    fitting size and signature and not compared before, are verified against it on whole sets. Crowds of near copies come together in
-   these rounds. A last round compares every pair that still shares a key across components, so no link is lost that
+   these rounds, in which lists take their centre from the component with the smallest id. A last round compares every pair that still shares a key across components, so no link is lost that
    joins different components; links within one component add nothing to the result.
 
 Returned are components, not pairs. Shingles are compared by 64-bit hashes. Nulls and texts without words have an empty
@@ -34,7 +34,7 @@ from lectern.llm.shared import cut
 SIZE = 5
 PERCENT = 75
 BUCKET_BITS = 19
-STAR_ROUNDS = 2
+STAR_ROUNDS = 6
 BROADCAST_IDS = 1_000_000
 #: Bits of a set's signature; element hashes toggle bits, so that two signatures differ in no more bits than the sets
 #: differ in elements. Pairs whose signatures differ in too many bits are ruled out before any text moves.
@@ -193,35 +193,39 @@ def join(
     # is enough to find the pair; where it stands late, a pair cannot be linked and is not made.
     need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
     fits = (F.col("n") - F.col("pos") >= need) & (F.col("m") - F.col("opos") >= need)
+    few = max(100, n_wanted // 500)
     pair = [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
     links = checked = member = None
-    for turn in range(star_rounds + 1):
+    last, turn = star_rounds == 0, -1
+    while True:
+        turn += 1
         now = lists
         if member is not None:
             now = lists.join(member, lists["id"] == member["node"], "left").select("key", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
         else:
             now = lists.withColumn("c", F.col("id"))
-        last = turn == star_rounds
-        mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id"), F.col("n"), F.col("pos"), F.col("c"))).alias("centre")).filter("lo != hi")
+        mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.col("c") if turn else F.lit(0).alias("c0"), F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id"), F.col("n"), F.col("pos"), F.col("c").alias("of"))).alias("centre")).filter("lo != hi")
         if last:
             left = now.join(mixed.select("key"), "key")
             other = left.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("pos").alias("opos"), F.col("c").alias("oc"))
             pairs = left.join(other, "key").filter((F.col("id") < F.col("other")) & (F.col("c") != F.col("oc")) & fits)
         else:
-            centre = mixed.select("key", F.col("centre.id").alias("other"), F.col("centre.n").alias("m"), F.col("centre.pos").alias("opos"), F.col("centre.c").alias("oc"))
+            centre = mixed.select("key", F.col("centre.id").alias("other"), F.col("centre.n").alias("m"), F.col("centre.pos").alias("opos"), F.col("centre.of").alias("oc"))
             pairs = now.join(centre, "key").filter((F.col("id") != F.col("other")) & (F.col("c") != F.col("oc")) & fits)
         pairs = pairs.select(*pair).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = cut(_possible(pairs, signs, percent))
-        if pairs.isEmpty():
-            if last:
-                break
-            continue
         found = cut(_verified(pairs, docs, size, percent))
+        gained = found.count()
+        # Star rounds end when they bring little more together; what they leave is for the last round.
+        stop, last = last, last or gained < few or turn + 1 >= star_rounds
         links = found if links is None else links.unionByName(found)
         checked = pairs if checked is None else checked.unionByName(pairs)
-        member = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        if gained:
+            member = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        if stop:
+            break
     named = classes.select("n", "print", "id")
     if member is not None:
         named = named.join(member, named["id"] == member["node"], "left").select("n", "print", F.coalesce("component", "id").alias("component_id"))
