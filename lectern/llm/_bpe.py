@@ -22,7 +22,7 @@ _CLASS[48:58] = _DIGIT
 _CLASS[[*range(9), 11, 12, *range(14, 32), *range(127, 256)]] = _BAD
 _NONE = np.int64(1 << 30)
 #: Words whose ids are kept from batch to batch.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 120_000
 
 
 def plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm._words import ALNUM, slices, words_of
+from lectern.llm.shared import release, with_text
 
 SIZE = 10
 MOST_WINDOWS = 1_000_000
@@ -96,13 +97,14 @@ def _scan(df: DataFrame, text: str, keep: list[str], block: DataFrame) -> DataFr
     shared = df.sparkSession.sparkContext.broadcast(rows)
     schema = T.StructType([*(df.schema[k] for k in keep), *_FOUND.fields])
     built: list[WindowSet] = []
+    chosen, at_text = with_text(df, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not built:
             built.append(WindowSet(shared.value))
         for batch in batches:
             n_words, n_hit, items, hit_words = [], [], [], []
-            for a, b, data, offsets in slices(batch.column(len(keep))):
+            for a, b, data, offsets in slices(batch.column(at_text)):
                 w = words_of(data, offsets, ALNUM)
                 found: dict[int, tuple[set, set]] = defaultdict(lambda: (set(), set()))
                 for k, size, ids in built[0].hits(w):
@@ -118,8 +120,9 @@ def _scan(df: DataFrame, text: str, keep: list[str], block: DataFrame) -> DataFr
                     hit_words.append(sorted(hit))
             arrays = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(hit_words, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *arrays], names=schema.names)
+        release()
 
-    return df.select(*keep, df[text].alias("__text")).mapInArrow(run, schema)
+    return chosen.mapInArrow(run, schema)
 
 
 def find(
@@ -131,7 +134,7 @@ def find(
     blocks = max(1, -(-table.count() // most_windows))
     if blocks == 1:
         return _scan(df, text, list(keep), table)
-    keyed = df.select(*keep, F.col(text), F.xxhash64(F.col(text)).alias("__key"))
+    keyed = df.select(*dict.fromkeys([*keep, text]), F.xxhash64(F.col(text)).alias("__key"))
     parts = None
     for i in range(blocks):
         part = _scan(keyed, text, [*keep, "__key"], table.filter(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == i))
@@ -142,7 +145,7 @@ def find(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit_words")))).alias("hit_words"),
     )
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*keep, "__key"]]
-    joined = keyed.drop(text).alias("a").join(merged.alias("b"), same)
+    joined = keyed.select(*keep, "__key").alias("a").join(merged.alias("b"), same)
     return joined.select(*(F.col(f"a.{k}") for k in keep), "n_words", F.size("hit_words").cast("long").alias("n_hit"), "items", "hit_words")
 
 
@@ -162,7 +165,7 @@ def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", mode: str = "
     if mode not in ("documents", "spans"):
         raise ValueError("mode is documents or spans")
     keep = tuple(df.columns)
-    found = find(df.withColumn("__copy", F.col(text)), benchmark, "__copy", keep, **options)
+    found = find(df, benchmark, text, keep, **options)
     if mode == "documents":
         return found.filter("n_hit = 0").select(*keep)
     # A word with what precedes it; the text after the last word is a part of its own.

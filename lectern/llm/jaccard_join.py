@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm._words import NONSPACE, Words, mix, slices, words_of
 from lectern.llm.components import components
-from lectern.llm.shared import cut
+from lectern.llm.shared import cut, release
 
 SIZE = 5
 PERCENT = 75
@@ -125,6 +125,7 @@ def _sets(docs: DataFrame, classes: np.ndarray, size: int, percent: int) -> Data
             words = SIGNATURE // 64
             sign = pa.ListArray.from_arrays(pa.array(np.arange(0, words * len(n_all) + 1, words), pa.int32()), pa.array(np.concatenate(signs).view(np.int64) if signs else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_all, pa.int32()), pa.array(prints, pa.int64()), pa.array(groups, pa.int64()), listed, sign], names=["id", "n", "print", "grp", "keys", "sign"])
+        release()
 
     return docs.select("id", "text").mapInArrow(run, "id long, n int, print long, grp long, keys array<int>, sign array<long>")
 

@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.llm.shared import release, with_text
+
 MODEL = "piece_bpe_32k.model"
 MAX_DOCS = 600
-CACHE_WORDS = 150_000
+CACHE_WORDS = 60_000
 UNKNOWN = "und"
 _MARK = "▁"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -272,18 +274,20 @@ def identify(df: DataFrame, langs: list[str], probs: np.ndarray, text: str = "te
     shared = df.sparkSession.sparkContext.broadcast((langs, probs.astype(np.float64)))  # vocabulary x languages
     schema = T.StructType([*(df.schema[k] for k in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     built: list[Scorer] = []
+    chosen, at_text = with_text(df, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not built:
             built.append(Scorer(*shared.value, path))
         for batch in batches:
-            texts = batch.column(len(keep)).fill_null("")
+            texts = batch.column(at_text).fill_null("")
             said: list[tuple[str, float]] = []
             for at in range(0, len(texts), 256):
                 said += built[0].score(texts.slice(at, 256).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names=schema.names)
+        release()
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return chosen.mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id"):

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from lectern.llm import _bpe
 from lectern.llm._words import slices
-from lectern.llm.shared import cut
+from lectern.llm.shared import cut, release
 
 MODEL = "word_bpe_49k.json"
 CAPACITY = 4096
@@ -111,6 +111,7 @@ def pieces(df: DataFrame, text: str, key: str, model: str | None, capacity: int,
                     crc.append(zlib.crc32(ids[4 * s : 4 * (s + capacity)]))
                     total.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names=schema.names)
+        release()
 
     return df.select(key, F.col(text).alias("__text")).mapInArrow(run, schema)
 

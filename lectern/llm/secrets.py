@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.llm.shared import release, with_text
+
 #: Base patterns and least lengths: fixed values of the query's contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -301,11 +303,12 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str
     model = train(sample(df, text, key, max_docs))
     schema = T.StructType([*(df.schema[k] for k in keep), T.StructField("found", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
     names = (*KINDS, "crf")
+    chosen, at_text = with_text(df, keep, text)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(keep)).fill_null("")
+            texts = batch.column(at_text).fill_null("")
             # Whatever can be found holds a digit, a key word with its sign, or the letters of an access key.
             worth = pc.match_substring_regex(texts, r"(?i)[0-9]|akia|(passw|secret|token|api)[^\n]{0,40}[:=]|[a-f]{24}").to_numpy(zero_copy_only=False)
             out: list[list] = [[] for _ in range(len(texts))]
@@ -316,8 +319,9 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str
                     spans = sorted([*base, *((a, b, 3) for a, b in added)], key=lambda s: (s[0], s[2]))
                     out[i] = [{"kind": names[k], "start": a, "end": b} for a, b, k in spans]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out, kind)], names=schema.names)
+        release()
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return chosen.mapInArrow(run, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -335,7 +339,9 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(df: DataFrame, text: str = "text", key: str = "doc_id", mark: str = "[secret]", **options) -> DataFrame:
     """The documents with every found span replaced by `mark`; overlapping spans are replaced as one."""
     keep = tuple(df.columns)
-    found = scan(df.withColumn("__copy", F.col(text)), "__copy", key, keep, **options)
+    if "found" in keep:
+        raise ValueError("a column is named found")
+    found = scan(df, text, key, keep, **options)
     step = F.aggregate(
         "found", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda a, s: F.struct(

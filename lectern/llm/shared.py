@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -16,3 +18,15 @@ def cut(df: DataFrame) -> DataFrame:
     if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
     return df.checkpoint(eager=True)
+
+
+def with_text(df: DataFrame, keep, text: str) -> tuple[DataFrame, int]:
+    """`keep` and the text, and the text's place among them; a text that is kept anyway goes to Python once."""
+    if text in keep:
+        return df.select(*keep), list(keep).index(text)
+    return df.select(*keep, F.col(text).alias("__text")), len(keep)
+
+
+def release() -> None:
+    """Gives a worker's unused memory back, as workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
