@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm._words import ALNUM, slices, words_of
-from lectern.llm.shared import release, with_text
+from lectern.llm.shared import aside, back, release, with_text
 
 SIZE = 10
 MOST_WINDOWS = 1_000_000
@@ -164,14 +164,15 @@ def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", mode: str = "
     """
     if mode not in ("documents", "spans"):
         raise ValueError("mode is documents or spans")
-    keep = tuple(df.columns)
-    found = find(df, benchmark, text, keep, **options)
+    columns = df.columns
+    df = aside(df, ["n_words", "n_hit", "items", "hit_words"])
+    found = find(df, benchmark, text, tuple(df.columns), **options)
     if mode == "documents":
-        return found.filter("n_hit = 0").select(*keep)
+        return back(found.filter("n_hit = 0"), columns)
     # A word with what precedes it; the text after the last word is a part of its own.
     parts = F.regexp_extract_all(F.col(text), F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*(?:[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|$)"), F.lit(0))
     kept = F.array_join(F.filter(parts, lambda p, i: ~F.array_contains("hit_words", i)), "")
-    return found.withColumn(text, F.when(F.col("n_hit") > 0, kept).otherwise(F.col(text))).select(*keep)
+    return back(found.withColumn(text, F.when(F.col("n_hit") > 0, kept).otherwise(F.col(text))), columns)
 
 
 def registered(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.shared import release, with_text
+from lectern.llm.shared import aside, back, release, with_text
 
 #: Base patterns and least lengths: fixed values of the query's contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -338,10 +338,9 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact(df: DataFrame, text: str = "text", key: str = "doc_id", mark: str = "[secret]", **options) -> DataFrame:
     """The documents with every found span replaced by `mark`; overlapping spans are replaced as one."""
-    keep = tuple(df.columns)
-    if "found" in keep:
-        raise ValueError("a column is named found")
-    found = scan(df, text, key, keep, **options)
+    columns = df.columns
+    df = aside(df, ["found"])
+    found = scan(df, text, key, tuple(df.columns), **options)
     step = F.aggregate(
         "found", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda a, s: F.struct(
@@ -352,7 +351,7 @@ def redact(df: DataFrame, text: str = "text", key: str = "doc_id", mark: str = "
         ),
         lambda a: F.concat(a["out"], F.substr(F.col(text), (a["at"] + 1).cast("int"), F.length(text))),
     )
-    return found.withColumn(text, F.when(F.size("found") > 0, step).otherwise(F.col(text))).select(*keep)
+    return found.withColumn(text, F.when(F.size("found") > 0, step).otherwise(F.col(text))).transform(back, columns)
 
 
 def registered(spark, sf_dir: str) -> DataFrame:

@@ -30,3 +30,13 @@ def with_text(df: DataFrame, keep, text: str) -> tuple[DataFrame, int]:
 def release() -> None:
     """Gives a worker's unused memory back, as workers live on from stage to stage."""
     pa.default_memory_pool().release_unused()
+
+
+def aside(df: DataFrame, names) -> DataFrame:
+    """`df` with columns of these names under another name, out of the way of an operator's own."""
+    return df.withColumnsRenamed({n: f"__own_{n}" for n in names if n in df.columns})
+
+
+def back(df: DataFrame, columns) -> DataFrame:
+    """The columns again under their names, and only they."""
+    return df.select(*(F.col(f"__own_{c}").alias(c) if f"__own_{c}" in df.columns else F.col(c) for c in columns))

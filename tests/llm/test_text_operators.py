@@ -222,3 +222,10 @@ def test_forward_sums_all_segmentations():
 @pytest.mark.parametrize("run", [lambda d: token_counts.token_counts(d), lambda d: licenses.scan(d), lambda d: packing.pack(d), lambda d: secrets.scan(d), lambda d: langid.identify(d, ["en"], np.ones((30063, 1)))])
 def test_empty_tables(docs, run):
     assert run(docs.filter("false")).count() == 0
+
+
+def test_clashing_columns_survive_cleaning(spark, sf, odd):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    for clean in (secrets.redact(odd, max_docs=20), decontaminate.clean(odd, bench), decontaminate.clean(odd, bench, mode="spans")):
+        assert clean.columns == odd.columns and clean.count() == len(ODD)
+        assert {r["found"] for r in clean.select("found").collect()} == {1}
