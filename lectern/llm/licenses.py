@@ -1,8 +1,8 @@
 """License scans: ordered signature rules over normalised words, with DataFrame functions only.
 
 Hundreds of regular expressions (families x templates x versions, built below from a plain table) look for license
-signatures. Two prefilters gate them: a document without any of a few fragments is never normalised, and a rule runs
-only where one of its keywords stands. A document's detections are intervals of words. They are put in order of start, and one
+signatures. The rules' own keywords gate them: each distinct keyword is looked up once in a document's normalised words,
+and a rule runs only where one of its keywords stands. A document's detections are intervals of words. They are put in order of start, and one
 pass drops each that lies within another of the same or a higher priority. What survives gives labels and the score.
 
 Everything happens within a row: no shuffle, no explode, rows are kept one to one. Nulls: a null text is empty (no
@@ -37,7 +37,7 @@ FAMILIES = [
     ("gpl", r"(?:gnu )?(?:general public license|gpl)", "general public license| gpl", ["1.0", "2.0", "3.0"]),
     ("lgpl", r"(?:gnu )?(?:(?:lesser|library) general public license|lgpl)", "general public license| lgpl", ["2.0", "2.1", "3.0"]),
     ("agpl", r"(?:gnu )?(?:affero general public license|agpl)", "affero general public| agpl", ["1.0", "3.0"]),
-    ("gfdl", r"(?:gnu )?(?:free documentation license|gfdl|fdl)", "free documentation license| gfdl | fdl ", ["1.1", "1.2", "1.3"]),
+    ("gfdl", r"(?:gnu )?(?:free documentation license|gfdl|fdl)", "free documentation license| gfdl| fdl", ["1.1", "1.2", "1.3"]),
     ("mpl", r"(?:mozilla public license|mpl)", "mozilla public| mpl", ["1.0", "1.1", "2.0"]),
     ("epl", r"(?:eclipse public license|epl)", "eclipse public| epl", ["1.0", "2.0"]),
     ("edl", r"(?:eclipse distribution license|edl)", "eclipse distribution| edl", ["1.0"]),
@@ -79,13 +79,13 @@ FAMILIES = [
     ("odbl", r"(?:open database license|odbl)", "open database license| odbl", ["1.0"]),
     ("odc-by", r"(?:open data commons attribution license|odc by)", "open data commons| odc by", ["1.0"]),
     ("pddl", r"(?:public domain dedication and license|pddl)", "public domain dedication| pddl", ["1.0"]),
-    ("cc0", r"(?:cc0|creative commons zero|cc zero)", " cc0 |commons zero| cc zero", ["1.0"]),
-    ("cc-by-nc-sa", r"(?:cc|creative commons) (?:by nc sa|attribution non ?commercial share ?alike)", " cc by nc sa|commons attribution non", ["1.0", "2.0", "2.5", "3.0", "4.0"]),
-    ("cc-by-nc-nd", r"(?:cc|creative commons) (?:by nc nd|attribution non ?commercial no ?deriv\w*)", " cc by nc nd|commons attribution non", ["1.0", "2.0", "2.5", "3.0", "4.0"]),
-    ("cc-by-nc", r"(?:cc|creative commons) (?:by nc|attribution non ?commercial)", " cc by nc|commons attribution non", ["1.0", "2.0", "2.5", "3.0", "4.0"]),
-    ("cc-by-nd", r"(?:cc|creative commons) (?:by nd|attribution no ?deriv\w*)", " cc by nd|commons attribution no", ["1.0", "2.0", "2.5", "3.0", "4.0"]),
-    ("cc-by-sa", r"(?:cc|creative commons) (?:by sa|attribution share ?alike)", " cc by sa|commons attribution share", ["1.0", "2.0", "2.5", "3.0", "4.0"]),
-    ("cc-by", r"(?:cc by|creative commons attribution)", " cc by |commons attribution", ["1.0", "2.0", "2.5", "3.0", "4.0"]),
+    ("cc0", r"(?:cc0|creative commons zero|cc zero)", " cc0|commons zero| cc zero", ["1.0"]),
+    ("cc-by-nc-sa", r"(?:cc|creative commons) (?:by nc sa|attribution non ?commercial share ?alike)", " cc by nc sa|commons by nc sa| cc attribution non|commons attribution non", ["1.0", "2.0", "2.5", "3.0", "4.0"]),
+    ("cc-by-nc-nd", r"(?:cc|creative commons) (?:by nc nd|attribution non ?commercial no ?deriv\w*)", " cc by nc nd|commons by nc nd| cc attribution non|commons attribution non", ["1.0", "2.0", "2.5", "3.0", "4.0"]),
+    ("cc-by-nc", r"(?:cc|creative commons) (?:by nc|attribution non ?commercial)", " cc by nc|commons by nc| cc attribution non|commons attribution non", ["1.0", "2.0", "2.5", "3.0", "4.0"]),
+    ("cc-by-nd", r"(?:cc|creative commons) (?:by nd|attribution no ?deriv\w*)", " cc by nd|commons by nd| cc attribution no|commons attribution no", ["1.0", "2.0", "2.5", "3.0", "4.0"]),
+    ("cc-by-sa", r"(?:cc|creative commons) (?:by sa|attribution share ?alike)", " cc by sa|commons by sa| cc attribution share|commons attribution share", ["1.0", "2.0", "2.5", "3.0", "4.0"]),
+    ("cc-by", r"(?:cc by|creative commons attribution)", " cc by|commons attribution", ["1.0", "2.0", "2.5", "3.0", "4.0"]),
 ]
 #: Notices without a family: label, priority, weight, keyword, regular expression.
 NOTICES = [
@@ -97,7 +97,7 @@ NOTICES = [
     ("proprietary", 2, 0.7, "proprietary", r"proprietary and confidential"),
     ("proprietary", 2, 0.7, "confidential", r"confidential and proprietary"),
     ("proprietary", 2, 0.6, "permission", r"(?:without|no) (?:the )?(?:prior|express)(?: express| written)* permission"),
-    ("no-derivatives", 1, 0.5, "redistribut", r"may not be (?:copied|reproduced|redistributed|modified)(?: or (?:copied|reproduced|redistributed|modified))?"),
+    ("no-derivatives", 1, 0.5, "may not be", r"may not be (?:copied|reproduced|redistributed|modified)(?: or (?:copied|reproduced|redistributed|modified))?"),
     ("mit", 3, 0.9, "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("isc", 3, 0.9, "permission to use", r"permission to use copy modify and or distribute this software for any purpose"),
     ("bsd", 3, 0.9, "redistribution and use", r"redistribution and use in source and binary forms"),
@@ -105,8 +105,6 @@ NOTICES = [
     ("unlicense", 3, 0.9, "unencumbered", r"this is free and unencumbered software released into the public domain"),
 ]
 _GRANT = r"(?:licensed|released|distributed|available|published|provided|redistributed|covered|governed) (?:under|by) (?:the )?(?:terms of )?(?:the )?"
-#: Fragments, one of which stands in every text (lower case) that any rule or base phrase can match.
-FRAGMENTS = ["licen", "reserved", "copyright", "public domain", "spdx", "proprietary", "permission", "redistribut", "unencumbered", "warranty"]
 _SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _OPEN, _CLOSE = "\x01", "\x02"
 
@@ -173,14 +171,10 @@ def _count(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(F.size(F.split(text, _SEPARATOR + "+")) - edge[0] - edge[1])
 
 
-def _gate(low: Column) -> Column:
-    some = F.lit(False)
-    for fragment in FRAGMENTS:
-        some = some | F.contains(low, F.lit(fragment))
-    named = F.lit(False)
-    for key in ("gpl", "cc", "mpl", "spl", "apache", "cddl", "odc", "bsd", "apsl", "epl", "zpl", "upl", "osl", "afl", "ofl", "cpl", "npl", "qpl", "eupl", "edl", "fdl", "odbl", "pddl", "ms"):
-        named = named | F.contains(low, F.lit(key))
-    return some | (named & low.rlike(rf"(?<![0-9a-z])(?:[al]?gpl|gfdl|fdl|[menzu]pl|eupl|sspl|wtfpl|cpl|npl|qpl|apsl|cddl|o[sf]l|afl|edl|odbl|pddl|apache|boost|bsd|cc0|cc{_SEPARATOR}(?:zero|by)|ms{_SEPARATOR}[pr]l|odc{_SEPARATOR}by)(?![0-9a-z])"))
+@cache
+def keywords() -> tuple[str, ...]:
+    """The distinct keywords of all rules, and the base phrases: one of them stands in every text with a detection."""
+    return tuple(dict.fromkeys([*(k for r in rules() for k in r[3].split("|")), *(f" {phrase} " for phrase in BASE)]))
 
 
 def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -189,7 +183,7 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",))
         f"struct({_quoted(label)} AS label, {-p} AS down, {w}D AS weight, split({_quoted(key)}, '[|]') AS keywords, {_quoted(expr)} AS pattern)" for label, p, w, key, expr in rules()
     )
     matched = _places("r.pattern", "__norm", ", 'down', r.down, 'label', r.label, 'weight', r.weight", _FOUND)
-    found = f"flatten(transform(filter(array({table}), r -> exists(r.keywords, k -> contains(__norm, k))), r -> {matched}))"
+    found = f"flatten(transform(filter(array({table}), r -> exists(r.keywords, k -> array_contains(__keys, k))), r -> {matched}))"
     base = ", ".join(
         f"if(contains(__norm, ' {phrase} '), {_places(_quoted(f' {phrase}(?= )'), '__norm', f', {chr(39)}label{chr(39)}, {_quoted(label)}', 'struct<start:int,back:int,label:string>')}, NULL)"
         for phrase, label in BASE.items()
@@ -197,13 +191,12 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",))
     lowered = F.translate(F.col("__text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered, _SEPARATOR, " ")), F.lit(" "))
     rows = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    rows = rows.select(*keep, _count(F.col("__text")).cast("long").alias("n_words"), norm.alias("__norm"))
+    every = ", ".join(f"if(contains(__norm, {_quoted(k)}), {_quoted(k)}, NULL)" for k in keywords())
+    rows = rows.select("*", F.expr(f"array_compact(array({every}))").alias("__keys"))
     rows = rows.select(
-        *keep, _count(F.col("__text")).cast("long").alias("n_words"),
-        F.when(_gate(F.lower("__text")), norm).alias("__norm"),
-    )
-    rows = rows.select(
-        *keep, "n_words", F.when(F.col("__norm").isNotNull(), F.expr(_survivors(found))).alias("__kept"),
-        F.when(F.col("__norm").isNotNull(), F.expr(f"flatten(filter(array({base}), x -> x IS NOT NULL))")).alias("__base"),
+        *keep, "n_words", F.when(F.size("__keys") > 0, F.expr(_survivors(found))).alias("__kept"),
+        F.when(F.size("__keys") > 0, F.expr(f"flatten(filter(array({base}), x -> x IS NOT NULL))")).alias("__base"),
     )
     base_labels = F.array_distinct(F.transform("__base", lambda b: b["label"]))
     empty = F.array().cast("array<string>")
