@@ -50,14 +50,16 @@ def fixed(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens of a URL; path words that hold digits only stand for one token."""
+    """All distinct tokens of a URL; path words that hold digits only stand for one token."""
     labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(3))), lambda n: F.concat(F.lit("domain="), F.array_join(F.slice(labels, -n, n), ".")))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.lit("domain="), F.array_join(F.slice(labels, -n, n), ".")))
     words = F.filter(F.split(path, "[/._-]"), lambda w: w != "")
     words = F.transform(words, lambda w: F.concat(F.lit("path="), F.when(w.rlike("^[0-9]+$"), F.lit("#")).otherwise(F.lower(w))))
     names = F.transform(F.regexp_extract_all(url, F.lit(r"[?&]([^=&#]+)="), F.lit(1)), lambda q: F.concat(F.lit("query="), F.lower(q)))
     more = F.array(F.concat(F.lit("scheme="), F.lower(F.substring_index(url, "://", 1))), F.concat(F.lit("label="), labels[0]))
-    every = F.array_distinct(F.concat(suffixes, F.slice(words, 1, 3), F.slice(names, 1, 3), more))
+    last = F.regexp_extract(path, r"\.([^./]+)$", 1)
+    kind = F.when(last != "", F.array(F.concat(F.lit("type="), F.lower(last)))).otherwise(F.array().cast("array<string>"))
+    every = F.array_distinct(F.concat(suffixes, words, names, more, kind))
     return F.when(F.instr(url, "://") > 0, F.filter(every, lambda t: t.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
