@@ -54,3 +54,12 @@ def bm25(queries: DataFrame, postings: DataFrame, k1: float = K1, b: float = B)
     idf = df.crossJoin(F.broadcast(stats)).select("term", "mean_len", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     weighted = hits.join(idf, "term").join(lengths, "id").select("id", "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))).alias("s"))
     return queries.join(weighted, "term").groupBy("q", "id").agg(F.round(F.sum("s"), 6).alias("score"))
+
+
+MOST_ROWS = 100_000
+
+
+def blocks(rows: DataFrame, most: int = MOST_ROWS) -> list[DataFrame]:
+    """Distinct rows in blocks of about `most`, by hash; none for no rows. Each can be told to every task."""
+    n = -(-rows.count() // most)
+    return [rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(n)) == i) for i in range(n)]

@@ -366,3 +366,28 @@ def evidence_substring_audit(spark, d):
     items = items.withColumns({"k": F.col("item_id") % 7, "s": F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")), "evidence": F.substring("said", 1, 60)})
     return docs.join(items, ["k", "s"]).groupBy("item_id").agg(
         F.count("*").alias("n"), ev.count_where(F.contains("text", "evidence")).alias("found"), ev.count_where(F.col("evidence").rlike("^[=+@]")).alias("unsafe"), ev.count_where(F.length("evidence") > 500).alias("too_long"))
+
+
+@register("evidence_whole_audit")
+def evidence_whole_audit(spark, d):
+    """Whole item texts against all documents; held against brute force in the tests.
+
+    An item's first and last word may be parts of a document's words, so what is looked up is a window of the words
+    between them; every hit is verified. Items without such words are held against each document, in blocks.
+    """
+    from lectern.llm import decontaminate
+    from lectern.operators.retrieval import blocks
+
+    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("said"))
+    gap, word = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    inner = F.regexp_replace("said", rf"\A{word}++|{word}+\z", "")
+    known = items.select("said").filter("said IS NOT NULL").distinct().withColumn("within", F.regexp_extract(inner, rf"\A(?:{gap}*+{word}++){{1,{decontaminate.SIZE}}}+", 0))
+    known = known.withColumn("h", F.xxhash64("said"))
+    hits = decontaminate.find(docs, known.filter("within <> ''"), keep=("doc_id", "text"), item="h", item_text="within")
+    found = hits.select("text", F.explode("items").alias("h")).join(known.select("h", "said"), "h").filter(F.contains("text", "said")).select("said")
+    for block in blocks(known.filter("within = ''").select("said")):
+        found = found.unionByName(docs.join(F.broadcast(block), F.contains("text", "said")).select("said"))
+    per = items.join(found.groupBy("said").agg(F.count("*").alias("c")), "said", "left").crossJoin(docs.agg(F.count("*").alias("all")))
+    return per.groupBy("item_id").agg(
+        F.sum("all").alias("n"), F.sum(F.coalesce("c", F.lit(0))).alias("found"), F.sum(F.when(F.col("said").rlike("^[=+@]"), F.col("all")).otherwise(0)).alias("unsafe"),
+        F.sum(F.when(F.length("said") > 500, F.col("all")).otherwise(0)).alias("too_long"))
