@@ -448,8 +448,8 @@ def candidate_segments(spark, d):
 
 @register("review_rules")
 def review_rules(spark, d):
-    """The review rules over every document as a notice of its own."""
+    """The review rules over every document as a notice of its own: services, with a budget of the estimate and its tax."""
     from lectern.operators.rules import judge
 
-    notice = docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), F.create_map(F.lit("입찰추정가격"), F.col("n_chars").cast("string"), F.lit("적용계약법"), F.lit("국가계약법"), F.lit("계약방법"), F.lit("협상")).alias("meta"), F.array(F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.lit("공고문").alias("type"), "text")).alias("docs"))
+    notice = docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), F.create_map(F.lit("입찰추정가격"), F.col("n_chars").cast("string"), F.lit("배정예산금액"), F.floor(F.col("n_chars") * 11 / 10).cast("string"), F.lit("업무구분"), F.lit("일반용역"), F.lit("적용계약법"), F.lit("국가계약법"), F.lit("계약방법"), F.lit("협상")).alias("meta"), F.array(F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.lit("공고문").alias("type"), "text")).alias("docs"))
     return judge(notice).select("id", "v2", "v3", "v22", "sections")

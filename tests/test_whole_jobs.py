@@ -25,6 +25,13 @@ def test_evidence_whole_audit(spark, tmp_path):
     assert got == want and got[1][3] == len(docs) and got[2][1] == 2
 
 
+def test_review_rules_fire(spark, tmp_path):
+    head = "3. 입찰참가자격\n"
+    docs = [head + "- 2억원 이상의 실적\n", head + "- 업체 등록\n", "계약방법: 협상. 사업설명회에 불참한 업체는 입찰에 참가할 수 없음", head + "- 50원 이상의 실적\n"]
+    got = {r["id"]: (r["v2"], r["v3"], r["v22"]) for r in run(spark, tmp_path, "review_rules", docs).collect()}
+    assert (got["0"], got["1"], got["2"]) == ((1, 1, 0), (0, 0, 0), (0, 0, 1))
+
+
 def test_blocks_hold_every_row_once(spark):
     rows = spark.range(1000)
     parts = [{r["id"] for r in b.collect()} for b in retrieval.blocks(rows, 300)]
