@@ -339,14 +339,14 @@ def candidate_union(spark, d):
     dd = docs(spark, d).select("doc_id", "text")
     by_key = dd.withColumn("k", F.substring("text", 1, 5)).join(items.withColumn("k", F.substring("said", 1, 5)), "k").select("doc_id", "item_id", F.lit("start").alias("reason"))
     # Containment by a shared word run: the first three words of the evidence meet the document's runs, then are verified.
-    head = items.withColumn("e", F.substring("said", 1, 40)).withColumn("run", F.array_join(F.slice(F.split("e", " "), 2, 2), " "))
+    head = items.withColumn("e", F.substring("said", 1, 40)).withColumn("run", F.array_join(F.slice(F.split("e", r"[ \n]"), 2, 2), " "))
     runs = dd.withColumn("w", F.split("text", r"[ \n]"))
     runs = runs.select("doc_id", "text", F.explode(F.array_distinct(F.expr("transform(sequence(1, greatest(size(w) - 1, 1)), i -> concat_ws(' ', get(w, i - 1), get(w, i)))"))).alias("run"))
-    small = head.filter(F.size(F.split("e", " ")) >= 4)
-    short = head.filter(F.size(F.split("e", " ")) < 4)
+    small = head.filter(F.size(F.split("e", r"[ \n]")) >= 4)
+    short = head.filter(F.size(F.split("e", r"[ \n]")) < 4).select("item_id", "e").distinct()
     inside = runs.join(small, "run").filter(F.contains("text", F.col("e"))).select("doc_id", "item_id", F.lit("contained").alias("reason"))
-    if short.count():
-        inside = inside.unionByName(dd.join(F.broadcast(short.limit(100_000)), F.contains("text", F.col("e"))).select("doc_id", "item_id", F.lit("contained").alias("reason")))
+    for block in rt.blocks(short):
+        inside = inside.unionByName(dd.join(F.broadcast(block), F.contains("text", F.col("e"))).select("doc_id", "item_id", F.lit("contained").alias("reason")))
     return by_key.unionByName(inside).groupBy("doc_id", "item_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
 
 

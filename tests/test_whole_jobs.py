@@ -1,5 +1,7 @@
 """Queries that look at all of their input, on small tables made for it."""
 
+import pytest
+
 from lectern.operators import retrieval
 from lectern.plans import registry
 
@@ -32,6 +34,17 @@ def test_review_rules_fire(spark, tmp_path):
     assert (got["0"], got["1"], got["2"]) == ((1, 1, 0), (0, 0, 0), (0, 0, 1))
 
 
+def test_candidate_union_keeps_every_short_item(spark, tmp_path):
+    n = 100_050
+    got = run(spark, tmp_path, "candidate_union", ["b a c"], [(i, "a") for i in range(n)])
+    assert got.count() == n
+
+
+@pytest.mark.parametrize("said", ["one two\nthree four five", "one\ntwo three four five", "one two three\nfour five"])
+def test_candidate_union_splits_items_as_documents(spark, tmp_path, said):
+    assert run(spark, tmp_path, "candidate_union", [f"so {said} it is"], [(1, said)]).count() == 1
+
+
 def test_blocks_hold_every_row_once(spark):
     rows = spark.range(1000)
     parts = [{r["id"] for r in b.collect()} for b in retrieval.blocks(rows, 300)]
