@@ -1,13 +1,13 @@
 """Secret scans: base patterns, and a linear-chain conditional random field that tags tokens.
 
-Tokens near something that could be a secret (at least 8 characters of a credential alphabet, one a digit) are tagged
-B, I or O: beginning of, inside, or outside a secret. Features are the token's shape (length, kinds of characters,
-entropy), its neighbours (key words, assignment signs, quotes, their shapes) and the file (share of digits and signs).
+Tokens near something that could be a secret (at least 6 characters of a credential alphabet that hold a digit, or that
+stand in or up to 3 tokens behind a key word or an assignment sign) are tagged B, I or O: beginning of, inside, or outside a secret. Features are the token's shape (length, kinds of characters,
+entropy), its neighbours (key words, assignment signs, quotes, their shapes) and the file (share of signs, counted over all of it).
 All chains of a batch are decoded at once by Viterbi. A token without that shape can only be O or I: this hard
 constraint is what lets the rest of a text be skipped, so whole texts are read and no secret by the model is lost.
 
 The field is fitted by maximum likelihood on a bounded sample of rows: up to `max_docs` with spans of the base
-patterns (by hash of the key), and as many others that hold digits; the base spans are the labels. Key words count as
+patterns (by hash of the key), and as many others that hold digits or signs; the base spans are the labels. Key words count as
 a feature, yet are hidden in half of the training chains, so that shape and neighbours must carry the decision too.
 
 Spans are `kind:start:end`: code points of the whole match (for `crf`, of the tokens), end exclusive. Model spans that
@@ -38,8 +38,14 @@ KINDS = ("assign", "access", "hex")
 
 MAX_DOCS = 1500
 _COULD = re.compile(r"[A-Za-z0-9+/_=-]*[0-9][A-Za-z0-9+/_=-]*")
+_ALPHABET = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*|[^\sA-Za-z0-9+/_=-]")
 _KEY = re.compile(r"passw|secret|token|api|key|auth|cred|private|bearer|pwd|access", re.I)
+_C = r"[A-Za-z0-9+/_=.-]"
+#: A run of the alphabet with a digit, or a key word or sign with the rest of its run.
+_SPOT = re.compile(rf"(?<!{_C})(?={_C}{{6}})[A-Za-z+/_=.-]*+[0-9]{_C}*+|(?:{_KEY.pattern}|[=:]){_C}*+", re.I | re.A)
+_NEXT = re.compile(rf"(?:\s*+(?:{_C}++|\S)){{0,3}}")
+_RUN = re.compile(rf"{_C}*+")
 _REACH = 60  # characters on either side of a possible secret that belong to its chain
 _B, _I, _O = range(3)
 N_FEATURES = 40
@@ -57,23 +63,42 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-def possible(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _COULD.finditer(text) if m.end() - m.start() >= 8]
+def chains(text: str) -> list[list[tuple[int, int]]]:
+    """Token spans of each stretch of text around possible secrets; no token is cut."""
+    near: list[list[int]] = []
+    for m in _SPOT.finditer(text):
+        a, b = max(0, m.start() - _REACH), max(min(len(text), m.end() + _REACH), _NEXT.match(text, m.end()).end())
+        if near and a <= near[-1][1]:
+            near[-1][1] = max(near[-1][1], b)
+        else:
+            near.append([a, b])
+    out: list[list[int]] = []
+    for a, b in near:
+        b = _RUN.match(text, b).end() if b and _RUN.match(text[b - 1]).end() else b
+        floor = out[-1][1] if out else 0
+        while a > floor and _RUN.match(text[a - 1]).end() and _RUN.match(text[a]).end():
+            a -= 1
+        if out and a <= floor:
+            out[-1][1] = max(b, floor)
+        else:
+            out.append([a, b])
+    return [[m.span() for m in _TOKEN.finditer(text, a, b)] for a, b in out]
+
+
+def may_begin(text: str, tokens: list[tuple[int, int]]) -> list[bool]:
+    """Whether a secret may begin at each token."""
+    words = [text[a:b] for a, b in tokens]
+    opens = [bool(_KEY.search(w)) or "=" in w or w == ":" for w in words]
+    out = []
+    for i, w in enumerate(words):
+        bare = w.replace(".", "")
+        out.append(bool(_ALPHABET.fullmatch(bare)) and (bool(_COULD.fullmatch(bare)) or any(opens[max(0, i - 3) : i + 1])))
+    return out
 
 
-def chains(text: str) -> list[list[tuple[int, int]]]:
-    """Token spans of each stretch of text around possible secrets."""
-    out, lo, hi = [], None, 0
-    for a, b in possible(text):
-        if lo is not None and a - _REACH > hi:
-            out.append((lo, hi))
-            lo = None
-        if lo is None:
-            lo = max(0, a - _REACH)
-        hi = min(len(text), b + _REACH)
-    if lo is not None:
-        out.append((lo, hi))
-    return [[m.span() for m in _TOKEN.finditer(text, lo, hi)] for lo, hi in out]
+def _coded(text: str) -> bool:
+    """Whether more than 2 % of a text's characters are signs of code."""
+    return sum(text.count(c) for c in "{}[]();=<>\"'") > 0.02 * max(1, len(text))
 
 
 def _entropy(token: str) -> float:
@@ -110,14 +135,13 @@ def _shape(token: str) -> list[int]:
     return out
 
 
-def features(text: str, tokens: list[tuple[int, int]], hide_keys: bool = False) -> np.ndarray:
+def features(text: str, tokens: list[tuple[int, int]], hide_keys: bool = False, coded: bool | None = None) -> np.ndarray:
     """0/1 features, one row per token."""
     words = [text[a:b] for a, b in tokens]
     shapes = [_shape(w) for w in words]
     key = [not hide_keys and bool(_KEY.search(w)) for w in words]
     sign = [w in ("=", ":") or w.endswith("=") for w in words]
-    some = text[:: max(1, len(text) // 4000)] or " "
-    coded = sum(c in "{}[]();=<>\"'" for c in some) / len(some) > 0.02
+    coded = _coded(text) if coded is None else coded
     x = np.zeros((len(words), N_FEATURES))
     for i in range(len(words)):
         x[i, shapes[i]] = 1
@@ -131,7 +155,7 @@ def features(text: str, tokens: list[tuple[int, int]], hide_keys: bool = False)
         x[i, 35] = words[i] in ("@",) or (i > 0 and words[i - 1] == "@") or (i + 1 < len(words) and words[i + 1] == "@")
         x[i, 36] = coded
         x[i, 37] = i == 0
-        x[i, 38] = len(words[i]) >= 8 and bool(_COULD.fullmatch(words[i].replace(".", "")))
+    x[:, 38] = may_begin(text, tokens)
     x[:, 39] = 1
     return x
 
@@ -246,10 +270,10 @@ def secret_part(text: str, start: int, end: int, kind: int) -> tuple[int, int]:
 
 
 def sample(df: DataFrame, text: str, key: str, max_docs: int) -> list[str]:
-    """Up to about `max_docs` texts with base spans and as many others with digits, by hash of the key; no text is cut."""
+    """Up to about `max_docs` texts with base spans and as many others with digits or signs, by hash of the key; no text is cut."""
     body = F.col(text)
     hit = body.rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]") | body.rlike(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    rows = df.select(F.xxhash64(F.col(key).cast("string"), body).alias("h"), body.alias("t"), hit.alias("hit"), F.length(body).alias("n")).filter(body.rlike("[0-9]") & (F.length(body) < 20_000))
+    rows = df.select(F.xxhash64(F.col(key).cast("string"), body).alias("h"), body.alias("t"), hit.alias("hit"), F.length(body).alias("n")).filter((hit | body.rlike("[0-9=:]")) & (F.length(body) < 20_000))
     counts = {r["hit"]: r["count"] for r in rows.groupBy("hit").count().collect()}
     part = F.pmod("h", F.lit(1_000_000))
     keep = F.lit(False)
@@ -262,10 +286,13 @@ def train(texts: list[str]) -> dict[str, np.ndarray] | None:
     rows, tags = [], []
     for n, text in enumerate(texts):
         spans = sorted({secret_part(text, *s) for s in base_spans(text)})
-        for tokens in chains(text)[:20]:
-            tokens = tokens[:60]
-            rows.append(features(text, tokens, hide_keys=bool(n % 2)))
-            tags.append(_labels(tokens, spans))
+        pieces = [tokens[at : at + 60] for tokens in chains(text) for at in range(0, len(tokens), 60)]
+        told = [(_labels(tokens, spans), tokens) for tokens in pieces]
+        told.sort(key=lambda p: not (p[0] != _O).any())  # pieces with labels first, else in order
+        coded = _coded(text)
+        for labels, tokens in told[:20]:
+            rows.append(features(text, tokens, bool(n % 2), coded))
+            tags.append(labels)
     if not any((t == _B).any() for t in tags):
         return None
     return fit(rows, tags)
@@ -278,8 +305,9 @@ def _spans(texts: list[str], model) -> list[tuple[list[tuple[int, int, int]], li
     if model is not None:
         rows, where = [], []
         for i, text in enumerate(texts):
+            coded = _coded(text) if text else False
             for tokens in chains(text) if text else ():
-                rows.append(features(text, tokens))
+                rows.append(features(text, tokens, coded=coded))
                 where.append((i, tokens))
         for (i, tokens), tags in zip(where, viterbi(model, rows), strict=True):
             k = 0
@@ -309,8 +337,8 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at_text).fill_null("")
-            # Whatever can be found holds a digit, a key word with its sign, or the letters of an access key.
-            worth = pc.match_substring_regex(texts, r"(?i)[0-9]|akia|(passw|secret|token|api)[^\n]{0,40}[:=]|[a-f]{24}").to_numpy(zero_copy_only=False)
+            # Whatever can be found holds a digit, a sign, a key word, or the letters of an access key or of a hash.
+            worth = pc.match_substring_regex(texts, rf"(?i)[0-9=:]|akia|{_KEY.pattern}|[a-f]{{24}}").to_numpy(zero_copy_only=False)
             out: list[list] = [[] for _ in range(len(texts))]
             spots = np.flatnonzero(worth).tolist()
             for at in range(0, len(spots), 256):
