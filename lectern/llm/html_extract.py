@@ -75,6 +75,23 @@ class Node:
         self.parts: list[str | Node] = []
 
 
+def _svg_ends(page: str, pos: int) -> dict[int, int]:
+    """Start of each svg from `pos` on that has an end tag, and the place behind that; nested ones are counted."""
+    out, opened = {}, []
+    while (m := _MARKUP.search(page, pos)) is not None:
+        pos = m.end()
+        tag = (m[2] or "").lower()
+        if tag == "svg" and m[1]:
+            if opened:
+                out[opened.pop()] = pos
+        elif tag == "svg" and not m[3].endswith("/"):
+            opened.append(m.start())
+        elif tag in _SKIP_TO_END and not m[1] and not m[3].endswith("/"):
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
+            pos = end.end() if end else pos
+    return out
+
+
 def parse(page: str) -> Node:
     """The elements of a page; text that is never shown is left out."""
     root = Node("html", [], None)
@@ -92,6 +109,7 @@ def parse(page: str) -> Node:
             if open_nodes[i].tag in scope:
                 return
 
+    ends: dict[int, int] | None = None
     pos = 0
     while (m := _MARKUP.search(page, pos)) is not None:
         text(page[at : m.start()])
@@ -119,7 +137,11 @@ def parse(page: str) -> Node:
         node = Node(tag, names, open_nodes[-1], attrs.get("data-y"))
         open_nodes[-1].children.append(node)
         open_nodes[-1].parts.append(node)
-        if tag in _SKIP_TO_END:
+        if tag == "svg":
+            # Behind its own end tag; a self-closed one, and one that is never closed, hides nothing.
+            ends = _svg_ends(page, m.start()) if ends is None else ends
+            at = pos = ends.get(m.start(), at)
+        elif tag in _SKIP_TO_END:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = pos = end.end() if end else len(page)
         elif not m[3].endswith("/"):
