@@ -1,21 +1,25 @@
 """N-gram Jaccard join: documents whose sets of 5-word shingles are alike, by a grouped prefix join.
 
-1. Order. Any order of shingles makes prefixes valid; rare ones first keeps inverted lists short. A count by hash
-   bucket over all documents finds buckets far above the mean; only those (a bounded share of the buckets) are told to
-   every task, and their shingles come last, by size class. All others are in order of hash.
-2. Prefixes. Sets with Jaccard >= t share a shingle among the first n - ceil(t n) + 1 of each. Equal sets become one
-   class; classes with the same prefix and size become one group, and only groups enter the inverted index.
-   A key's place in its prefix is kept: a pair is made only where enough elements follow in both sets.
-3. Index. Keys held by one group are dropped by an aggregate that is combined before it moves; the rest of the index
-   joins back (large partitions can be split). Groups are expanded into their classes.
+1. Tallies. One pass over all texts names every set by a print (equal sets are one class) and counts, of the first
+   shingles of each set in order of hash, those that another class holds too. Linked sets share their first common
+   shingles early in that order, so a class with too few shared ones is linked with nothing and goes. What a task holds
+   twice it counts itself and tells others once, so a very common shingle does not gather its documents.
+2. Order. Shingles of the classes that stay are counted exactly; rare ones come first. Those that no other class holds
+   need no entry, they only fill the prefix.
+3. Prefixes. Sets with Jaccard >= t share a shingle among the first n - ceil(t n) + 1 of each. Classes with the same
+   prefix and size become one group, and only groups enter the inverted index. A key's place in its prefix is kept: a
+   pair is made only where enough elements follow in both sets. Keys of one group are dropped; then groups are expanded
+   into their classes.
 4. Verification in star rounds. In each list one class is the centre; the members that are not yet connected to it, of
-   fitting size and signature and not compared before, are verified against it on whole sets. Crowds of near copies come together in
-   these rounds, in which lists take their centre from the component with the smallest id. A last round compares every pair that still shares a key across components, so no link is lost that
-   joins different components; links within one component add nothing to the result.
-
-Returned are components, not pairs. Shingles are compared by 64-bit hashes. Nulls and texts without words have an empty
-set, size 0, and are linked with nothing; texts of fewer words have their whole sequence as one shingle. Rows are kept
-one to one; ids are taken as unique (equal ids are one node). Empty table: empty result.
+   fitting size and signature and not compared before, are verified against it on whole sets. Lists whose members all
+   hang together are dropped after each round. The last round compares what still shares a key across components, so
+   no link is lost that joins different components; links within one component add nothing to the result. Its lists
+   are dealt in blocks, and only pairs that sizes, places and signatures allow leave the join.
+
+Returned are components, not pairs. Shingles and sets are compared by 64-bit hashes. Nulls and texts without words have an
+empty set, size 0, and are linked with nothing; texts of fewer words have their whole sequence as one shingle. Rows are
+kept one to one, each judged by its own text also where ids repeat. A null id never names a component: its row has the
+smallest id of the others linked with it, or null. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm._words import NONSPACE, Words, mix, slices, words_of
@@ -33,13 +37,20 @@ from lectern.llm.shared import cut, release
 
 SIZE = 5
 PERCENT = 75
-BUCKET_BITS = 19
+#: Of this share of a set's size, shared shingles beyond the first are asked for in the tallies.
+EXTRA = 10
 STAR_ROUNDS = 6
+#: Bytes of text whose shingles are counted in one task.
+PART_BYTES = 16 << 20
+#: Entries that a task gathers before it tells them.
+GATHER = 1 << 21
+#: Ids that are told to every task at most (8 bytes each); more are joined.
 BROADCAST_IDS = 1_000_000
+#: Members of a list that one task of the last round takes on its left side.
+BLOCK = 1_000
 #: Bits of a set's signature; element hashes toggle bits, so that two signatures differ in no more bits than the sets
-#: differ in elements. Pairs whose signatures differ in too many bits are ruled out before any text moves.
+#: differ in elements. Pairs whose signatures differ in too many bits are ruled out before any set moves.
 SIGNATURE = 4096
-_HEAVY = 2  # times the mean
 
 
 def _hashes(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,162 +73,245 @@ def _hashes(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-
+def _sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text in ascending order, the bounds of each text's, and the sets' prints."""
+    h, bounds = _hashes(words_of(data, offsets, NONSPACE), size)
+    for d in range(len(bounds) - 1):
+        h[bounds[d] : bounds[d + 1]].sort()
+    first = np.ones(len(h), dtype=bool)
+    first[1:] = h[1:] != h[:-1]
+    first[bounds[:-1][bounds[:-1] < len(h)]] = True
+    kept = np.concatenate(([0], np.cumsum(first)))[bounds]
+    h = h[first]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h), dtype=np.uint64)))
+    prints = mix(sums[kept[1:]] - sums[kept[:-1]] + np.diff(kept).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return h, kept, prints
 
-def heavy_buckets(docs: DataFrame, size: int) -> np.ndarray:
-    """Size class of every hash bucket: 0 for all but those with many times the mean count. Counts cover all rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
-                h, _ = _hashes(words_of(data, offsets, NONSPACE), size)
-                total += np.bincount(_bucket(h), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
-
-    counts = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    counts = cut(counts)
-    mean = counts.agg(F.sum("n") / F.lit(float(1 << BUCKET_BITS))).first()[0] or 0.0
-    out = np.zeros(1 << BUCKET_BITS, dtype=np.uint8)
-    # At most half of the buckets can be this far above the mean.
-    for r in counts.filter(F.col("n") > max(_HEAVY * mean, 8)).select("bucket", F.floor(F.log2("n")).cast("int").alias("c")).collect():
-        out[r["bucket"]] = r["c"]
-    return out
-
-
-def prefix_length(n: int, percent: int = PERCENT) -> int:
+def prefix_length(n, percent: int = PERCENT):
     return n - -(-percent * n // 100) + 1
 
 
-def _sets(docs: DataFrame, classes: np.ndarray, size: int, percent: int) -> DataFrame:
-    """id, n, print (of the set), grp (of prefix and size) and the prefix's keys of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+def _asked(n, extra: int):
+    """Shared shingles that are asked for in a long prefix of a set of size n."""
+    return np.maximum(1, n * extra // 100)
+
+
+def _told(docs: DataFrame, parts: int, size: int, percent: int, extra: int) -> DataFrame:
+    """Rows (kind, part, id, print, x, twice) of lists, from one pass over all texts.
+
+    Kind 0: ids, prints and sizes x of sets. Kind 1: prefix entries of one part of the hash space, as prints and hashes x
+    that this task saw in one class, and the hashes that it saw in more. Kind 2: prints and numbers x of the latter.
+    """
+
+    def lists(values: np.ndarray, ends: np.ndarray, kind) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(values, kind))
+
+    def flush(ids: list, sizes: list, names: list, held: list, of: list) -> pa.RecordBatch:
+        h, p = np.concatenate(held), np.concatenate(of)
+        order = np.lexsort((p, h))
+        h, p = h[order], p[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (p[1:] != p[:-1])  # copies within the task
+        h, p = h[new], p[new]
+        same = h[1:] == h[:-1]
+        twice = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(h) else np.zeros(0, bool)
+        whose, times = np.unique(p[twice], return_counts=True)
+        many = np.unique(h[twice])
+        h, p = h[~twice], p[~twice]  # in order of hash, so in order of part
+        low = [(x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for x in (h, many)]
+        part = [((x >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64) for x in (h, many)]
+        here = np.union1d(*part)
+        ends = [np.searchsorted(x, here, side="right") for x in part]
+        at = int(whose[0] % np.uint64(parts)) if len(whose) else int(here[0]) if len(here) else 0
+        n = len(here)
+        none = np.zeros(n, np.int64)
+        all_ids, all_names = pa.concat_arrays(ids), np.concatenate(names)
+        rows = [
+            pa.array([1] * n + [0, 2], pa.int32()),
+            pa.array([*here.tolist(), at, at], pa.int32()),
+            pa.ListArray.from_arrays(pa.array(np.concatenate(([0], none, [len(all_ids)] * 2)), pa.int32()), all_ids),
+            lists(np.concatenate((p, all_names, whose)).view(np.int64), np.concatenate((ends[0], len(p) + np.cumsum([len(all_names), len(whose)]))), pa.int64()),
+            lists(np.concatenate((low[0], np.concatenate(sizes).astype(np.int32), times.astype(np.int32))), np.concatenate((ends[0], len(p) + np.cumsum([len(all_names), len(whose)]))), pa.int32()),
+            lists(low[1], np.concatenate((ends[1], [len(many)] * 2)), pa.int32()),
+        ]
+        return pa.RecordBatch.from_arrays(rows, names=["kind", "part", "id", "print", "x", "twice"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = shared.value
+        ids, sizes, names, held, of, gathered = [], [], [], [], [], 0
         for batch in batches:
-            n_all, prints, groups, keys, ends, signs = [], [], [], [], [0], []
             for a, b, data, offsets in slices(batch.column(1)):
-                h, bounds = _hashes(words_of(data, offsets, NONSPACE), size)
-                for d in range(b - a):
-                    u = np.unique(h[bounds[d] : bounds[d + 1]])
-                    n = len(u)
-                    n_all.append(n)
-                    signs.append(np.packbits(np.bincount((mix(u) & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1))
-                    if not n:
-                        prints.append(0)
-                        groups.append(0)
-                        ends.append(ends[-1])
-                        continue
-                    prints.append(int(mix(u).sum(dtype=np.uint64).view(np.int64)))
-                    c = level[_bucket(u)]
-                    if c.any():
-                        u = u[np.argsort(c, kind="stable")]
-                    u = u[: prefix_length(n, percent)]
-                    groups.append(int(mix(np.array([mix(u ^ np.uint64(0x5555)).sum(dtype=np.uint64) + np.uint64(n)], dtype=np.uint64)).view(np.int64)[0]))
-                    keys.append((u >> np.uint64(32)).astype(np.uint32).view(np.int32))  # in order
-                    ends.append(ends[-1] + len(u))
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            words = SIGNATURE // 64
-            sign = pa.ListArray.from_arrays(pa.array(np.arange(0, words * len(n_all) + 1, words), pa.int32()), pa.array(np.concatenate(signs).view(np.int64) if signs else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_all, pa.int32()), pa.array(prints, pa.int64()), pa.array(groups, pa.int64()), listed, sign], names=["id", "n", "print", "grp", "keys", "sign"])
+                h, bounds, prints = _sets(data, offsets, size)
+                n = np.diff(bounds)
+                long = np.minimum(n, prefix_length(n, percent) - 1 + _asked(n, extra))
+                place = np.arange(len(h)) - np.repeat(bounds[:-1], n)
+                early = place < np.repeat(long, n)
+                ids.append(batch.column(0).slice(a, b - a))
+                sizes.append(n)
+                names.append(prints)
+                held.append(h[early])
+                of.append(np.repeat(prints, long))
+                gathered += len(held[-1]) + b - a
+                if gathered >= GATHER:
+                    yield flush(ids, sizes, names, held, of)
+                    ids, sizes, names, held, of, gathered = [], [], [], [], [], 0
+        if ids:
+            yield flush(ids, sizes, names, held, of)
+        release()
+
+    return docs.select("id", "text").mapInArrow(run, "kind int, part int, id array<long>, print array<long>, x array<int>, twice array<int>")
+
+
+def _tallied(told: DataFrame) -> DataFrame:
+    """Rows (id, n, print) of every document, and rows (print, shared) of partial tallies, their other columns null."""
+
+    def run(table: pa.Table) -> pa.Table:
+        def flat(kind: int, name: str):
+            return table.column(name).filter(pa.compute.equal(table.column("kind"), kind)).combine_chunks().flatten()
+
+        p, h, twice = flat(1, "print").to_numpy(), flat(1, "x").to_numpy(), flat(1, "twice").to_numpy()
+        order = np.lexsort((p, h))
+        p, h = p[order], h[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (p[1:] != p[:-1])
+        p, h = p[new], h[new]
+        same = h[1:] == h[:-1]
+        shared = np.isin(h, twice)
+        shared[1:] |= same
+        shared[:-1] |= same
+        whose, times = np.unique(p[shared], return_counts=True)
+        ids, n, prints = flat(0, "id"), flat(0, "x"), flat(0, "print")
+        more = [flat(2, "print"), flat(2, "x")]
+        m = len(whose) + len(more[0])
+        return pa.Table.from_arrays(
+            [
+                pa.concat_arrays([ids, pa.nulls(m, pa.int64())]),
+                pa.concat_arrays([n, pa.nulls(m, pa.int32())]),
+                pa.concat_arrays([prints, pa.array(whose, pa.int64()), more[0]]),
+                pa.concat_arrays([pa.nulls(len(ids), pa.int32()), pa.array(times, pa.int32()), more[1]]),
+            ],
+            names=["id", "n", "print", "shared"],
+        )
+
+    return told.groupBy("part").applyInArrow(run, "id long, n int, print long, shared int")
+
+
+def _full(docs: DataFrame, size: int) -> DataFrame:
+    """print, n, hashes (ascending) and signature of every document's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = SIGNATURE // 64
+        for batch in batches:
+            for a, b, data, offsets in slices(batch.column(0)):
+                h, bounds, prints = _sets(data, offsets, size)
+                bit = (mix(h) & np.uint64(SIGNATURE - 1)).astype(np.int64)
+                signs = [np.packbits(np.bincount(bit[bounds[d] : bounds[d + 1]], minlength=SIGNATURE) & 1).view(np.int64) for d in range(b - a)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(prints.view(np.int64)),
+                        pa.array(np.diff(bounds), pa.int32()),
+                        pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, words * (b - a) + 1, words), pa.int32()), pa.array(np.concatenate(signs))),
+                    ],
+                    names=["print", "n", "hashes", "sign"],
+                )
         release()
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n int, print long, grp long, keys array<int>, sign array<long>")
+    return docs.select("text").mapInArrow(run, "print long, n int, hashes array<long>, sign array<long>")
+
+
+def _needed(n: Column, percent: int) -> Column:
+    return F.ceil(n * percent / 100)
 
 
-def _possible(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that their sizes and signatures do not rule out. signs: id, n, sign."""
-    one = signs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sign").alias("sa"))
-    two = signs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sign").alias("sb"))
+def _allowed(percent: int) -> Column:
+    """Signatures sa and sb of sets of sizes na and nb differ in no more bits than linked sets can."""
     differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    held = pairs.join(one, "a").join(two, "b")
-    return held.filter(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+    return differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """pairs (a, b) whose whole sets reach the similarity. docs: id, text."""
+def _possible(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that their sizes and signatures do not rule out."""
+    one = full.select(F.col("print").alias("a"), F.col("n").alias("na"), F.col("sign").alias("sa"))
+    two = full.select(F.col("print").alias("b"), F.col("n").alias("nb"), F.col("sign").alias("sb"))
+    return pairs.join(one, "a").join(two, "b").filter(_allowed(percent)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) whose whole sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for c in (2, 3):
-                # A text that stands in many pairs of a batch is taken apart once.
-                coded = batch.column(c).dictionary_encode()
-                sets: list[np.ndarray] = []
-                for a, b, data, offsets in slices(coded.dictionary):
-                    h, bounds = _hashes(words_of(data, offsets, NONSPACE), size)
-                    sets += [np.unique(h[bounds[d] : bounds[d + 1]]) for d in range(b - a)]
-                sides.append((sets, coded.indices.to_pylist()))
-            (xs, xi), (ys, yi) = sides
             ok = []
-            for i, j in zip(xi, yi, strict=True):
-                x, y = xs[i], ys[j]
+            xs, ys = batch.column(2), batch.column(3)
+            for i in range(batch.num_rows):
+                x, y = xs[i].values.to_numpy(), ys[i].values.to_numpy()
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    # Only texts that stand in a pair move.
-    named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.lit(1).alias("one")).select("id")
-    few = named.count() <= BROADCAST_IDS  # 8 bytes an id
-    texts = docs.join(F.broadcast(named) if few else named, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
-    held = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    return held.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    one = full.select(F.col("print").alias("a"), F.col("hashes").alias("x"))
+    two = full.select(F.col("print").alias("b"), F.col("hashes").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def join(
-    df: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS,
-) -> DataFrame:
-    """`key`, n_shingles and component_id (smallest key reachable by links, itself included) for every row."""
-    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sets = cut(_sets(docs, heavy_buckets(docs, size), size, percent))
-    full = sets.filter((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = cut(full.groupBy("n", "print").agg(F.min("id").alias("id"), F.min("grp").alias("grp")))
-    entries = full.select("grp", F.posexplode("keys").alias("pos", "key"))
-    shared = entries.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo != hi").select("key")
-    listed = entries.join(shared, "key").groupBy("key", "grp").agg(F.min("pos").alias("pos"))
+def _keyed(full: DataFrame, percent: int) -> DataFrame:
+    """print, n, alone (shingles of no other class), keys (the rest of the prefix, rare first) and group of each class."""
+    entries = full.select("print", "n", F.explode("hashes").alias("h"))
+    often = entries.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
+    listed = entries.join(often, "h").groupBy("print").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))
+    listed = listed.filter(F.size("s") >= _needed(F.col("n"), percent)).withColumn("alone", F.col("n") - F.size("s"))
+    left = (F.col("n") - _needed(F.col("n"), percent) + 1 - F.col("alone")).cast("int")
+    listed = listed.withColumn("keys", F.slice("s", F.lit(1), F.greatest(left, F.lit(0)))["h"])
+    group = F.when(F.col("alone") == 0, F.xxhash64("n", "keys")).otherwise(F.col("print"))
+    return listed.select("print", "n", "alone", "keys", group.alias("grp"))
+
+
+def _lists(keyed: DataFrame) -> DataFrame:
+    """Inverted lists (key, node, n, pos) of the keys that several groups hold, and of every group of several classes."""
+    groups = keyed.groupBy("grp").agg(F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("keys").alias("keys"), F.count("*").alias("m"))
+    entries = groups.select("grp", "n", "alone", F.posexplode("keys").alias("at", "key")).select("key", "grp", "n", (F.col("alone") + F.col("at")).alias("pos"))
+    several = entries.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo != hi").select("key")
     # Classes of one group meet under the group's own name as well, in case no other group shares its keys.
-    crowded = classes.groupBy("grp").agg(F.count("*").alias("m")).filter("m > 1").select("grp")
-    own = classes.join(crowded, "grp").select(F.xxhash64("grp", F.lit("group")).alias("key"), "id", "n", F.lit(0).alias("pos"))
-    lists = listed.join(classes.select("grp", "id", "n"), "grp").select(F.col("key").cast("long").alias("key"), "id", "n", "pos").unionByName(own)
-    lists = cut(lists)
-    wanted = lists.select("id").groupBy("id").agg(F.lit(1).alias("one")).select("id")
-    n_wanted = wanted.count()
-    # 8 bytes an id: told to every task only below a fixed number of them.
-    signs = cut(sets.join(F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted, "id", "left_semi").groupBy("id").agg(F.max("n").alias("n"), F.max("sign").alias("sign")))
+    own = groups.filter("m > 1").select(F.xxhash64("grp", F.lit("group")).alias("key"), "grp", "n", F.lit(0).alias("pos"))
+    members = keyed.select("grp", F.col("print").alias("node"))
+    return entries.join(several, "key").unionByName(own).join(members, "grp").select("key", "node", "n", "pos")
+
+
+def _linked(lists: DataFrame, full: DataFrame, percent: int, star_rounds: int) -> DataFrame | None:
+    """(node, component) of every class with a link; None where there is no link."""
     # Of a linked pair the first shared key stands so early in both that enough is left behind it to share. That one key
     # is enough to find the pair; where it stands late, a pair cannot be linked and is not made.
     need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
-    fits = (F.col("n") - F.col("pos") >= need) & (F.col("m") - F.col("opos") >= need)
-    few = max(100, n_wanted // 500)
-    pair = [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
+    fits = (F.col("n") - F.col("pos") >= need) & (F.col("m") - F.col("opos") >= need) & (F.col("c") != F.col("oc"))
+    few = max(100, full.count() // 500)
+    pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     links = checked = member = None
     last, turn = star_rounds == 0, -1
     while True:
         turn += 1
-        now = lists
-        if member is not None:
-            now = lists.join(member, lists["id"] == member["node"], "left").select("key", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
-        else:
-            now = lists.withColumn("c", F.col("id"))
-        mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.col("c") if turn else F.lit(0).alias("c0"), F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id"), F.col("n"), F.col("pos"), F.col("c").alias("of"))).alias("centre")).filter("lo != hi")
+        now = lists.withColumn("c", F.col("node")) if member is None else lists.join(member, "node", "left").select(*lists.columns, F.coalesce("component", "node").alias("c"))
+        first = F.struct(F.col("c") if turn else F.lit(0).alias("c0"), F.xxhash64("node", F.lit(turn)).alias("r"), "node", "n", "pos", F.col("c").alias("of"))
+        mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min(first).alias("centre")).filter("lo != hi")
+        now = cut(now.join(mixed.select("key", "size", "centre"), "key"))
+        lists = now.select(*lists.columns)
         if last:
-            left = now.join(mixed.select("key"), "key")
-            other = left.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("pos").alias("opos"), F.col("c").alias("oc"))
-            pairs = left.join(other, "key").filter((F.col("id") < F.col("other")) & (F.col("c") != F.col("oc")) & fits)
+            blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+            signed = now.join(full.select(F.col("print").alias("node"), "sign"), "node").withColumn("blocks", blocks)
+            one = signed.select("key", "node", "n", "pos", "c", F.col("n").alias("na"), F.col("sign").alias("sa"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+            two = signed.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("opos"), F.col("c").alias("oc"), F.col("n").alias("nb"), F.col("sign").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+            one, two = one.alias("one"), two.alias("two")
+            on = (F.col("one.key") == F.col("two.key")) & (F.col("one.block") == F.col("two.block")) & (F.col("node") < F.col("other")) & fits & _allowed(percent)
+            pairs = one.join(two, on)
         else:
-            centre = mixed.select("key", F.col("centre.id").alias("other"), F.col("centre.n").alias("m"), F.col("centre.pos").alias("opos"), F.col("centre.of").alias("oc"))
-            pairs = now.join(centre, "key").filter((F.col("id") != F.col("other")) & (F.col("c") != F.col("oc")) & fits)
+            of = now.select("node", "n", "pos", "c", F.col("centre.node").alias("other"), F.col("centre.n").alias("m"), F.col("centre.pos").alias("opos"), F.col("centre.of").alias("oc"))
+            pairs = of.filter((F.col("node") != F.col("other")) & fits)
         pairs = pairs.select(*pair).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = cut(_possible(pairs, signs, percent))
-        found = cut(_verified(pairs, docs, size, percent))
+        pairs = cut(pairs if last else _possible(pairs, full, percent))
+        found = cut(_verified(pairs, full, percent))
         gained = found.count()
         # Star rounds end when they bring little more together; what they leave is for the last round.
         stop, last = last, last or gained < few or turn + 1 >= star_rounds
@@ -226,14 +320,37 @@ def join(
         if gained:
             member = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         if stop:
-            break
-    named = classes.select("n", "print", "id")
-    if member is not None:
-        named = named.join(member, named["id"] == member["node"], "left").select("n", "print", F.coalesce("component", "id").alias("component_id"))
+            return member
+
+
+def join(
+    df: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS, part_bytes: int = PART_BYTES,
+) -> DataFrame:
+    """`key`, n_shingles and component_id (smallest key reachable by links, itself included) for every row."""
+    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    said = cut(_tallied(_told(docs, bytes_ // part_bytes + 1, size, percent, EXTRA)))
+    rows = said.filter("n is not null").select("id", "n", "print")
+    classes = rows.filter("n > 0").groupBy("print").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    tally = said.filter("n is null").groupBy("print").agg(F.sum("shared").alias("shared"))
+    # A partner may be smaller, and be asked for less.
+    asked = F.greatest(F.lit(1), F.floor(_needed(F.col("n"), percent) * EXTRA / 100))
+    live = cut(classes.join(tally, "print").filter(F.col("shared") >= asked).select("print", "id"))
+    wanted = live.select(F.col("id").alias("rid"))
+    few = live.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("rid")), "left_semi")
+    # Rows with an id that is not theirs alone, and repeated rows.
+    full = _full(texts, size).join(live.select("print"), "print", "left_semi").groupBy("print").agg(*(F.first(c).alias(c) for c in ("n", "hashes", "sign")))
+    full = cut(full)
+    member = _linked(cut(_lists(cut(_keyed(full, percent)))), full, percent, star_rounds)
+    if member is None:
+        named = classes.select("print", F.col("id").alias("component_id"))
     else:
-        named = named.withColumnRenamed("id", "component_id")
-    linked = full.select("id", "n", "print").join(named, ["n", "print"]).select("id", "n", "component_id")
-    alone = sets.filter((F.col("n") == 0) | F.col("id").isNull()).select("id", "n", F.col("id").alias("component_id"))
+        placed = classes.join(member, classes["print"] == member["node"], "left").select("print", "id", F.coalesce("component", "print").alias("component"))
+        least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+        named = placed.join(least, "component").select("print", "component_id")
+    linked = rows.filter("n > 0").join(named, "print").select("id", "n", "component_id")
+    alone = rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
