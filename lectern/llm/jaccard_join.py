@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,7 +168,7 @@ def _tallied(told: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         def flat(kind: int, name: str):
-            return table.column(name).filter(pa.compute.equal(table.column("kind"), kind)).combine_chunks().flatten()
+            return table.column(name).filter(pc.equal(table.column("kind"), kind)).combine_chunks().flatten()
 
         p, h, twice = flat(1, "print").to_numpy(), flat(1, "x").to_numpy(), flat(1, "twice").to_numpy()
         order = np.lexsort((p, h))
