@@ -4,10 +4,11 @@ Each language has a probability for every piece of a fixed public vocabulary. A
 its segmentations into pieces, by a forward pass; a text's is the product over its words. (A piece holds the word mark
 only at its front, so a segmentation of a text is one of each of its words.) Pieces' probabilities come from expected
 counts over all segmentations (EM), learned on a bounded sample of labelled rows: up to `max_docs` per language, by
-hash of the key, whole texts. Words are scored once per table of bounded size, all new ones of a batch at a time.
+hash of the key, whole texts. Words of any length are scored whole, once per table of bounded size and letters, all new
+ones of a batch at a time.
 
-A row is never used with its own label, source or key when its language is predicted. A text without letters, or null,
-is `und` with score 0. Ties go to the first language in order of name. The score is the winner's share of probability
+A row is never used with its own label, source or key when its language is predicted. A text without letters (Unicode
+category L; numerals such as fractions are none), or null, is `und` with score 0. Ties go to the first language in order of name. The score is the winner's share of probability
 per tenth of the words, from 0 to 1. Rows are kept one to one. Without labelled rows every text is `und`.
 """
 
@@ -30,9 +31,12 @@ MAX_DOCS = 600
 CACHE_WORDS = 60_000
 UNKNOWN = "und"
 _MARK = "▁"
-_WORD = re.compile(r"[^\W\d_]+")
-_LONGEST = 24  # letters of a word that are scored at a time; longer words are scored in such parts
 _FLOOR = 1e-7
+#: Words of more letters are summed one by one, rescaled on the way; shorter ones many at a time. The sums are the same.
+_LONG = 40
+#: Letters of the words whose scores a worker keeps.
+CACHE_LETTERS = 8_000_000
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def default_model() -> str:
@@ -56,14 +60,12 @@ def vocabulary(path: str) -> dict[str, int]:
 
 
 def words_of(text: str) -> list[str]:
-    """Words of letters, lower-cased; very long ones in parts."""
-    out = []
-    for w in _WORD.findall(text.lower()):
-        if len(w) <= _LONGEST:
-            out.append(w)
-        else:
-            out += [w[i : i + _LONGEST] for i in range(0, len(w), _LONGEST)]
-    return out
+    """Words of letters (Unicode category L), lower-cased."""
+    words = _WORD.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    # Numerals such as fractions are no letters, though the pattern takes them.
+    return [part for w in words for part in ((w,) if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -127,6 +129,25 @@ class Lattice:
         return out, size, lengths
 
 
+    def grid(self, word: str) -> np.ndarray:
+        """Piece numbers of one word by length - 1 and start, the mark being character 0: -1 a letter that is no piece,
+        -2 no piece of that length there."""
+        chars = np.frombuffer((_MARK + word).encode("utf-32-le"), "<u4").astype(np.uint64)
+        size = len(chars)
+        out = np.full((min(self.longest, size), size), -2, dtype=np.int32)
+        out[0] = -1
+        h = np.zeros(size + 1, np.uint64)
+        for n in range(1, len(out) + 1):
+            h = h[: size - n + 1] * _MULTIPLIER + chars[n - 1 :]
+            known, numbers, _ = self.tables[n - 1]
+            if len(known):
+                f = _finish(h)
+                spot = np.minimum(np.searchsorted(known, f), len(known) - 1)
+                real = np.flatnonzero(known[spot] == f)
+                out[n - 1, real] = numbers[spot[real]]
+        return out
+
+
 _lattices: dict[int, Lattice] = {}
 
 
@@ -145,9 +166,41 @@ def _forward(arcs: dict, size: int, n: int, probs: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def _long_forward(grid: np.ndarray, probs: np.ndarray, run: int = 1024) -> np.ndarray:
+    """Log of the sums over all segmentations of each beginning of a word (place x language)."""
+    most, size = grid.shape
+    known = np.vstack([probs, np.zeros(probs.shape[1])])
+    out = np.zeros((size + 1, probs.shape[1]))
+    held, scale = np.zeros((most, probs.shape[1])), np.zeros(probs.shape[1])
+    held[-1] = 1
+    for a in range(1, size + 1, run):
+        b = min(a + run, size + 1)
+        at = np.full((b - a, most), -2)
+        for n in range(1, most + 1):
+            lo = max(a, n)
+            if lo < b:
+                at[lo - a :, most - n] = grid[n - 1, lo - n : b - n]
+        step = known[np.where(at == -2, len(probs), np.where(at == -1, len(probs) - 1, at))]
+        row = np.concatenate([held, np.zeros((b - a, probs.shape[1]))])
+        for k in range(b - a):
+            row[most + k] = (row[k : k + most] * step[k]).sum(0)
+            if k % 16 == 15:
+                top = row[k + 1 : most + k + 1].max(0)
+                row[k + 1 : most + k + 1] /= top
+                out[a + k - 15 : a + k + 1] = np.log(np.maximum(row[most + k - 15 : most + k + 1] * top, 1e-300)) + scale
+                scale = scale + np.log(top)
+        left = (b - a) % 16
+        if left:
+            out[b - left : b] = np.log(np.maximum(row[len(row) - left :], 1e-300)) + scale
+        held = row[b - a :]
+    return out
+
+
 def by_length(words: list[str], most: int = 4000) -> Iterator[np.ndarray]:
-    """Numbers of words of like length."""
-    order = np.argsort([len(w) for w in words], kind="stable")
+    """Numbers of the words of at most `_LONG` letters, words of like length together."""
+    sizes = np.array([len(w) for w in words])
+    order = np.argsort(sizes, kind="stable")
+    order = order[: np.searchsorted(sizes[order], _LONG, side="right")]
     for at in range(0, len(order), most):
         yield order[at : at + most]
 
@@ -159,6 +212,9 @@ def forward(words: list[str], vocab: dict[str, int], probs: np.ndarray) -> np.nd
         arcs, size, lengths = lattice(vocab).arcs([words[i] for i in own])
         alpha = _forward(arcs, size, len(own), probs)
         out[own] = np.log(np.maximum(alpha[lengths, np.arange(len(own))], 1e-300))
+    for i, w in enumerate(words):
+        if len(w) > _LONG:
+            out[i] = _long_forward(lattice(vocab).grid(w), probs)[-1]
     return out
 
 
@@ -177,6 +233,18 @@ def expected(words: list[str], counts: np.ndarray, vocab: dict[str, int], probs:
             step = probs[piece] * beta[j][some]
             beta[i][some] += step
             np.add.at(out, piece, alpha[i][some] * step * weight[some])
+    for w, count in zip(words, counts, strict=True):
+        if len(w) > _LONG:
+            grid = lattice(vocab).grid(w)
+            size = grid.shape[1]
+            back = np.full_like(grid, -2)
+            for n in range(1, len(grid) + 1):
+                back[n - 1, : size - n + 1] = grid[n - 1, : size - n + 1][::-1]
+            alpha, beta = _long_forward(grid, probs), _long_forward(back, probs)[::-1]
+            for n in range(1, len(grid) + 1):
+                at = np.flatnonzero(grid[n - 1] > -2)
+                piece = grid[n - 1, at]
+                np.add.at(out, piece, np.exp(alpha[at] + np.log(probs[piece]) + beta[at + n] - alpha[-1]) * count)
     return out
 
 
@@ -232,6 +300,7 @@ class Scorer:
     def __init__(self, langs: list[str], probs: np.ndarray, path: str):
         self.langs, self.probs, self.vocab = langs, probs, vocabulary(path)
         self.number: dict[str, int] = {}
+        self.letters = 0
         self.table = np.zeros((CACHE_WORDS, len(langs)))
 
     def score(self, texts: list[str]) -> list[tuple[str, float]]:
@@ -239,8 +308,9 @@ class Scorer:
         out: list[tuple[str, float]] = []
         at = 0
         while at < len(parts):
-            if len(self.number) > CACHE_WORDS // 2:
+            if len(self.number) > CACHE_WORDS // 2 or self.letters > CACHE_LETTERS:
                 self.number.clear()
+                self.letters = 0
             end, fresh = at, {}
             while end < len(parts):
                 new = {w for w in parts[end] if w not in self.number and w not in fresh}
@@ -249,6 +319,7 @@ class Scorer:
                 fresh.update(dict.fromkeys(new))
                 end += 1
             fresh = list(fresh)
+            self.letters += sum(map(len, fresh))
             first = len(self.number)
             if first + len(fresh) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros((first + len(fresh) - len(self.table), len(self.langs)))])
@@ -269,7 +340,8 @@ class Scorer:
 
 
 def identify(df: DataFrame, langs: list[str], probs: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",), model: str | None = None) -> DataFrame:
-    """`keep`, lang_pred and score of every row."""
+    """`keep`, lang_pred and score of every row. A kept column of one of these two names gives way to the result."""
+    keep = tuple(k for k in keep if k not in ("lang_pred", "score"))
     path = model or default_model()
     shared = df.sparkSession.sparkContext.broadcast((langs, probs.astype(np.float64)))  # vocabulary x languages
     schema = T.StructType([*(df.schema[k] for k in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
