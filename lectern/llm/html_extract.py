@@ -6,13 +6,15 @@ Spark ML's gradient-boosted trees learn which elements are main text; a page's e
 is kept whole, dropped whole, or mixed, and what is kept or dropped whole decides for all below it, so that no
 descendant contradicts its ancestor. Mixed costs something, so a page is cut in few places.
 
-Learned on a bounded sample: up to `max_pages` pages with an `article` or `main` element, by hash of the page. That
+Learned on a bounded sample: up to `max_pages` pages of up to `max_chars` characters with an `article` or `main`
+element, by hash of the page. That
 element is main, the rest of the page is not. Each page is learned as it is and in re-dressed copies, in which the main
 element has another tag and class, and headers, sidebars, notices, adverts, forms and comments, with the page's own
 sentences, stand around and within it; so structure and names have to decide, not words.
 
 Blocks are what block-level elements separate; white space in a block is one space, line breaks included; blocks are
-joined by a newline in page order. Scripts, styles, titles, comments of the markup and form controls are never text.
+joined by a newline in page order. Scripts, styles, titles, comments of the markup and form controls (textarea, select,
+option, button) are never text; what math, object, canvas and noscript hold is. A kept column named as a result gives way.
 Nulls: a null page is empty (text empty, 0 characters). Rows are kept one to one. Without pages to learn from, an
 element counts as main if it or an ancestor is `article` or `main`. Empty table: empty result.
 """
@@ -33,13 +35,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_PAGES = 150
+#: Characters of a page that is learned from, at most; longer ones are judged like all others.
+MAX_CHARS = 200_000
 TREES, DEPTH = 20, 4
 MIXED_COST = 0.7
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", re.S)
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+_OPENS = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+_REST = re.compile(r"""(?:[^"'>]++|"[^"]*"|'[^']*')*+>""")
+_ATTR = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-RAW = {"script", "style", "title", "textarea", "template", "noscript", "iframe", "svg", "select", "button", "option", "head", "math", "object", "canvas"}
+#: Never text: scripts, styles, what is not shown, and form controls.
+RAW = {"script", "style", "title", "template", "iframe", "svg", "head", "textarea", "select", "option", "button"}
 _SKIP_TO_END = {"script", "style", "title", "textarea", "iframe", "template", "svg"}
 VOID = {"br", "img", "input", "hr", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 BLOCK = {
@@ -75,20 +81,65 @@ class Node:
         self.parts: list[str | Node] = []
 
 
-def _svg_ends(page: str, pos: int) -> dict[int, int]:
+def _markup(page: str, pos: int = 0) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closes, tag, attributes) of each tag, and of comments and declarations with an empty tag.
+
+    One pass: a `>` within quotes does not end a tag. From the first tag on that the page's quotes leave open, quotes
+    are plain characters, so that no part of a page is read again and again. A caller may send a place to go on from.
+    """
+    quoted = True
+    while (m := _OPENS.search(page, pos)) is not None:
+        start, at = m.span()
+        if m[2] is None:
+            end = page.find("-->", at) if m[0] == "<!--" else page.find(">", at)
+            if end < 0 and m[0] != "<!--":
+                return  # no tag ends behind this place
+            end = len(page) if end < 0 else end + (3 if m[0] == "<!--" else 1)
+            pos = (yield start, end, False, "", "") or end
+            continue
+        if quoted:
+            stop = _REST.match(page, at)
+            quoted = stop is not None
+        end = stop.end() - 1 if quoted else page.find(">", at)
+        if end < 0:
+            return
+        pos = (yield start, end + 1, bool(m[1]), m[2].lower(), page[at:end]) or end + 1
+
+
+class _Ends:
+    """Where elements end whose content is no markup; a tag without a further end is looked for once."""
+
+    def __init__(self, page: str):
+        self.page, self.none = page, set()
+
+    def after(self, tag: str, at: int) -> int | None:
+        if tag in self.none:
+            return None
+        m = re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(self.page, at)
+        if m is None:
+            self.none.add(tag)
+        return m.end() if m else None
+
+
+def _svg_ends(page: str, pos: int, ends: _Ends) -> dict[int, int]:
     """Start of each svg from `pos` on that has an end tag, and the place behind that; nested ones are counted."""
     out, opened = {}, []
-    while (m := _MARKUP.search(page, pos)) is not None:
-        pos = m.end()
-        tag = (m[2] or "").lower()
-        if tag == "svg" and m[1]:
+    tags = _markup(page, pos)
+    tag = next(tags, None)
+    while tag is not None:
+        start, end, closes, name, rest = tag
+        go = None
+        if name == "svg" and closes:
             if opened:
-                out[opened.pop()] = pos
-        elif tag == "svg" and not m[3].endswith("/"):
-            opened.append(m.start())
-        elif tag in _SKIP_TO_END and not m[1] and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-            pos = end.end() if end else pos
+                out[opened.pop()] = end
+        elif name == "svg" and not rest.endswith("/"):
+            opened.append(start)
+        elif name in _SKIP_TO_END and not closes and not rest.endswith("/"):
+            go = ends.after(name, end)
+        try:
+            tag = tags.send(go)
+        except StopIteration:
+            break
     return out
 
 
@@ -96,56 +147,60 @@ def parse(page: str) -> Node:
     """The elements of a page; text that is never shown is left out."""
     root = Node("html", [], None)
     open_nodes, at = [root], 0
+    places: dict[str, list[int]] = {"html": [0]}  # of each open tag among the open nodes
 
     def text(piece: str) -> None:
         if piece and not any(n.tag in RAW for n in open_nodes[-3:]):
             open_nodes[-1].parts.append(html.unescape(piece))
 
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def shut(i: int) -> None:
+        while len(open_nodes) > i:
+            places[open_nodes.pop().tag].pop()
+
     def close(tags: set[str], scope: set[str]) -> None:
-        for i in range(len(open_nodes) - 1, 0, -1):
-            if open_nodes[i].tag in tags:
-                del open_nodes[i:]
-                return
-            if open_nodes[i].tag in scope:
-                return
-
-    ends: dict[int, int] | None = None
-    pos = 0
-    while (m := _MARKUP.search(page, pos)) is not None:
-        text(page[at : m.start()])
-        at = pos = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(open_nodes) - 1, 0, -1):
-                if open_nodes[i].tag == tag:
-                    del open_nodes[i:]
-                    break
-            continue
-        if tag in ("html", "body") and any(n.tag == tag for n in open_nodes):
-            continue
-        if tag in BLOCK:
-            close({"p"}, _SCOPE)
-            if tag in _ENDS:
-                close(_ENDS[tag], _SCOPE - {"td", "th"})
-        if tag in VOID:
-            open_nodes[-1].parts.append("\n" if tag == "br" else Node(tag, [], None) if tag == "hr" else "")
-            continue
-        attrs = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(m[3])} if m[3].strip() else {}
-        names = [w.lower() for k in ("class", "id", "role") for w in _NAME.findall(attrs.get(k, ""))]
-        node = Node(tag, names, open_nodes[-1], attrs.get("data-y"))
-        open_nodes[-1].children.append(node)
-        open_nodes[-1].parts.append(node)
-        if tag == "svg":
-            # Behind its own end tag; a self-closed one, and one that is never closed, hides nothing.
-            ends = _svg_ends(page, m.start()) if ends is None else ends
-            at = pos = ends.get(m.start(), at)
-        elif tag in _SKIP_TO_END:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = pos = end.end() if end else len(page)
-        elif not m[3].endswith("/"):
-            open_nodes.append(node)
+        if (i := last(tags)) and i >= last(scope):
+            shut(i)
+
+    ends, svg = _Ends(page), None
+    tags = _markup(page)
+    found = next(tags, None)
+    while found is not None:
+        start, end, closes, tag, rest = found
+        text(page[at:start])
+        at, go = end, None
+        if tag and closes:
+            if i := last((tag,)):
+                shut(i)
+        elif tag and not (tag in ("html", "body") and places.get(tag)):
+            if tag in BLOCK:
+                close({"p"}, _SCOPE)
+                if tag in _ENDS:
+                    close(_ENDS[tag], _SCOPE - {"td", "th"})
+            if tag in VOID:
+                open_nodes[-1].parts.append("\n" if tag == "br" else Node(tag, [], None) if tag == "hr" else "")
+            else:
+                attrs = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(rest)} if rest.strip() else {}
+                names = [w.lower() for k in ("class", "id", "role") for w in _NAME.findall(attrs.get(k, ""))]
+                node = Node(tag, names, open_nodes[-1], attrs.get("data-y"))
+                open_nodes[-1].children.append(node)
+                open_nodes[-1].parts.append(node)
+                if tag == "svg":
+                    # Behind its own end tag; a self-closed one, and one that is never closed, hides nothing.
+                    svg = _svg_ends(page, start, ends) if svg is None else svg
+                    at = go = svg.get(start, at)
+                elif tag in _SKIP_TO_END:
+                    skip = ends.after(tag, at)
+                    at = go = len(page) if skip is None else skip
+                elif not rest.endswith("/"):
+                    places.setdefault(tag, []).append(len(open_nodes))
+                    open_nodes.append(node)
+        try:
+            found = tags.send(go)
+        except StopIteration:
+            break
     text(page[at:])
     return root
 
@@ -287,15 +342,12 @@ def dressed(page: str, rng: random.Random, copies: int = 3) -> list[str]:
     return out
 
 
-def _tree(lines: list[str]) -> tuple:
-    """A tree of Spark's debug text: (feature, limit, left, right), or its value."""
-    line = lines.pop(0).strip()
-    if line.startswith("Predict:"):
-        return (float(line.split(":")[1]),)
-    m = re.match(r"If \(feature (\d+) <= (\S+)\)", line)
-    left = _tree(lines)
-    lines.pop(0)  # Else
-    return int(m[1]), float(m[2]), left, _tree(lines)
+def _tree(node) -> tuple:
+    """A tree of Spark's nodes: (feature, limit, left, right), or its value."""
+    if node.getClass().getSimpleName() == "LeafNode":
+        return (node.prediction(),)
+    split = node.split()
+    return split.featureIndex(), split.threshold(), _tree(node.leftChild()), _tree(node.rightChild())
 
 
 def _value(tree: tuple, x: np.ndarray) -> np.ndarray:
@@ -315,10 +367,10 @@ def probability(model: list[tuple[float, tuple]] | None, x: np.ndarray) -> np.nd
     return 1 / (1 + np.exp(-2 * score))  # the loss of Spark's trees is log(1 + exp(-2 y F))
 
 
-def train(pages: DataFrame, max_pages: int = MAX_PAGES) -> list[tuple[float, tuple]] | None:
+def train(pages: DataFrame, max_pages: int = MAX_PAGES, max_chars: int = MAX_CHARS) -> list[tuple[float, tuple]] | None:
     """pages: html. The sample is bounded, so its features are made here; Spark ML fits the trees."""
     spark = pages.sparkSession
-    rows = pages.filter(F.lower("html").rlike("<(article|main)[ >]") & (F.length("html") < 200_000)).select(F.xxhash64("html").alias("h"), "html")
+    rows = pages.filter(F.lower("html").rlike("<(article|main)[ >]") & (F.length("html") <= max_chars)).select(F.xxhash64("html").alias("h"), "html")
     n = rows.count()
     if not n:
         return None
@@ -337,10 +389,7 @@ def train(pages: DataFrame, max_pages: int = MAX_PAGES) -> list[tuple[float, tup
     frame = spark.createDataFrame(pa.table({"x": pa.array(xs, pa.list_(pa.float64())), "label": pa.array(ys, pa.float64())})).coalesce(4)
     frame = frame.select(array_to_vector("x").alias("features"), "label")
     fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=7, cacheNodeIds=False).fit(frame)
-    model = []
-    for w, t in zip(fitted.treeWeights, fitted.trees, strict=True):
-        model.append((w, _tree([s for s in t.toDebugString.splitlines() if re.match(r"\s*(If|Else|Predict)", s)])))
-    return model
+    return [(w, _tree(t._java_obj.rootNode())) for w, t in zip(fitted.treeWeights, fitted.trees, strict=True)]
 
 
 def decode(nodes: list[Node], p: np.ndarray) -> list[int]:
@@ -413,10 +462,11 @@ def main_text(root: Node, nodes: list[Node], choice: list[int], p: np.ndarray) -
 
 
 def extract(
-    df: DataFrame, markup: str = "html", keep: tuple[str, ...] = ("page_id", "url"), max_pages: int = MAX_PAGES, learn_from: DataFrame | None = None,
+    df: DataFrame, markup: str = "html", keep: tuple[str, ...] = ("page_id", "url"), max_pages: int = MAX_PAGES, learn_from: DataFrame | None = None, max_chars: int = MAX_CHARS,
 ) -> DataFrame:
     """`keep`, text and n_chars (code points) of every page. `learn_from`: pages to learn from (default: `df` itself)."""
-    model = train((df if learn_from is None else learn_from).select(F.col(markup).alias("html")), max_pages)
+    keep = tuple(k for k in keep if k not in ("text", "n_chars"))
+    model = train((df if learn_from is None else learn_from).select(F.col(markup).alias("html")), max_pages, max_chars)
     schema = T.StructType([*(df.schema[k] for k in keep), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
