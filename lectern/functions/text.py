@@ -5,14 +5,22 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import cache
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Units of Korean money amounts: fixed values.
+# Units and patterns of Korean money amounts and of numbered headings. Java keeps the mark of a heading in a
+# group of its own, as a level depends on it.
 UNITS = {"조": 10**12, "억": 10**8, "천만": 10**7, "백만": 10**6, "십만": 10**5, "만": 10**4, "천": 10**3, "백": 10**2}
+NUMBER = r"\d[\d,]*(?:\.\d+)?"
+UNIT = r"조|억|천만|백만|십만|만|천|백"
+MONEY = rf"(?<![\d.,])(?:(?:{NUMBER}\s*(?:{UNIT})\s*)+(?:{NUMBER}\s*)?원?|{NUMBER}\s*원)"
+NUMBERED = r"^(제?\d+|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+)([.、):장절])"
+#: A line ends behind each of these, and behind a carriage return that no line feed follows.
+LINE_END = r"(?<=[\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029])|(?<=\r)(?!\n)"
 EVIDENCE = 500
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())]))
 
@@ -42,12 +50,12 @@ def window(text: Column, at: Column, before: int = 180, size: int = EVIDENCE) ->
     return F.substr(text, start + 1, F.lit(size))
 
 
-def levels(heading: Column) -> Column:
-    """Numbering level of a heading: 1 for `1.`, 2 for `1.1` or `가.`, 3 for `1)`, 4 for `(1)`, else NULL."""
-    h = F.trim(heading)
-    return (
-        F.when(h.rlike(r"^\d+\.\d+"), 2).when(h.rlike(r"^\d+\."), 1).when(h.rlike(r"^[가-하]\."), 2).when(h.rlike(r"^\d+\)"), 3).when(h.rlike(r"^\(\d+\)"), 4)
-    )
+def levels(flat: Column) -> Column:
+    """Numbering level of a heading without white space: 0 for chapters and Roman numbers, 2 for `1)`, 1 for other
+    numbers, NULL without one. Lower levels hold higher ones."""
+    number, mark = F.regexp_extract(flat, NUMBERED, 1), F.regexp_extract(flat, NUMBERED, 2)
+    roman = (mark == "장") | ~F.regexp_replace(number, "^제", "").rlike(r"^\d+$")
+    return F.when(number == "", F.lit(None).cast("int")).when(roman, 0).when(mark == ")", 2).otherwise(1)
 
 
 def money(c: Column) -> Column:
@@ -62,11 +70,32 @@ def money(c: Column) -> Column:
 
 
 def amount(c: Column) -> Column:
-    """A metadata amount: digits, or a money string; NULL unless positive."""
-    value = F.coalesce(F.regexp_replace(F.trim(c), ",", "").try_cast("decimal(38,6)").cast("bigint"), money(c))
+    """A metadata amount: a number, digits with commas, or a whole money string; NULL for other text, and unless positive.
+    A number with a fraction is cut; commas in it make it text."""
+    flat = F.trim(c)
+    digits, number = F.regexp_replace(flat, ",", ""), r"^\d+(?:\.\d+)?(?:[eE][+-]?\d+)?$"
+    value = F.when(digits.rlike(r"^\d+$"), digits.try_cast("bigint")).when(flat.rlike(number), flat.try_cast("double").try_cast("bigint")).when(flat.rlike(f"^{MONEY}$"), money(flat))
     return F.when(value > 0, value)
 
 
+def running(sizes: Column) -> Column:
+    """Sum of all sizes before each one. Folded in blocks, so that no long list is copied for each of its elements."""
+    zero = F.lit(0).cast("bigint")
+
+    def inner(block, at):
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast("array<bigint>").alias("out")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"]).alias("out")))
+
+    def fold(z):
+        def outer(a, i):
+            return let(inner(F.slice(z, i * 256 + 1, 256), a["at"]), lambda r: F.struct(r["at"].alias("at"), F.array_append(a["out"], r["out"]).alias("out")))
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(z) - 1) / 256).cast("int"))
+        start = F.struct(zero.alias("at"), F.array().cast("array<array<bigint>>").alias("out"))
+        return F.when(F.size(z) > 0, F.aggregate(blocks, start, outer, lambda a: F.flatten(a["out"]))).when(F.size(z) == 0, F.array().cast("array<bigint>"))
+
+    return let(sizes, fold)
+
+
 def tokens(c: Column) -> Column:
     """Lower-case words, then the character bigrams of each word."""
     words = F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+"), F.lit(0))
@@ -96,23 +125,32 @@ def spans(pattern: str):
     return run
 
 
+@F.pandas_udf(T.StringType())
+def source_slice(text: pd.Series, start: pd.Series, size: pd.Series) -> pd.Series:
+    """The source's own characters behind a piece of its collapsed text (each run of white space being one character)."""
+    piece = re.compile(r"\s+|\S")
+
+    def one(t, a, n):
+        if t is None or a != a:
+            return None
+        spans = [m.span() for m in islice(piece.finditer(t), int(a), int(a + n))]
+        return t[spans[0][0] : spans[-1][1]] if spans else ""
+
+    return pd.Series([one(*x) for x in zip(text, start, size, strict=True)], dtype=object)
+
+
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
 def collapse_with_map(s: pd.Series) -> pd.DataFrame:
     """Collapsed text, and the original offset of each of its characters."""
 
     def one(t):
-        out, at, gap = [], [], False
-        for i, ch in enumerate(t or ""):
-            if ch.isspace():
-                gap = bool(out)
-                continue
-            if gap:
-                out.append(" ")
-                at.append(i - 1)
-                gap = False
-            out.append(ch)
-            at.append(i)
-        return "".join(out), at
+        out, at = [], []
+        for m in re.finditer(r"\S+", t or ""):
+            if out:
+                at.append(m.start() - 1)
+            out.append(m[0])
+            at += range(*m.span())
+        return " ".join(out), at
 
     pairs = [one(t) for t in s]
     return pd.DataFrame({"text": [p[0] for p in pairs], "at": [p[1] for p in pairs]})

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
+
+from lectern.session import cut
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
@@ -44,16 +53,104 @@ def keep_first(scored: DataFrame, text_key: str, by: str = "q", tie: str = "id")
     return scored.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def bm25(queries: DataFrame, postings: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(q, id, score). queries: (q, term), distinct; postings: (id, term, tf). Only the queries' terms move."""
-    lengths = postings.groupBy("id").agg(F.sum("tf").alias("len"))
-    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))  # one row
-    terms = queries.select("term").distinct()
-    hits = postings.join(terms, "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select("term", "mean_len", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    weighted = hits.join(idf, "term").join(lengths, "id").select("id", "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))).alias("s"))
-    return queries.join(weighted, "term").groupBy("q", "id").agg(F.round(F.sum("s"), 6).alias("score"))
+#: Cells (terms x queries, or queries x dimensions) of a matrix that is told to every task at most.
+MOST_CELLS = 4_000_000
+
+
+def _best(queries: DataFrame, blocks: int, passages: DataFrame, k: int, scorer) -> DataFrame:
+    """(q, id, score, place): the k best passages of every query; scores to six digits, equal ones in order of id.
+
+    Queries are told to the tasks in `blocks` blocks by hash. `scorer(rows)` makes, from a block's rows, the ids of its
+    queries and a function from a batch to its scores (passage x query, -inf for none). A task scores its passages
+    batch by batch and keeps the k best of each query, so passages never move, nor do scores that cannot win.
+    """
+
+    def block(i: int) -> DataFrame:
+        rows = (queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i)).collect()
+        shared = queries.sparkSession.sparkContext.broadcast(rows)
+
+        def run(batches):
+            names, score = scorer(shared.value)
+            ids, best = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    new = np.round(score(part), 6).T
+                    ids = np.concatenate([ids, np.broadcast_to(part.column(0).to_numpy(), new.shape)], axis=1)
+                    best = np.concatenate([best, new], axis=1)
+                    order = np.lexsort((ids, -best), axis=1)[:, :k]
+                    ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
+            own = best > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, own.sum(1))), pa.array(ids[own]), pa.array(best[own])], names=["q", "id", "score"])
+
+        return passages.mapInArrow(run, "q long, id long, score double")
+
+    return top_k(reduce(DataFrame.unionByName, map(block, range(blocks))), k)
+
+
+def dense_top(queries: DataFrame, passages: DataFrame, k: int, most_cells: int = MOST_CELLS) -> DataFrame:
+    """The k passages (id, v) of greatest dot product for every query (q, qv), by matrix products. Exact."""
+
+    def scorer(rows):
+        matrix = np.array([r["qv"] for r in rows], dtype=np.float64)
+
+        def score(part):
+            v = part.column(1)
+            x = np.asarray(v.flatten(), dtype=np.float64).reshape(len(v), -1)
+            return np.clip(x @ matrix.T, -1, 1) if len(rows) else np.zeros((len(v), 0))
+
+        return np.array([r["q"] for r in rows], dtype=np.int64), score
+
+    cells = queries.agg(F.sum(F.size("qv"))).first()[0] or 0
+    return _best(queries, max(1, -(-cells // most_cells)), passages.select("id", "v"), k, scorer)
+
+
+def bm25_top(queries: DataFrame, docs: DataFrame, k: int, floor: float | None = None, k1: float = K1, b: float = B, most_cells: int = MOST_CELLS, among: DataFrame | None = None) -> DataFrame:
+    """The k best documents (id, words: array) for every query (q, words), by BM25; `among`: ids that may win. Exact.
+
+    Without `floor` a term's weight is log((N - n + 0.5) / (n + 0.5) + 1), N counts documents with words, and a query's
+    repeated words count once. With it the weight is log((N - n + 0.5) / (n + 0.5)), negative ones give way to `floor`
+    times the mean over all of the corpus' terms, N counts all documents, and repeated words count as often.
+    """
+    told = queries.select("q", F.explode("words").alias("term")).groupBy("q", "term").agg(F.count("*").alias("n"))
+    counts = docs.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n_docs, total = docs.filter(F.size("words") > 0 if floor is None else F.lit(True)).agg(F.count("*"), F.sum(F.greatest(F.size("words"), F.lit(0)))).first()
+    n = F.lit(float(n_docs))
+    if floor is None:
+        weighed = told.join(counts, "term").withColumns({"idf": F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), "n": F.lit(1)})
+    else:
+        raw = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+        mean = counts.agg(F.avg(raw)).first()[0] or 0.0
+        weighed = told.join(counts, "term").withColumn("idf", F.when(raw < 0, F.lit(floor * mean)).otherwise(raw))
+    held = cut(weighed.select("q", "term", (F.col("idf") * F.col("n")).alias("w")))
+    n_terms, n_queries = held.agg(F.count_distinct("term"), F.count_distinct("q")).first()
+    average = (total or 0) / max(n_docs, 1) or 1.0
+
+    def scorer(rows):
+        names = sorted({r["q"] for r in rows})
+        place, column = {q: i for i, q in enumerate(names)}, {}
+        for r in rows:
+            column.setdefault(r["term"], len(column))
+        matrix = np.zeros((len(column), len(names)))
+        for r in rows:
+            matrix[column[r["term"]], place[r["q"]]] = r["w"]
+        held_by = matrix != 0
+
+        def score(part):
+            out = np.full((part.num_rows, len(names)), -np.inf)
+            for i, words in enumerate(part.column(1).to_pylist()):
+                seen = Counter(map(column.get, words or ()))
+                seen.pop(None, None)
+                if not seen:
+                    continue
+                at, tf = np.array(list(seen)), np.array(list(seen.values()), dtype=float)
+                gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(words) / average))
+                out[i] = np.where(held_by[at].any(0), gain @ matrix[at], -np.inf)
+            return out
+
+        return np.array(names, dtype=np.int64), score
+
+    return _best(held, max(1, -(-n_terms * n_queries // most_cells)), (docs if among is None else docs.join(among, "id", "left_semi")).select("id", "words"), k, scorer)
 
 
 MOST_ROWS = 100_000
@@ -63,3 +160,51 @@ def blocks(rows: DataFrame, most: int = MOST_ROWS) -> list[DataFrame]:
     """Distinct rows in blocks of about `most`, by hash; none for no rows. Each can be told to every task."""
     n = -(-rows.count() // most)
     return [rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(n)) == i) for i in range(n)]
+
+
+MOST_CHARS = 1_000_000
+
+
+def contained(docs: DataFrame, items: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
+    """(id, item) of every document (id, text) that holds an item's whole text (item, said), once for each distinct item.
+
+    The items' texts are told to the tasks in blocks of about `most_chars` characters, by hash; a task finds all texts of
+    a block in one pass over a document (Aho-Corasick). Null texts hold nothing and are held by nothing; the empty text
+    stands in every document.
+    """
+    items = items.filter("said IS NOT NULL")
+    n = max(1, -(-(items.agg(F.sum(F.length("said"))).first()[0] or 0) // most_chars))
+    schema = StructType([StructField("id", docs.schema["id"].dataType), StructField("item", items.schema["item"].dataType)])
+    return reduce(DataFrame.unionByName, (_holders(docs, items if n == 1 else items.filter(F.pmod(F.xxhash64("said"), F.lit(n)) == i), schema) for i in range(n)))
+
+
+def _holders(docs: DataFrame, block: DataFrame, schema: StructType) -> DataFrame:
+    known: dict[str, list] = {}
+    for r in block.select("item", "said").distinct().collect():
+        known.setdefault(r["said"], []).append(r["item"])
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        import ahocorasick
+
+        finder = ahocorasick.Automaton()
+        for said, names in shared.value.items():
+            if said:
+                finder.add_word(said, names)
+        always = shared.value.get("", [])
+        finder.make_automaton()
+        for batch in batches:
+            ids, at, found = batch.column(0), [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                if text is None:
+                    continue
+                names = dict.fromkeys(always)
+                if len(finder):
+                    for _, own in finder.iter(text):
+                        names.update(dict.fromkeys(own))
+                at += [i] * len(names)
+                found += names
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(found, batch_type)], names=["id", "item"])
+
+    batch_type = to_arrow_type(schema["item"].dataType)
+    return docs.select("id", "text").mapInArrow(run, schema)

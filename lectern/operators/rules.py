@@ -1,4 +1,5 @@
-"""Deterministic review rules over notices (id, meta, docs), as column expressions within the row: no shuffle, no Python.
+"""Deterministic review rules over notices (id, meta, docs), as column expressions within the row, without
+a shuffle; Python only reads the evidence of v22 back from its source.
 
 v2: an eligibility section asks for experience with a lower bound of money although the estimate is below the law's
 threshold. v3: that bound is above the allocated budget. v22: a negotiated contract admits only those who attended a
@@ -10,59 +11,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import amount, let, money, safe, squeeze
+from lectern.functions.text import LINE_END, MONEY, NUMBERED, amount, let, levels, money, running, safe, source_slice, squeeze
 
 # Thresholds, words and patterns the rules are defined by.
 THRESHOLD = {"국가계약법": 230_000_000, "지방계약법": 230_000_000}
-NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?"
-UNIT = r"조|억|천만|백만|십만|만|천|백"
-MONEY = rf"(?<![0-9.,])(?:(?:{NUMBER}\s*(?:{UNIT})\s*)+(?:{NUMBER}\s*)?원?|{NUMBER}\s*원)"
-BULLET = r"(?:제?[0-9]+[.、):장절]|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+[.、)]?|[가-하][.)]|[□■○◦●ㅇ※-])?"
-ELIGIBILITY = rf"^{BULLET}(?:입찰|제안|경쟁입찰|견적제출|입찰및제안)?(?:참가|참여|신청)(?:자격|업체자격|조건)|^(?:입찰|제안)업체(?:참가)?자격"
+# Headings may be numbered, bulleted, spaced out, or have a short parenthesis.
+ELIGIBILITY = r"^(?:(?:제?\d+[.、):장절]|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+[.、)]?|[가-하][.)]|[□■○◦●ㅇ※-])?)(?:입찰|제안|경쟁입찰|견적제출|입찰및제안)?(?:참가|참여|신청)(?:자격|업체자격|조건)|^(?:입찰|제안)업체(?:참가)?자격"
 ELIGIBILITY_TAIL = r"^(?:및(?:방법|입찰절차))?(?:[:：].*|\(.*|※.*|은(?:아래|다음)조건.*)?$"
 DOCUMENT_GUIDANCE = r"등록증|면허증|허가증|사본|첨부|제출서류"
-FORM_HEADING = rf"^{BULLET}(?:[【\[(](?:별지)?서식[^】\])]*[】\])]|(?:별지)?서식[0-9]+(?:호)?$)"
-EVALUATION_HEADING = rf"^{BULLET}(?:정량(?:적)?평가(?:항목(?:및배점)?)?|평가항목(?:및배점)?|(?:유사(?:용역|사업))?(?:수행)?실적평가기준)(?:$|[:：\(].*|[0-9]+점$)"
-NUMBERED = r"^(제?[0-9]+|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+)([.、):장절])"
-STOP = r"^(?:[□■○◦●ㅇ-]|제?[0-9]+[.、):장절]|[가-하][.)])?(?:입찰보증|제출서류|제안서제출|입찰서제출|낙찰|평가|심사|계약체결|대금|정산|기타사항|문의|유의사항|서식|별지|붙임)"
-DEADLINE_REQUIREMENT = rf"^{BULLET}(?:입찰서|제안서)제출마감일.*(?:까지|이전).*(?:자격|갖추|구비|등록|소지|업체)"
+SECTION_PREFIX = r"(?:(?:제?\d+[.、):장절]|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+[.、)]?|[가-하][.)]|[□■○◦●ㅇ※-]))?"
+FORM_HEADING = r"^" + SECTION_PREFIX + r"(?:[【\[(](?:별지)?서식[^】\])]*[】\])]|(?:별지)?서식\d+(?:호)?$)"
+EVALUATION_HEADING = r"^" + SECTION_PREFIX + r"(?:정량(?:적)?평가(?:항목(?:및배점)?)?|평가항목(?:및배점)?|(?:유사(?:용역|사업))?(?:수행)?실적평가기준)(?:$|[:：\(].*|\d+점$)"
+STOP = r"^(?:[□■○◦●ㅇ-]|제?\d+[.、):장절]|[가-하][.)])?(?:입찰보증|제출서류|제안서제출|입찰서제출|낙찰|평가|심사|계약체결|대금|정산|기타사항|문의|유의사항|서식|별지|붙임)"
+DEADLINE_REQUIREMENT = r"^" + SECTION_PREFIX + r"(?:입찰서|제안서)제출마감일.*(?:까지|이전).*(?:자격|갖추|구비|등록|소지|업체)"
 EXCLUDED = r"배점|평가표|점수표|정량평가|정성평가|평가구간|작성요령|작성예시|작성기준|계약후|계약체결후|착수후|준공후|정산|사후보고"
-CLAUSE_END = r"\n\s*\n|\n(?=\s*(?:[-○◦●□■※]|[가-하][.)]|[①-⑳]|[0-9]+[.)])\s*)"
+CLAUSE_END = r"\n\s*\n|\n(?=\s*(?:[-○◦●□■※]|[가-하][.)]|[①-⑳]|\d+[.)])\s*)"
 BRIEFING = r"(?:[가-힣()·]*설명회|현장설명)"
 ABSENT = r"(?:불참|미참석|미참가|참석하지\s*(?:않|아니)|참가하지\s*(?:않|아니)|참석하지\s*못)"
 ELIGIBLE = r"(?:입찰(?:\s*참가)?|제안서(?:\s*제출|\s*접수)?)"
 DENIAL = r"(?:불가|금지|제외|허용되지|할\s*수\s*없|받지\s*않|접수하지\s*않|제출하지\s*못|참가하지\s*못)"
 ATTENDANCE = [
-    ("eligibility_list", rf"(?:입찰|용역수행)\s*참가\s*자격(?:(?![.!?]\s*[0-9]+\. ).){{0,700}}?{BRIEFING}에?\s*(?:참석|참가|참여)한\s*(?:자|업체)"),
+    ("eligibility_list", rf"(?:입찰|용역수행)\s*참가\s*자격(?:(?![.!?]\s*\d+\. ).){{0,700}}?{BRIEFING}에?\s*(?:참석|참가|참여)한\s*(?:자|업체)"),
     ("absent_excluded", rf"{BRIEFING}.{{0,40}}?{ABSENT}.{{0,60}}?{ELIGIBLE}.{{0,35}}?{DENIAL}"),
     ("attendees_only", rf"{BRIEFING}.{{0,25}}?(?:참석|참가|참여).{{0,30}}?(?:한하|한해|자만|업체만|업체에만|자에만).{{0,45}}?{ELIGIBLE}.{{0,35}}?(?:가능|자격|허용|있|부여)"),
 ]
 PRESENTATION = r"제안(?:서)?\s*설명회\s*\(평가\)|평가위원.*설명회|평가\s*대상.{0,10}제외"
+SPECIAL = r"특수\s*기술|특수\s*공법"
 NEGOTIATED = r"협상에\s*의한\s*계약|계약\s*방법\s*[:：]?\s*협상"
 
 _OPEN, _CLOSE = "\x01", "\x02"
+_NEAR = 40  # characters on either side of a match that are kept with it
 NOTICE = "id string, meta map<string,string>, docs array<struct<doc_id:string,type:string,text:string>>"
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Array of (before, match, after) for every match: the whole text ahead of it, the match, the whole text behind it."""
-    marked = F.regexp_replace(text, f"({pattern})", f"{_OPEN}$1{_CLOSE}")
-    clean = lambda c: F.translate(c, _OPEN + _CLOSE, "")
-    none = F.array().cast("array<struct<before:string,match:string,after:string>>")
+    """Array of (start, match, before, after) for every match: its offset, and up to 40 characters on either side."""
+    pieces = F.split(F.regexp_replace(F.translate(text, _OPEN + _CLOSE, "  "), f"({pattern})", f"{_OPEN}$1{_CLOSE}"), _OPEN)
+    none = F.array().cast("array<struct<start:bigint,match:string,before:string,after:string>>")
 
-    def one(pieces, i):
-        whole = F.get(pieces, i)
-        return F.struct(
-            clean(F.array_join(F.slice(pieces, 1, i), "")).alias("before"), F.substring_index(whole, _CLOSE, 1).alias("match"),
-            clean(F.concat(F.substr(whole, F.instr(whole, _CLOSE) + 1), F.array_join(F.slice(pieces, i + 2, F.size(pieces)), ""))).alias("after"),
-        )
+    def found(z):
+        def one(i):
+            piece = F.get(z["marked"], i)
+            # A piece but the first holds a match, hence a character: so many pieces are enough on either side.
+            before = F.array_join(F.slice(z["plain"], F.greatest(i - _NEAR, F.lit(0)) + 1, F.least(i, F.lit(_NEAR))), "")
+            after = F.concat(F.substring_index(piece, _CLOSE, -1), F.array_join(F.slice(z["plain"], i + 2, F.lit(_NEAR)), ""))
+            return F.struct(F.get(z["at"], i).alias("start"), F.substring_index(piece, _CLOSE, 1).alias("match"), F.right(before, F.lit(_NEAR)).alias("before"), F.left(after, F.lit(_NEAR)).alias("after"))
 
-    return let(F.split(marked, _OPEN), lambda p: F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: one(p, i))).otherwise(none))
+        return F.when(F.size(z["marked"]) > 1, F.transform(F.sequence(F.lit(1), F.size(z["marked"]) - 1), one)).otherwise(none)
 
+    def counted(plain, marked):
+        return let(F.struct(marked.alias("marked"), plain.alias("plain"), running(F.transform(plain, F.length)).alias("at")), found)
 
-def _level(number: Column, mark: Column) -> Column:
-    roman = (mark == "장") | ~F.regexp_replace(number, "^제", "").rlike("^[0-9]+$")
-    return F.when(number == "", F.lit(None).cast("int")).when(roman, 0).when(mark == ")", 2).otherwise(1)
+    return let(pieces, lambda p: let(F.transform(p, lambda x: F.translate(x, _CLOSE, "")), lambda plain: counted(plain, p)))
 
 
 def sections(text: Column) -> Column:
@@ -72,11 +72,10 @@ def sections(text: Column) -> Column:
         flat = squeeze(raw)
         head = F.regexp_extract(flat, ELIGIBILITY, 0)
         tail = F.substr(flat, F.length(head) + 1)
-        number, mark = F.regexp_extract(flat, NUMBERED, 1), F.regexp_extract(flat, NUMBERED, 2)
         return F.struct(
             raw.alias("raw"), ((F.length(flat) <= 90) & (head != "") & tail.rlike(ELIGIBILITY_TAIL) & ~tail.rlike(DOCUMENT_GUIDANCE)).alias("opens"),
             (flat.rlike(FORM_HEADING) | flat.rlike(EVALUATION_HEADING) | (flat.rlike(STOP) & ~flat.rlike(DEADLINE_REQUIREMENT))).alias("stops"),
-            number.alias("number"), _level(number, mark).alias("level"),
+            F.regexp_extract(flat, NUMBERED, 1).alias("number"), levels(flat).alias("level"),
         )
 
     def step(a, x):
@@ -90,7 +89,7 @@ def sections(text: Column) -> Column:
         )
 
     start = F.struct(F.lit(False).alias("open"), F.lit("").alias("now"), F.lit("").alias("number"), F.lit(None).cast("int").alias("level"), F.array().cast("array<string>").alias("done"))
-    return F.aggregate(F.transform(F.split(text, r"(?<=\n)"), line), start, step, lambda a: F.when(a["open"], F.array_append(a["done"], a["now"])).otherwise(a["done"]))
+    return F.aggregate(F.transform(F.split(text, LINE_END), line), start, step, lambda a: F.when(a["open"], F.array_append(a["done"], a["now"])).otherwise(a["done"]))
 
 
 def clauses(section: Column) -> Column:
@@ -105,24 +104,25 @@ def bounds(clause: Column) -> Column:
     found = F.filter(matches(clause, MONEY), lambda m: squeeze(F.substring(m["after"], 1, 18)).rlike(r"^(?:\([^)]{0,8}\))?(?:이상|초과)"))
 
     def one(m):
-        begin = F.greatest(F.length(m["before"]) - 180, F.lit(0))
+        begin = F.greatest(m["start"] - 180, F.lit(0)).cast("int")
         return F.struct(money(m["match"]).alias("amount"), safe(F.substr(clause, begin + 1, F.lit(500))).alias("evidence"))
 
     return F.when(asked, F.transform(found, one)).otherwise(F.array().cast("array<struct<amount:bigint,evidence:string>>"))
 
 
 def briefing(docs: Column) -> Column:
-    """(rule, doc_id, evidence) of the first surviving match over documents, patterns and places; NULL if none."""
+    """(rule, doc_id, text, start, size) of the first surviving match over documents, patterns and places; NULL if none.
+    Matches are looked for in the collapsed text; `text` is the source, `start` and `size` count collapsed characters."""
 
     def of(doc):
-        text = F.regexp_replace(doc["text"], r"(?U)\s+", " ")
+        text = F.regexp_replace(doc["text"], r"(?U)[\s\x1c-\x1f]+", " ")
         each = []
         for name, pattern in ATTENDANCE:
-            kept = F.filter(matches(text, pattern), lambda m: ~F.concat(F.substr(m["before"], F.greatest(F.length(m["before"]) - 34, F.lit(1))), m["match"]).rlike(PRESENTATION))
-            each.append(F.transform(kept, lambda m, name=name: F.struct(F.lit(name).alias("rule"), doc["doc_id"].alias("doc_id"), m["match"].alias("evidence"))))
-        return F.concat(*each)
+            kept = F.filter(matches(text, pattern), lambda m: ~F.concat(F.right(m["before"], F.lit(35)), m["match"]).rlike(PRESENTATION))
+            each.append(F.transform(kept, lambda m, name=name: F.struct(F.lit(name).alias("rule"), doc["doc_id"].alias("doc_id"), doc["text"].alias("text"), m["start"].alias("start"), F.length(m["match"]).alias("size"))))
+        return F.get(F.concat(*each), 0)
 
-    return F.get(F.flatten(F.transform(docs, of)), 0)
+    return F.get(F.filter(F.transform(docs, of), lambda m: m.isNotNull()), 0)
 
 
 def judge(notices: DataFrame) -> DataFrame:
@@ -133,17 +133,19 @@ def judge(notices: DataFrame) -> DataFrame:
     estimate, budget = amount(meta("입찰추정가격")), amount(meta("배정예산금액"))
     threshold = F.create_map(*(F.lit(x) for k, v in THRESHOLD.items() for x in (k, v)))[meta("적용계약법")]
     scope = F.coalesce(meta("업무구분"), F.lit("")).rlike("용역|물품|제조")
-    special = (meta("적용계약법") == "지방계약법") & (meta("계약방법") == "수의계약") & F.exists("docs", lambda d: d["text"].rlike(r"특수\s*(?:기술|공법)"))
+    special = (meta("적용계약법") == "지방계약법") & (meta("계약방법") == "수의계약") & F.exists("docs", lambda d: d["text"].rlike(SPECIAL))
     two = F.coalesce(estimate < threshold, F.lit(False)) & scope & ~F.coalesce(special, F.lit(False))
     told = F.coalesce(F.contains(meta("계약방법"), F.lit("협상")), F.lit(False)) | F.coalesce(F.contains(meta("낙찰방법"), F.lit("협상")), F.lit(False)) | F.exists("docs", lambda d: d["text"].rlike(NEGOTIATED))
     rows = rows.withColumns({
         "c2": F.when(two, F.col("candidates")).otherwise(F.slice("candidates", 1, 0)), "c3": F.filter("candidates", lambda c: c["amount"] > budget),
         "briefing": F.when(told, briefing(F.col("docs"))),
     })
+    # The source's own characters: only texts with a match go to Python.
+    rows = rows.withColumn("quote", source_slice(F.col("briefing.text"), F.col("briefing.start"), F.col("briefing.size")))
     hit = lambda c: (F.size(c) > 0).cast("int")
     return rows.select(
         "id", hit("c2").alias("v2"), hit("c3").alias("v3"), F.col("briefing").isNotNull().cast("int").alias("v22"), F.get("c2", 0)["evidence"].alias("e2"),
-        F.get("c3", 0)["evidence"].alias("e3"), safe(F.substring("briefing.evidence", 1, 500)).alias("e22"), "candidates", F.col("briefing.rule").alias("briefing_rule"),
+        F.get("c3", 0)["evidence"].alias("e3"), safe(F.substring("quote", 1, 500)).alias("e22"), "candidates", F.col("briefing.rule").alias("briefing_rule"),
         F.size("__sections").alias("sections"),
     )
 

@@ -6,22 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.functions.text import LINE_END, let, running
+
 
 def lines(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, line (from 0), body, start: code-point offset of each line; a line ends at `\\n` only.
+    """key, line (from 0), body (without its end), start: code-point offset of each line. Lines end as `LINE_END` says;
+    behind a text's last line end stands an empty line.
 
     Offsets come from an array fold within the row, so a document's lines need no shuffle.
     """
-    rows = df.select(key, F.posexplode(F.expr(f"arrays_zip(split({text}, '\n'), {_starts(text)})")).alias("line", "z"))
-    return rows.select(key, "line", F.col("z.0").alias("body"), F.col("z.1").cast("long").alias("start"))
+    parts = pieces(F.col(text))
+    return df.select(key, F.posexplode(parts).alias("line", "z")).select(key, "line", F.regexp_replace("z.raw", f"(?:\r\n|{_ENDS})$", "").alias("body"), "z.start")
+
+
+_ENDS = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
-def _starts(text: str) -> str:
-    """Offsets of the lines: a fold that keeps the list so far and the next offset."""
-    return (
-        f"aggregate(split({text}, '\\n'), named_struct('at', 0, 'out', cast(array() AS array<int>)), "
-        f"(a, l) -> named_struct('at', a.at + length(l) + 1, 'out', array_append(a.out, a.at)), a -> a.out)"
-    )
+def pieces(text: Column) -> Column:
+    """Array of (raw, start): a text's lines with their ends, and where they start."""
+    return let(F.split(text, LINE_END), lambda p: F.zip_with(p, running(F.transform(p, F.length)), lambda raw, start: F.struct(raw.alias("raw"), start.alias("start"))))
 
 
 def islands(df: DataFrame, key: str, position: str, reach: int = 0) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.operators import evaluation as ev
+from lectern.operators.retrieval import contained
 from lectern.plans.registry import register
-from lectern.session import table
+from lectern.session import cut, table
 
 ITEMS = ["quality", "toxic"]
 HARSH = ["idiot", "moron", "scum", "worthless"]
@@ -283,18 +284,21 @@ def bootstrap_ci(spark, d, resamples: int = 100):
     rows = numbered(per, "doc_id")
     n = per.count()
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("resample").cast("string"), F.col("rn").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
-    draws = rows.select("rn").crossJoin(F.broadcast(spark.range(resamples).select(F.col("id").alias("resample")))).select("resample", (draw % n).alias("rn"))
+    draws = rows.select("rn", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).select("resample", (draw % n).alias("rn"))
     means = draws.join(rows, "rn").groupBy("resample").agg(F.avg("delta").alias("x"))
     return means.agg(*(F.round(F.percentile("x", F.lit(q)), 6).alias(name) for name, q in (("low", 0.025), ("mid", 0.5), ("high", 0.975))), F.count("*").alias("resamples"))
 
 
 def numbered(df: DataFrame, *keys: str, name: str = "rn") -> DataFrame:
-    """Rows numbered from 0 in order of keys: a sort by range, numbers within partitions, and the partitions' offsets."""
-    ordered = df.orderBy(*keys).withColumn("__at", F.monotonically_increasing_id())
+    """Rows numbered from 0 in order of keys: a sort by range, numbers within partitions, and the partitions' offsets.
+
+    The sorted rows are computed once and kept: planned twice, their partitions could be merged in two ways.
+    """
+    ordered = cut(df.orderBy(*keys).withColumn("__at", F.monotonically_increasing_id()))
     part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
     marked = ordered.withColumns({"__part": part, "__place": place}).drop("__at")
-    sizes = marked.groupBy("__part").agg(F.count("*").alias("__n"))
-    offsets = sizes.withColumn("__first", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    # One row for each partition.
+    offsets = marked.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     return marked.join(F.broadcast(offsets.select("__part", "__first")), "__part").withColumn(name, F.col("__first") + F.col("__place")).drop("__part", "__place", "__first")
 
 
@@ -351,43 +355,26 @@ def plan_partition_check(spark, d):
     return p.select("source", "n", "distinct_cells", (F.col("n") == F.col("distinct_cells")).alias("disjoint"), (F.col("items") == len(ITEMS)).alias("complete"))
 
 
-_EV = """ev AS (SELECT d.doc_id, d.text, b.item_id, substr(b.text, 1, 60) AS evidence FROM documents d JOIN benchmark b ON d.doc_id % 7 = b.item_id % 7 AND d.source = 'src' || CAST(b.item_id % 20 AS VARCHAR))"""
-
-
 @register(
     "evidence_substring_audit",
-    f"""WITH {_EV} SELECT item_id, count(*) AS n, count(*) FILTER (contains(text, evidence)) AS found, count(*) FILTER (evidence LIKE '=%' OR evidence LIKE '+%' OR evidence LIKE '@%') AS unsafe,
-    count(*) FILTER (length(evidence) > 500) AS too_long FROM ev GROUP BY item_id""",
+    """SELECT item_id, (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM documents d WHERE contains(d.text, b.text)) AS found, evidence_unsafe AS unsafe, size > 500 AS too_long
+    FROM (SELECT item_id, text, text LIKE '=%' OR text LIKE '+%' OR text LIKE '@%' AS evidence_unsafe, length(text) AS size FROM benchmark) b""",
 )
 def evidence_substring_audit(spark, d):
-    """Whether claimed evidence stands in its document, by an equi-join on the assignment."""
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark").withColumnRenamed("text", "said")
-    docs = docs.withColumns({"k": F.col("doc_id") % 7, "s": F.col("source")})
-    items = items.withColumns({"k": F.col("item_id") % 7, "s": F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")), "evidence": F.substring("said", 1, 60)})
-    return docs.join(items, ["k", "s"]).groupBy("item_id").agg(
-        F.count("*").alias("n"), ev.count_where(F.contains("text", "evidence")).alias("found"), ev.count_where(F.col("evidence").rlike("^[=+@]")).alias("unsafe"), ev.count_where(F.length("evidence") > 500).alias("too_long"))
+    """In how many documents each whole item stands, and whether it may be shown as evidence. No pair of texts is joined:
+    tasks find all items of a text in one pass over it."""
+    docs, items = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("said"))
+    found = contained(docs, items).groupBy("item").agg(F.count("*").alias("found"))
+    return items.join(found, "item", "left").select(F.col("item").alias("item_id"), F.lit(docs.count()).alias("n"), F.coalesce("found", F.lit(0)).alias("found"), F.col("said").rlike("^[=+@]").alias("unsafe"), (F.length("said") > 500).alias("too_long"))
 
 
 @register("evidence_whole_audit")
 def evidence_whole_audit(spark, d):
-    """Whole item texts against all documents; held against brute force in the tests.
-
-    An item's first and last word may be parts of a document's words, so what is looked up is a window of the words
-    between them; every hit is verified. Items without such words are held against each document, in blocks.
-    """
-    from lectern.llm import decontaminate
-    from lectern.operators.retrieval import blocks
-
-    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("said"))
-    gap, word = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-    inner = F.regexp_replace("said", rf"\A{word}++|{word}+\z", "")
-    known = items.select("said").filter("said IS NOT NULL").distinct().withColumn("within", F.regexp_extract(inner, rf"\A(?:{gap}*+{word}++){{1,{decontaminate.SIZE}}}+", 0))
-    known = known.withColumn("h", F.xxhash64("said"))
-    hits = decontaminate.find(docs, known.filter("within <> ''"), keep=("doc_id", "text"), item="h", item_text="within")
-    found = hits.select("text", F.explode("items").alias("h")).join(known.select("h", "said"), "h").filter(F.contains("text", "said")).select("said")
-    for block in blocks(known.filter("within = ''").select("said")):
-        found = found.unionByName(docs.join(F.broadcast(block), F.contains("text", "said")).select("said"))
-    per = items.join(found.groupBy("said").agg(F.count("*").alias("c")), "said", "left").crossJoin(docs.agg(F.count("*").alias("all")))
+    """Counts over all pairs of whole items and documents, items with equal ids together; held against brute force in the tests."""
+    docs, items = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("said"))
+    texts = items.filter("said IS NOT NULL").select(F.col("said").alias("item"), "said").distinct()
+    found = contained(docs, texts).groupBy("item").agg(F.count("*").alias("c")).withColumnRenamed("item", "said")
+    per = items.join(found, "said", "left").withColumn("all", F.lit(docs.count()))
     return per.groupBy("item_id").agg(
         F.sum("all").alias("n"), F.sum(F.coalesce("c", F.lit(0))).alias("found"), F.sum(F.when(F.col("said").rlike("^[=+@]"), F.col("all")).otherwise(0)).alias("unsafe"),
         F.sum(F.when(F.length("said") > 500, F.col("all")).otherwise(0)).alias("too_long"))

@@ -128,10 +128,43 @@ def bigram_tokens(spark, d):
     r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS place FROM s) SELECT q, doc_id, place, round(score, 3) AS score FROM r WHERE place <= 5""",
 )
 def bm25_topk(spark, d):
-    words = lambda: F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
-    postings = docs(spark, d).select(F.col("doc_id").alias("id"), words().alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("q"), words().alias("term")).distinct()
-    return rt.top_k(rt.bm25(queries, postings), 5).select("q", F.col("id").alias("doc_id"), "place", F.round("score", 3).alias("score"))
+    ranked = rt.bm25_top(words_of(table(spark, d, "benchmark"), "item_id", "q"), words_of(docs(spark, d), "doc_id", "id"), 5)
+    return ranked.select("q", F.col("id").alias("doc_id"), "place", F.round("score", 3).alias("score"))
+
+
+def words_of(df, key, name, tokens=lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))):
+    return df.select(F.col(key).alias(name), F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("words"))
+
+
+_OKAPI = rf"""tk AS (SELECT 'd' AS kind, doc_id AS id, {{words}} AS w FROM documents UNION ALL SELECT 'q', item_id, {{words}} FROM benchmark),
+    tok AS (SELECT kind, id, {{tokens}} AS w FROM tk), st AS (SELECT count(*) AS nd, sum(len(w)) / count(*) AS ml FROM tok WHERE kind = 'd'),
+    p AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM tok WHERE kind = 'd') GROUP BY 1, 2, 3),
+    raw AS (SELECT term, ln(nd - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM p, st GROUP BY term, nd), mean AS (SELECT avg(idf) AS m FROM raw),
+    q AS (SELECT id AS q, term, count(*) AS n FROM (SELECT id, unnest(w) AS term FROM tok WHERE kind = 'q') GROUP BY 1, 2),
+    s AS (SELECT q, id AS doc_id, round(sum(n * CASE WHEN idf < 0 THEN 0.25 * m ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / ml))), 6) AS score FROM q JOIN p USING (term) JOIN raw USING (term), st, mean GROUP BY 1, 2)"""
+_OKAPI = _OKAPI.format(words="regexp_extract_all(lower(text), '[a-z0-9]+')", tokens="{tokens}").replace("{tokens}", _TOKENS)
+
+
+@register("bm25_okapi_topk", f"WITH {_OKAPI}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS place FROM s) SELECT q, doc_id, place, round(score, 3) AS score FROM r WHERE place <= 5")
+def bm25_okapi_topk(spark, d):
+    """Words and their character bigrams, and a floor for the weights of very common terms."""
+    ranked = rt.bm25_top(words_of(table(spark, d, "benchmark"), "item_id", "q", tx.tokens), words_of(docs(spark, d), "doc_id", "id", tx.tokens), 5, rt.FLOOR)
+    return ranked.select("q", F.col("id").alias("doc_id"), "place", F.round("score", 3).alias("score"))
+
+
+@register(
+    "bm25_distinct_topk",
+    f"""WITH {_OKAPI}, x AS (SELECT s.*, row_number() OVER (PARTITION BY q, trim(regexp_replace(text, '\\s+', ' ', 'g')) ORDER BY score DESC, s.doc_id) AS k FROM s JOIN documents USING (doc_id)),
+    r AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS place FROM x WHERE k = 1) SELECT q, doc_id, place, round(score, 3) AS score FROM r WHERE place <= 5""",
+)
+def bm25_distinct_topk(spark, d):
+    """Of documents whose collapsed texts are equal the best ranked, then the five best. Equal texts have equal scores, so the
+    one with the smallest id stands for them; the corpus' counts are of all documents, as copies count there."""
+    dd = docs(spark, d)
+    first = dd.select("doc_id", F.sha2(tx.collapse(F.col("text")), 256).alias("t")).groupBy("t").agg(F.min("doc_id").alias("id")).select("id")
+    corpus = words_of(dd, "doc_id", "id", tx.tokens)
+    ranked = rt.bm25_top(words_of(table(spark, d, "benchmark"), "item_id", "q", tx.tokens), corpus, 5, rt.FLOOR, among=first)
+    return ranked.select("q", F.col("id").alias("doc_id"), "place", F.round("score", 3).alias("score"))
 
 
 @register("numeric_codes", r"SELECT doc_id, count(*) AS n, max(code) AS last FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS code FROM documents) WHERE length(code) = 4 GROUP BY doc_id")
@@ -299,7 +332,7 @@ def vectors(spark, d):
 def dense_topk(spark, d):
     """Exact search: every vector whose id is divisible by 50 against all."""
     queries, passages = vectors(spark, d)
-    return rt.top_k(rt.dense_scores(queries, passages.drop("label")).withColumn("score", F.round("score", 6)), 5)
+    return rt.dense_top(queries, passages.drop("label"), 5)
 
 
 _DS = f"{EMB}, s AS (SELECT q, vec_id AS id, label, round(greatest(-1, least(1, {_DOT.replace('v[i]', 'embedding[i]').replace('len(v)', 'len(embedding)').replace('qembedding', 'qv')})), 6) AS score FROM embeddings, q), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, label ORDER BY score DESC, id) AS k FROM s) WHERE k = 1), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS place FROM f)"
@@ -332,22 +365,24 @@ def normalize_vectors(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(rt.normalized(F.col("embedding")), F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@register("candidate_union", "WITH c AS (SELECT doc_id, item_id, 'start' AS reason FROM documents d JOIN benchmark b ON substr(d.text, 1, 5) = substr(b.text, 1, 5) UNION SELECT doc_id, item_id, 'contained' FROM documents d, benchmark b WHERE contains(d.text, substr(b.text, 1, 40))) SELECT doc_id, item_id, string_agg(reason, ',' ORDER BY reason) AS reasons FROM c GROUP BY 1, 2")
+@register(
+    "candidate_union",
+    f"""WITH {_OKAPI}, r AS (SELECT q, doc_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS place FROM s),
+    c AS (SELECT doc_id, item_id, 'code' AS reason, NULL AS first_at FROM (SELECT DISTINCT doc_id, code FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS code FROM documents)) JOIN benchmark ON code = CAST(item_id AS VARCHAR)
+    UNION ALL SELECT doc_id, item_id, 'contained', position(b.text IN d.text) FROM documents d JOIN benchmark b ON contains(d.text, b.text)
+    UNION ALL SELECT doc_id, q, 'ranked', NULL FROM r WHERE place <= 5)
+    SELECT doc_id, item_id, string_agg(reason, ',' ORDER BY reason) AS reasons, max(first_at) AS first_at FROM c GROUP BY 1, 2""",
+)
 def candidate_union(spark, d):
-    """Candidates by key and by containment, with all their reasons. The catalogue is counted before it is told to every task."""
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("said"))
-    dd = docs(spark, d).select("doc_id", "text")
-    by_key = dd.withColumn("k", F.substring("text", 1, 5)).join(items.withColumn("k", F.substring("said", 1, 5)), "k").select("doc_id", "item_id", F.lit("start").alias("reason"))
-    # Containment by a shared word run: the first three words of the evidence meet the document's runs, then are verified.
-    head = items.withColumn("e", F.substring("said", 1, 40)).withColumn("run", F.array_join(F.slice(F.split("e", r"[ \n]"), 2, 2), " "))
-    runs = dd.withColumn("w", F.split("text", r"[ \n]"))
-    runs = runs.select("doc_id", "text", F.explode(F.array_distinct(F.expr("transform(sequence(1, greatest(size(w) - 1, 1)), i -> concat_ws(' ', get(w, i - 1), get(w, i)))"))).alias("run"))
-    small = head.filter(F.size(F.split("e", r"[ \n]")) >= 4)
-    short = head.filter(F.size(F.split("e", r"[ \n]")) < 4).select("item_id", "e").distinct()
-    inside = runs.join(small, "run").filter(F.contains("text", F.col("e"))).select("doc_id", "item_id", F.lit("contained").alias("reason"))
-    for block in rt.blocks(short):
-        inside = inside.unionByName(dd.join(F.broadcast(block), F.contains("text", F.col("e"))).select("doc_id", "item_id", F.lit("contained").alias("reason")))
-    return by_key.unionByName(inside).groupBy("doc_id", "item_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+    """Catalogue items of a document by an exact code in it, by containment of the whole item (with its first place), and
+    by rank (the five best documents of each item), with all reasons."""
+    items, dd = table(spark, d, "benchmark"), docs(spark, d)
+    codes = dd.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)))).alias("code"))
+    by_code = codes.join(items.select("item_id", F.col("item_id").cast("string").alias("code")), "code").select("doc_id", "item_id", F.lit("code").alias("reason"), F.lit(None).cast("long").alias("first_at"))
+    inside = rt.contained(dd.select(F.col("doc_id").alias("id"), "text"), items.select(F.col("item_id").alias("item"), F.col("text").alias("said"))).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
+    placed = inside.join(dd.select("doc_id", "text"), "doc_id").join(items.select("item_id", F.col("text").alias("said")), "item_id").select("doc_id", "item_id", F.lit("contained").alias("reason"), F.expr("instr(text, said)").cast("long").alias("first_at"))
+    ranked = rt.bm25_top(words_of(items, "item_id", "q", tx.tokens), words_of(dd, "doc_id", "id", tx.tokens), 5, rt.FLOOR).select(F.col("id").alias("doc_id"), F.col("q").alias("item_id"), F.lit("ranked").alias("reason"), F.lit(None).cast("long").alias("first_at"))
+    return by_code.unionByName(placed).unionByName(ranked).groupBy("doc_id", "item_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"), F.max("first_at").alias("first_at"))
 
 
 @register("conversation_rollup", "SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS asked, string_agg(role, '; ' ORDER BY turn) AS roles, sum(length(text)) AS chars, count(*) FILTER (trim(text) = '') AS empty FROM conversations GROUP BY conv_id")
@@ -431,8 +466,8 @@ def quantifiers(spark, d):
 @register("slice_alignment", f"WITH {L}, o AS (SELECT doc_id, line, body, coalesce(sum(length(body) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l) SELECT lang, count(*) AS n, count(*) FILTER (substr(text, CAST(start AS BIGINT) + 1, length(body)) = body) AS aligned FROM o JOIN documents USING (doc_id) GROUP BY lang")
 def slice_alignment(spark, d):
     """Every line, cut from its document by offset and size, must be that line."""
-    x = docs(spark, d).select("lang", "text", F.expr(f"arrays_zip(split(text, '\\n'), {seq._starts('text')})").alias("z"))
-    good = F.filter("z", lambda s: F.substr(F.col("text"), s["1"] + 1, F.length(s["0"])) == s["0"])
+    x = docs(spark, d).select("lang", "text", seq.pieces(F.col("text")).alias("z"))
+    good = F.filter("z", lambda s: F.substr(F.col("text"), (s["start"] + 1).cast("int"), F.length(s["raw"])) == s["raw"])
     return x.groupBy("lang").agg(F.sum(F.size("z")).alias("n"), F.sum(F.size(good)).alias("aligned"))
 
 

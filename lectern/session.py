@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -24,3 +26,16 @@ def build(master: str = "local[*]", app: str = "lectern", **conf: str) -> SparkS
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` computed once and kept by `checkpoint()` in spark.checkpoint.dir, which outlives lost executors.
+
+    Only on one machine (a `local` master), as in tests, a new temporary folder takes the place of a missing setting.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
+    return df.checkpoint(eager=True)

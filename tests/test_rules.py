@@ -1,6 +1,10 @@
 """Review rules on small notices: boundaries are strict, excluded contexts decide 0."""
 
+import re
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.operators import rules
 
@@ -64,3 +68,30 @@ def test_briefing(spark, text, meta, v22):
 def test_order_of_notices_does_not_matter(spark):
     many = [notice(HEAD + f"- {n}억원 이상의 실적\n") for n in range(1, 6)]
     assert [r["v3"] for r in judged(spark, *many)] == [0, 1, 1, 1, 1]
+
+
+def test_evidence_of_briefings_is_the_source(spark):
+    text = "계약방법: 협상.\n사업설명회에  불참한 업체는 입찰에\n\t참가할 수 없음"
+    r = judged(spark, notice(text))[0]
+    assert r["v22"] == 1 and r["e22"] in text and "입찰에\n\t참가" in r["e22"]
+
+
+def test_lines_end_at_all_line_ends(spark):
+    for end in ("\n", "\r\n", "\r", "\u2028", "\x0b"):
+        text = end.join(["3. 입찰참가자격", "- 2억원 이상의 실적", "4. 제출서류", "- 3억원 이상의 실적"])
+        r = judged(spark, notice(text))[0]
+        assert [c["amount"] for c in r["candidates"]] == [200_000_000]
+
+
+def test_matches_with_offsets_and_surroundings(spark):
+    text = "x" * 50 + "12 y 345" + "é" * 45 + "6"
+    got = spark.createDataFrame([(text,), ("none",), ("7",), (None,)], "t string").select(rules.matches(F.col("t"), "[0-9]+").alias("m")).collect()
+    want = [[(m.start(), m[0], t[max(0, m.start() - 40) : m.start()], t[m.end() : m.end() + 40]) for m in re.finditer("[0-9]+", t)] for t in (text, "none", "7")]
+    assert [[tuple(m) for m in r["m"] or ()] for r in got] == [*want, []]
+
+
+def test_many_matches_in_linear_time(spark):
+    df = spark.range(1).select(F.repeat(F.lit("2억원 이상의 실적 "), 20_000).alias("t"))
+    began = time.perf_counter()
+    assert df.select(F.size(rules.matches(F.col("t"), rules.MONEY))).first()[0] == 20_000
+    assert time.perf_counter() - began < 10

@@ -1,5 +1,7 @@
 """Money, levels, guards, packing and windows on small fixtures."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
@@ -17,7 +19,8 @@ def test_money(spark):
 
 
 def test_amount_needs_to_be_positive(spark):
-    assert [one(spark, v, tx.amount) for v in ("1,200", "0", "-5", "three", None)] == [1200, None, None, None, None]
+    cases = {"1,200": 1200, "0": None, "-5": None, "three": None, "2024년 5월": None, "1,200.5": None, "1200.5": 1200, "약 3억원": None, " 3억원 ": 300_000_000, "1억 5천만원": 150_000_000, "5": 5}
+    assert {v: one(spark, v, tx.amount) for v in cases} == cases and one(spark, None, tx.amount) is None
 
 
 def test_guard_and_collapse(spark):
@@ -26,7 +29,7 @@ def test_guard_and_collapse(spark):
 
 
 def test_levels(spark):
-    assert [one(spark, h, tx.levels) for h in ("1. a", "1.1 b", "가. c", "2) d", "(3) e", "f")] == [1, 2, 2, 3, 4, None]
+    assert [one(spark, h, tx.levels) for h in ("1.자격", "2)자격", "제3장자격", "Ⅳ.자격", "제2절", "5:자격", "가.자격", "자격")] == [1, 2, 0, 0, 1, 1, None, None]
 
 
 def test_greedy_skips_but_goes_on(spark):
@@ -46,6 +49,20 @@ def test_spans(spark):
 
 
 def test_lines_of_empty_and_unicode(spark):
-    df = spark.createDataFrame([(1, ""), (2, "é\n\nb")], "k long, text string")
+    df = spark.createDataFrame([(1, ""), (2, "é\n\nb"), (3, "a\r\nb\rc\u2028d\n")], "k long, text string")
     rows = sorted(map(tuple, seq.lines(df, "k").collect()))
-    assert rows == [(1, 0, "", 0), (2, 0, "é", 0), (2, 1, "", 2), (2, 2, "b", 3)]
+    assert rows == [(1, 0, "", 0), (2, 0, "é", 0), (2, 1, "", 2), (2, 2, "b", 3), (3, 0, "a", 0), (3, 1, "b", 3), (3, 2, "c", 5), (3, 3, "d", 7), (3, 4, "", 9)]
+
+
+def test_many_short_lines_in_linear_time(spark):
+    n = 200_000
+    df = spark.range(1).select("id", F.repeat(F.lit("ab\n"), n).alias("text"))
+    began = time.perf_counter()
+    assert seq.lines(df, "id").agg(F.max("start"), F.count("*")).first() == (3 * n, n + 1)
+    assert time.perf_counter() - began < 10
+
+
+def test_source_characters(spark):
+    text = "a  b\n\tc d"
+    rows = spark.createDataFrame([(text, 2, 3), (None, 0, 1), (text, None, None)], "t string, a long, n long")
+    assert [r["x"] for r in rows.select(tx.source_slice("t", "a", "n").alias("x")).collect()] == ["b\n\tc", None, None]
