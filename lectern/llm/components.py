@@ -10,35 +10,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import cut
+from lectern.llm.shared import cut, few
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: (u, v) with u > v, distinct. Large star links the larger neighbours of a node, small star the others."""
+#: Rows of the smallest neighbours that are told to every task at most (16 bytes each); more are joined.
+BROADCAST_ROWS = 500_000
+
+
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """edges: (u, v) with u > v, distinct, n of them. Large star links the larger neighbours of a node, small star the others."""
     both = edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
     if large:
         both = both.unionByName(edges.select(F.col("v").alias("a"), F.col("u").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    joined = both.join(least, "a")
+    least = few(both.groupBy("a").agg(F.min("b").alias("m")), n).withColumn("m", F.least("a", "m"))
+    joined = both.join(F.broadcast(least) if 2 * n <= BROADCAST_ROWS else least, "a")
     if large:
         moved = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("u"), F.col("m").alias("v"))
     else:
         moved = joined.select(F.col("b").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("a").alias("u"), F.col("m").alias("v")))
-    return moved.filter("u != v").groupBy("u", "v").agg(F.lit(1).alias("one")).drop("one")
+    return few(moved.filter("u != v").groupBy("u", "v").agg(F.lit(1).alias("one")).drop("one"), n)
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, component) of every node with a link: the smallest node it can reach. `edges`: (u, v), any order."""
-    now = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).groupBy("u", "v").agg(F.lit(1).alias("one")).drop("one")
-    now = cut(now)
+    now = cut(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).groupBy("u", "v").agg(F.lit(1).alias("one")).drop("one"))
+    n = now.count()
+    now = few(now, n)
     before = None
     for _ in range(most_rounds):
-        now = cut(_star(_star(now, True), False))
+        now = cut(_star(_star(now, True, n), False, n))
         # Stars only: every node has one link, and no centre is itself linked to a smaller one.
         state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
+        n = state[0]
         if before is not None and tuple(state) == tuple(before):
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                now.groupBy(F.col("v").alias("node")).agg(F.first("v").alias("component"))
-            )
+            centres = few(now.groupBy(F.col("v").alias("node")).agg(F.first("v").alias("component")), n)
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres)
         before = state
     raise RuntimeError("components did not settle")

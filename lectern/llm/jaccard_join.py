@@ -11,8 +11,8 @@
    pair is made only where enough elements follow in both sets. Keys of one group are dropped; then groups are expanded
    into their classes.
 4. Verification in star rounds. In each list one class is the centre; the members that are not yet connected to it, of
-   fitting size and signature and not compared before, are verified against it on whole sets. Lists whose members all
-   hang together are dropped after each round. The last round compares what still shares a key across components, so
+   fitting size and signature and not compared before, are verified against it on whole sets. A centre leaves its list
+   after the round, and lists whose members all hang together are dropped. The last round compares what still shares a key across components, so
    no link is lost that joins different components; links within one component add nothing to the result. Its lists
    are dealt in blocks, and only pairs that sizes, places and signatures allow leave the join.
 
@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 
 from lectern.llm._words import NONSPACE, Words, mix, slices, words_of
 from lectern.llm.components import components
-from lectern.llm.shared import cut, release
+from lectern.llm.shared import cut, few, release
 
 SIZE = 5
 PERCENT = 75
 #: Of this share of a set's size, shared shingles beyond the first are asked for in the tallies.
-EXTRA = 10
+EXTRA = 15
 STAR_ROUNDS = 6
 #: Bytes of text whose shingles are counted in one task.
 PART_BYTES = 16 << 20
@@ -198,16 +198,17 @@ def _tallied(told: DataFrame) -> DataFrame:
 
 
 def _full(docs: DataFrame, size: int) -> DataFrame:
-    """print, n, hashes (ascending) and signature of every document's set."""
+    """print, n, hashes (ascending) and signature of the set of every document (text, want) whose print is the wanted one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = SIGNATURE // 64
         for batch in batches:
+            want = batch.column(1).to_numpy()
             for a, b, data, offsets in slices(batch.column(0)):
                 h, bounds, prints = _sets(data, offsets, size)
                 bit = (mix(h) & np.uint64(SIGNATURE - 1)).astype(np.int64)
                 signs = [np.packbits(np.bincount(bit[bounds[d] : bounds[d + 1]], minlength=SIGNATURE) & 1).view(np.int64) for d in range(b - a)]
-                yield pa.RecordBatch.from_arrays(
+                out = pa.RecordBatch.from_arrays(
                     [
                         pa.array(prints.view(np.int64)),
                         pa.array(np.diff(bounds), pa.int32()),
@@ -216,9 +217,10 @@ def _full(docs: DataFrame, size: int) -> DataFrame:
                     ],
                     names=["print", "n", "hashes", "sign"],
                 )
+                yield out.filter(pa.array(prints.view(np.int64) == want[a:b]))
         release()
 
-    return docs.select("text").mapInArrow(run, "print long, n int, hashes array<long>, sign array<long>")
+    return docs.select("text", "want").mapInArrow(run, "print long, n int, hashes array<long>, sign array<long>")
 
 
 def _needed(n: Column, percent: int) -> Column:
@@ -231,14 +233,14 @@ def _allowed(percent: int) -> Column:
     return differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
 
 
-def _possible(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def _possible(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that their sizes and signatures do not rule out."""
-    one = full.select(F.col("print").alias("a"), F.col("n").alias("na"), F.col("sign").alias("sa"))
-    two = full.select(F.col("print").alias("b"), F.col("n").alias("nb"), F.col("sign").alias("sb"))
+    one = signs.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sign").alias("sa"))
+    two = signs.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sign").alias("sb"))
     return pairs.join(one, "a").join(two, "b").filter(_allowed(percent)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, n_pairs: int, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) whose whole sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,76 +254,120 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    one = full.select(F.col("print").alias("a"), F.col("hashes").alias("x"))
-    two = full.select(F.col("print").alias("b"), F.col("hashes").alias("y"))
+    # Only sets that stand in a pair move.
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.lit(1).alias("one")).select("node")
+    held = sets.join(F.broadcast(named) if 2 * n_pairs <= BROADCAST_IDS else named, "node", "left_semi")
+    one, two = held.select(F.col("node").alias("a"), F.col("hashes").alias("x")), held.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _keyed(full: DataFrame, percent: int) -> DataFrame:
-    """print, n, alone (shingles of no other class), keys (the rest of the prefix, rare first) and group of each class."""
-    entries = full.select("print", "n", F.explode("hashes").alias("h"))
+    """node, n, alone (shingles of no other class), keys (the rest of the prefix, rare first) and group of each class."""
+    entries = full.select("node", F.explode("hashes").alias("h"))
     often = entries.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
-    listed = entries.join(often, "h").groupBy("print").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))
-    listed = listed.filter(F.size("s") >= _needed(F.col("n"), percent)).withColumn("alone", F.col("n") - F.size("s"))
+    listed = entries.join(often, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.col("c").cast("int").alias("c"), "h"))).alias("s"))
+    listed = full.select("node", "n").join(listed, "node").filter(F.size("s") >= _needed(F.col("n"), percent)).withColumn("alone", F.col("n") - F.size("s"))
     left = (F.col("n") - _needed(F.col("n"), percent) + 1 - F.col("alone")).cast("int")
     listed = listed.withColumn("keys", F.slice("s", F.lit(1), F.greatest(left, F.lit(0)))["h"])
-    group = F.when(F.col("alone") == 0, F.xxhash64("n", "keys")).otherwise(F.col("print"))
-    return listed.select("print", "n", "alone", "keys", group.alias("grp"))
+    group = F.when(F.col("alone") == 0, F.xxhash64("n", "keys")).otherwise(F.col("node"))
+    return listed.select("node", "n", "alone", "keys", group.alias("grp"))
 
 
 def _lists(keyed: DataFrame) -> DataFrame:
     """Inverted lists (key, node, n, pos) of the keys that several groups hold, and of every group of several classes."""
-    groups = keyed.groupBy("grp").agg(F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("keys").alias("keys"), F.count("*").alias("m"))
+    groups = keyed.groupBy("grp").agg(F.min("n").alias("n"), F.min("alone").alias("alone"), F.min_by("keys", "node").alias("keys"), F.count("*").alias("m"))
     entries = groups.select("grp", "n", "alone", F.posexplode("keys").alias("at", "key")).select("key", "grp", "n", (F.col("alone") + F.col("at")).alias("pos"))
     several = entries.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo != hi").select("key")
     # Classes of one group meet under the group's own name as well, in case no other group shares its keys.
     own = groups.filter("m > 1").select(F.xxhash64("grp", F.lit("group")).alias("key"), "grp", "n", F.lit(0).alias("pos"))
-    members = keyed.select("grp", F.col("print").alias("node"))
-    return entries.join(several, "key").unionByName(own).join(members, "grp").select("key", "node", "n", "pos")
+    return entries.join(several, "key").unionByName(own).join(keyed.select("grp", "node"), "grp").select("key", "node", "n", "pos")
 
 
-def _linked(lists: DataFrame, full: DataFrame, percent: int, star_rounds: int) -> DataFrame | None:
-    """(node, component) of every class with a link; None where there is no link."""
+def _grown(member: DataFrame | None, found: DataFrame) -> DataFrame:
+    """The components (node, component) once more links are found."""
+    edges = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return components(edges if member is None else edges.unionByName(member.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+
+
+def _settled(pairs: DataFrame, member: DataFrame | None, sets: DataFrame, percent: int, few_first: int = 3) -> DataFrame | None:
+    """The components once all pairs across components are verified: first one pair of each two components, a few times,
+    as one link makes the others of these two needless; then all that are left."""
+    for turn in range(few_first + 1):
+        if member is not None:
+            for side, c in (("a", "ca"), ("b", "cb")):
+                pairs = pairs.join(member.select(F.col("node").alias(side), F.col("component").alias(c)), side, "left")
+        else:
+            pairs = pairs.withColumns({"ca": F.lit(None).cast("long"), "cb": F.lit(None).cast("long")})
+        ca, cb = F.coalesce("ca", "a"), F.coalesce("cb", "b")
+        across = pairs.select("a", "b", F.least(ca, cb).alias("lo"), F.greatest(ca, cb).alias("hi")).filter("lo != hi")
+        across = cut(across)
+        n = across.count()
+        if not n:
+            return member
+        if turn < few_first:
+            r = F.xxhash64("a", "b")
+            some = few(across.groupBy("lo", "hi").agg(F.min_by("a", r).alias("a"), F.min_by("b", r).alias("b")), n, 20_000).select("a", "b")
+            some = cut(some)
+            n = some.count()
+        else:
+            some = across.select("a", "b")
+        found = cut(few(_verified(some, n, sets, percent), n, 500))
+        if not found.isEmpty():
+            member = _grown(member, found)
+        pairs = across.select("a", "b").join(some, ["a", "b"], "left_anti")
+    return member
+
+
+def _linked(lists: DataFrame, n_nodes: int, sets: DataFrame, signs: DataFrame, percent: int, star_rounds: int) -> DataFrame | None:
+    """(node, component) of every class with a link; None where there is no link. sets: node, hashes; signs: node, n, sign."""
     # Of a linked pair the first shared key stands so early in both that enough is left behind it to share. That one key
     # is enough to find the pair; where it stands late, a pair cannot be linked and is not made.
     need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
     fits = (F.col("n") - F.col("pos") >= need) & (F.col("m") - F.col("opos") >= need) & (F.col("c") != F.col("oc"))
-    few = max(100, full.count() // 500)
+    enough = max(100, n_nodes // 50)
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
-    links = checked = member = None
-    last, turn = star_rounds == 0, -1
+    checked = member = None
+    last, turn, n = star_rounds == 0, -1, lists.count()
     while True:
         turn += 1
         now = lists.withColumn("c", F.col("node")) if member is None else lists.join(member, "node", "left").select(*lists.columns, F.coalesce("component", "node").alias("c"))
-        first = F.struct(F.col("c") if turn else F.lit(0).alias("c0"), F.xxhash64("node", F.lit(turn)).alias("r"), "node", "n", "pos", F.col("c").alias("of"))
-        mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min(first).alias("centre")).filter("lo != hi")
-        now = cut(now.join(mixed.select("key", "size", "centre"), "key"))
-        lists = now.select(*lists.columns)
+        # One of each list by hash, later one of the list's first component. The hash of one number is different for
+        # each number, so all that is kept at first is of one member.
+        if turn == 0:
+            kept = [F.min_by(c, F.xxhash64("node", F.lit(turn))).alias(to) for c, to in (("node", "other"), ("n", "m"), ("pos", "opos"), ("c", "oc"))]
+            mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), *kept).filter("lo != hi")
+        else:
+            kept = F.min(F.struct(F.xxhash64("c", F.lit(turn)).alias("r"), F.xxhash64("node", F.lit(turn)).alias("s"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("opos"), F.col("c").alias("oc")))
+            mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), kept.alias("centre")).filter("lo != hi")
+            mixed = mixed.select("key", "lo", "hi", "size", "centre.other", "centre.m", "centre.opos", "centre.oc")
+        now = cut(few(now.join(mixed.drop("lo", "hi"), "key"), n, 20_000))
         if last:
             blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-            signed = now.join(full.select(F.col("print").alias("node"), "sign"), "node").withColumn("blocks", blocks)
+            signed = now.select("key", "node", "n", "pos", "c", "size").join(signs.select("node", "sign"), "node").withColumn("blocks", blocks)
             one = signed.select("key", "node", "n", "pos", "c", F.col("n").alias("na"), F.col("sign").alias("sa"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
             two = signed.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("opos"), F.col("c").alias("oc"), F.col("n").alias("nb"), F.col("sign").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
             one, two = one.alias("one"), two.alias("two")
             on = (F.col("one.key") == F.col("two.key")) & (F.col("one.block") == F.col("two.block")) & (F.col("node") < F.col("other")) & fits & _allowed(percent)
             pairs = one.join(two, on)
         else:
-            of = now.select("node", "n", "pos", "c", F.col("centre.node").alias("other"), F.col("centre.n").alias("m"), F.col("centre.pos").alias("opos"), F.col("centre.of").alias("oc"))
-            pairs = of.filter((F.col("node") != F.col("other")) & fits)
-        pairs = pairs.select(*pair).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
+            pairs = now.filter((F.col("node") != F.col("other")) & fits)
+        pairs = few(pairs.select(*pair).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"), n, 20_000)
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = cut(pairs if last else _possible(pairs, full, percent))
-        found = cut(_verified(pairs, full, percent))
+        pairs = cut(few(pairs if last else _possible(pairs, signs, percent), n, 20_000))
+        if last:
+            return _settled(pairs, member, sets, percent)
+        n_pairs = pairs.count()
+        found = cut(few(_verified(pairs, n_pairs, sets, percent), n_pairs, 500))
         gained = found.count()
-        # Star rounds end when they bring little more together; what they leave is for the last round.
-        stop, last = last, last or gained < few or turn + 1 >= star_rounds
-        links = found if links is None else links.unionByName(found)
         checked = pairs if checked is None else checked.unionByName(pairs)
         if gained:
-            member = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        if stop:
-            return member
+            member = _grown(member, found)
+        # A list's centre has met all of its list, and leaves it.
+        lists = now.filter(F.col("node") != F.col("other")).select(*lists.columns)
+        n = lists.count()
+        # Star rounds end when they bring little more together; what they leave is for the last round.
+        last = gained < enough or turn + 1 >= star_rounds
 
 
 def join(
@@ -337,19 +383,24 @@ def join(
     # A partner may be smaller, and be asked for less.
     asked = F.greatest(F.lit(1), F.floor(_needed(F.col("n"), percent) * EXTRA / 100))
     live = cut(classes.join(tally, "print").filter(F.col("shared") >= asked).select("print", "id"))
-    wanted = live.select(F.col("id").alias("rid"))
-    few = live.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("rid")), "left_semi")
-    # Rows with an id that is not theirs alone, and repeated rows.
-    full = _full(texts, size).join(live.select("print"), "print", "left_semi").groupBy("print").agg(*(F.first(c).alias(c) for c in ("n", "hashes", "sign")))
-    full = cut(full)
-    member = _linked(cut(_lists(cut(_keyed(full, percent)))), full, percent, star_rounds)
+    wanted = live.select(F.col("id").alias("rid"), F.col("print").alias("want"))
+    told = live.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(wanted) if told else wanted, F.col("id").eqNullSafe(F.col("rid")))
+    full = _full(texts, size)
+    if not rows.groupBy("id", "print").count().filter("count > 1").isEmpty():  # repeated rows
+        full = full.groupBy("print").agg(*(F.first(c).alias(c) for c in ("n", "hashes", "sign")))
+    full = cut(full.withColumn("node", F.monotonically_increasing_id()))
+    keyed = cut(_keyed(full, percent))
+    n_keyed = keyed.count()
+    kept = full.join(F.broadcast(keyed.select("node")) if n_keyed <= BROADCAST_IDS else keyed.select("node"), "node", "left_semi")
+    member = _linked(cut(_lists(keyed)), n_keyed, kept.select("node", "hashes"), cut(kept.select("node", "n", "sign")), percent, star_rounds)
     if member is None:
         named = classes.select("print", F.col("id").alias("component_id"))
     else:
-        placed = classes.join(member, classes["print"] == member["node"], "left").select("print", "id", F.coalesce("component", "print").alias("component"))
+        placed = full.select("node", "print").join(member, "node").join(classes.select("print", "id"), "print").select("print", "id", "component")
         least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
-        named = placed.join(least, "component").select("print", "component_id")
+        moved = placed.join(least, "component").select("print", "component_id")
+        named = classes.join(moved, "print", "left").select("print", F.coalesce("component_id", "id").alias("component_id"))
     linked = rows.filter("n > 0").join(named, "print").select("id", "n", "component_id")
     alone = rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), "component_id")

@@ -1,23 +1,18 @@
-"""Cutting lineage in the folder that the cluster shares."""
+"""What the operators share: cut lineage, sized jobs, columns out of the way."""
 
 from __future__ import annotations
 
-import tempfile
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.session import cut  # noqa: F401
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept by `checkpoint()` in spark.checkpoint.dir, which outlives lost executors.
 
-    Only where that setting is absent, as in tests on one machine, a new temporary folder takes its place.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
-    return df.checkpoint(eager=True)
+def few(df: DataFrame, rows: int, per_task: int = 100_000) -> DataFrame:
+    """`df`, of about so many rows as counted, in no more tasks than these need: small tables make small jobs."""
+    want = rows // per_task + 1
+    return df.coalesce(want) if want < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def with_text(df: DataFrame, keep, text: str) -> tuple[DataFrame, int]:
