@@ -7,8 +7,11 @@ All chains of a batch are decoded at once by Viterbi. A token without that shape
 constraint is what lets the rest of a text be skipped, so whole texts are read and no secret by the model is lost.
 
 The field is fitted by maximum likelihood on a bounded sample of rows: up to `max_docs` with spans of the base
-patterns (by hash of the key), and as many others that hold digits or signs; the base spans are the labels. Key words count as
-a feature, yet are hidden in half of the training chains, so that shape and neighbours must carry the decision too.
+patterns (by hash of the key), and as many others that hold digits or signs, of up to `MAX_CHARS` characters each, with up
+to `MAX_CHAINS` chains in pieces of `PIECE` tokens; the base spans are the labels. Each is also learned in re-dressed
+copies, in which a random credential of another alphabet, length and prefix stands in the secret's place, with other words
+or none in front. Key words count as a feature, yet are hidden in half of the training chains, so that shape and
+neighbours must carry the decision too.
 
 Spans are `kind:start:end`: code points of the whole match (for `crf`, of the tokens), end exclusive. Model spans that
 touch a base span are that span already and are not added. Nulls: a null text is empty. Rows are kept one to one;
@@ -18,10 +21,13 @@ repeated keys are fine. Empty table: empty result; without labelled rows the mod
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -36,7 +42,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 
+#: Bounds of the sample that the field is fitted on: texts of each kind, characters of such a text, chains taken of a text
+#: and tokens of a piece of a chain. Texts are scanned whole, whatever these bounds are.
 MAX_DOCS = 1500
+MAX_CHARS = 20_000
+MAX_CHAINS = 20
+PIECE = 60
+#: Re-dressed copies of each text with a labelled secret.
+COPIES = 2
 _COULD = re.compile(r"[A-Za-z0-9+/_=-]*[0-9][A-Za-z0-9+/_=-]*")
 _ALPHABET = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*|[^\sA-Za-z0-9+/_=-]")
@@ -269,11 +282,12 @@ def secret_part(text: str, start: int, end: int, kind: int) -> tuple[int, int]:
     return m.span(2)
 
 
-def sample(df: DataFrame, text: str, key: str, max_docs: int) -> list[str]:
-    """Up to about `max_docs` texts with base spans and as many others with digits or signs, by hash of the key; no text is cut."""
+def sample(df: DataFrame, text: str, key: str, max_docs: int, max_chars: int = MAX_CHARS) -> list[str]:
+    """Up to about `max_docs` texts with base spans and as many others with digits or signs, by hash of the key, each of
+    at most `max_chars` characters."""
     body = F.col(text)
     hit = body.rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]") | body.rlike(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    rows = df.select(F.xxhash64(F.col(key).cast("string"), body).alias("h"), body.alias("t"), hit.alias("hit"), F.length(body).alias("n")).filter((hit | body.rlike("[0-9=:]")) & (F.length(body) < 20_000))
+    rows = df.select(F.xxhash64(F.col(key).cast("string"), body).alias("h"), body.alias("t"), hit.alias("hit")).filter((F.col("hit") | body.rlike("[0-9=:]")) & (F.length(body) <= max_chars))
     counts = {r["hit"]: r["count"] for r in rows.groupBy("hit").count().collect()}
     part = F.pmod("h", F.lit(1_000_000))
     keep = F.lit(False)
@@ -282,17 +296,41 @@ def sample(df: DataFrame, text: str, key: str, max_docs: int) -> list[str]:
     return [r["t"] for r in rows.filter(keep).select("h", "t").orderBy("h").limit(4 * max_docs).collect()]
 
 
-def train(texts: list[str]) -> dict[str, np.ndarray] | None:
+_ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", string.digits + string.ascii_uppercase, string.digits + string.ascii_letters, string.digits + string.ascii_letters + "+/")
+
+
+def redressed(text: str, span: tuple[int, int, int], rng: random.Random) -> tuple[str, tuple[int, int]]:
+    """The surroundings of a base span with another credential in its place, and where that stands.
+
+    Alphabet, length, a short prefix and the words in front vary, so that the credential's own shape has to decide.
+    """
+    alphabet = rng.choice(_ALPHABETS)
+    body = rng.choice("0123456789") + "".join(rng.choice(alphabet) for _ in range(rng.randint(15, 47)))
+    prefix = "".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 5))) + rng.choice("_-")
+    said = (prefix if rng.random() < 0.4 else "") + body
+    name = rng.choice(["auth", "pwd", "key", "access", "private", "credential", "bearer"])
+    front, behind = rng.choice([("", ""), ("", ""), (f"{name} = \"", "\""), (f"{name}: ", ""), (f"{name} ", ""), ("(", ")"), (f"{name}='", "'")])
+    before = text[max(0, span[0] - 2 * _REACH) : span[0]] + front
+    return before + said + behind + text[span[1] : span[1] + 2 * _REACH], (len(before), len(before) + len(said))
+
+
+def train(texts: list[str], max_chains: int = MAX_CHAINS, piece: int = PIECE, copies: int = COPIES) -> dict[str, np.ndarray] | None:
     rows, tags = [], []
-    for n, text in enumerate(texts):
-        spans = sorted({secret_part(text, *s) for s in base_spans(text)})
-        pieces = [tokens[at : at + 60] for tokens in chains(text) for at in range(0, len(tokens), 60)]
+
+    def learn(text: str, spans: list[tuple[int, int]], hide_keys: bool, coded: bool) -> None:
+        pieces = [tokens[at : at + piece] for tokens in chains(text) for at in range(0, len(tokens), piece)]
         told = [(_labels(tokens, spans), tokens) for tokens in pieces]
         told.sort(key=lambda p: not (p[0] != _O).any())  # pieces with labels first, else in order
-        coded = _coded(text)
-        for labels, tokens in told[:20]:
-            rows.append(features(text, tokens, bool(n % 2), coded))
+        for labels, tokens in told[:max_chains]:
+            rows.append(features(text, tokens, hide_keys, coded))
             tags.append(labels)
+
+    for n, text in enumerate(texts):
+        base, coded, rng = base_spans(text), _coded(text), random.Random(n)
+        learn(text, sorted({secret_part(text, *s) for s in base}), bool(n % 2), coded)
+        for c in range(copies if base else 0):
+            other, span = redressed(text, rng.choice(base), rng)
+            learn(other, [span], bool(c % 2), coded)
     if not any((t == _B).any() for t in tags):
         return None
     return fit(rows, tags)
@@ -326,8 +364,9 @@ def _spans(texts: list[str], model) -> list[tuple[list[tuple[int, int, int]], li
 
 
 def scan(df: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] | None = None, max_docs: int = MAX_DOCS) -> DataFrame:
-    """`keep` (default: the key) and `found`: array of (kind, start, end) in order of start, then kind."""
-    keep = keep or (key,)
+    """`keep` (default: the key) and `found`: array of (kind, start, end) in order of start, then kind. A kept column named
+    found gives way."""
+    keep = tuple(k for k in keep or (key,) if k != "found")
     model = train(sample(df, text, key, max_docs))
     schema = T.StructType([*(df.schema[k] for k in keep), T.StructField("found", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
     names = (*KINDS, "crf")
@@ -369,17 +408,30 @@ def redact(df: DataFrame, text: str = "text", key: str = "doc_id", mark: str = "
     columns = df.columns
     df = aside(df, ["found"])
     found = scan(df, text, key, tuple(df.columns), **options)
-    step = F.aggregate(
-        "found", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda a, s: F.struct(
-            F.when(s["end"] <= a["at"], a["out"])
-            .when(s["start"] < a["at"], a["out"])
-            .otherwise(F.concat(a["out"], F.substr(F.col(text), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark))).alias("out"),
-            F.greatest(a["at"], s["end"]).alias("at"),
-        ),
-        lambda a: F.concat(a["out"], F.substr(F.col(text), (a["at"] + 1).cast("int"), F.length(text))),
-    )
-    return found.withColumn(text, F.when(F.size("found") > 0, step).otherwise(F.col(text))).transform(back, columns)
+    held = F.size("found") > 0
+    clean = _replaced(mark)(F.when(held, F.col(text)), F.when(held, F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))
+    return found.withColumn(text, F.coalesce(clean, F.col(text))).transform(back, columns)
+
+
+def _replaced(mark: str):
+    """Spans (in order of start) replaced by `mark`, those that overlap or touch nothing between them as one."""
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        def one(t, own):
+            if t is None:
+                return None
+            out, at, open_until = [], 0, -1
+            for s in own:
+                if s["start"] >= at or open_until < 0:
+                    out += [t[at : s["start"]], mark]
+                open_until = max(open_until, s["end"])
+                at = max(at, s["end"])
+            return "".join([*out, t[at:]])
+
+        return pd.Series([one(*x) for x in zip(texts, spans, strict=True)], dtype=object)
+
+    return run
 
 
 def registered(spark, sf_dir: str) -> DataFrame:
