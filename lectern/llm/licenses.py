@@ -136,15 +136,27 @@ def _spaces(x: str) -> str:
     return f"(length({x}) - length(replace({x}, ' ', '')))"
 
 
+def _let(value: str, name: str, use: str) -> str:
+    """`use` with `value` computed once under `name`."""
+    return f"transform(array({value}), {name} -> {use})[0]"
+
+
 def _places(pattern: str, norm: str, extra: str, kind: str) -> str:
-    """Intervals of words (start, end exclusive as its negative, then `extra`) where the pattern matches `norm`."""
-    mark = f"regexp_replace({norm}, {pattern}, '{_OPEN}$0{_CLOSE}')"
-    return (
-        f"aggregate(split({mark}, '{_OPEN}'), named_struct('at', 0, 'out', cast(array() AS array<{kind}>)), "
-        f"(a, p) -> named_struct('at', a.at + {_spaces('p')}, 'out', if(instr(p, '{_CLOSE}') > 0, concat(a.out, array("
-        f"named_struct('start', a.at, 'back', -(a.at + {_spaces(f'substring_index(p, {chr(39)}{_CLOSE}{chr(39)}, 1)')}){extra}))), a.out)), "
-        f"a -> a.out)"
+    """Intervals of words (start, end exclusive as its negative, then `extra`) where the pattern matches `norm`.
+
+    Folded in blocks of 256 pieces, so that a long list of intervals is not copied for each of its members.
+    """
+    parts = f"split(regexp_replace({norm}, {pattern}, '{_OPEN}$0{_CLOSE}'), '{_OPEN}')"
+    inner = (
+        f"aggregate(slice(z, i * 256 + 1, 256), named_struct('at', a.at, 'out', cast(array() AS array<{kind}>)), "
+        f"(c, p) -> named_struct('at', c.at + {_spaces('p')}, 'out', if(instr(p, '{_CLOSE}') > 0, concat(c.out, array("
+        f"named_struct('start', c.at, 'back', -(c.at + {_spaces(f'substring_index(p, {chr(39)}{_CLOSE}{chr(39)}, 1)')}){extra}))), c.out)))"
+    )
+    fold = (
+        f"aggregate(sequence(0, (size(z) - 1) div 256), named_struct('at', 0, 'out', cast(array() AS array<array<{kind}>>)), "
+        f"(a, i) -> {_let(inner, 'b', 'named_struct({q}at{q}, b.at, {q}out{q}, concat(a.out, array(b.out)))'.format(q=chr(39)))}, a -> flatten(a.out))"
     )
+    return _let(parts, "z", fold)
 
 
 _FOUND = "struct<start:int,back:int,down:int,label:string,weight:double>"
