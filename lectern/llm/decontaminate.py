@@ -171,7 +171,9 @@ def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", mode: str = "
         return back(found.filter("n_hit = 0"), columns)
     # A word with what precedes it; the text after the last word is a part of its own.
     parts = F.regexp_extract_all(F.col(text), F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*(?:[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|$)"), F.lit(0))
-    kept = F.array_join(F.filter(parts, lambda p, i: ~F.array_contains("hit_words", i)), "")
+    left = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "hit_words")
+    kept = F.array_join(F.transform(left, lambda i: F.get("__parts", i)), "")
+    found = found.withColumn("__parts", F.when(F.col("n_hit") > 0, parts))
     return back(found.withColumn(text, F.when(F.col("n_hit") > 0, kept).otherwise(F.col(text))), columns)
 
 
