@@ -67,7 +67,8 @@ def _unit(column: pa.Array, d: int) -> np.ndarray:
 
 
 def _near(xa, pa_, xb, pb, epsilon: float, threshold: float, same: bool, emit) -> None:
-    """Halves both sides until blocks are distant or small; `emit` gets the linked pairs of positions."""
+    """Halves both sides until blocks are distant or small; `emit` gets a small block's places and which of its pairs are
+    linked (of a block with itself both ways)."""
     stack = [(0, len(xa), 0, len(xb))]
     while stack:
         a0, a1, b0, b1 = stack.pop()
@@ -80,12 +81,11 @@ def _near(xa, pa_, xb, pb, epsilon: float, threshold: float, same: bool, emit) -
         if (gap * gap).sum() > (epsilon + _SLACK) ** 2:
             continue
         if a1 - a0 <= _LEAF and b1 - b0 <= _LEAF:
-            i, j = np.nonzero(xa[a0:a1] @ xb[b0:b1].T >= threshold)
-            i, j = i + a0, j + b0
+            linked = xa[a0:a1] @ xb[b0:b1].T >= threshold
             if same:
-                i, j = i[i < j], j[i < j]
-            if len(i):
-                emit(i, j)
+                linked &= np.arange(a0, a1)[:, None] < np.arange(b0, b1)[None, :]
+            if linked.any():
+                emit(a0, a1, b0, b1, linked)
         elif a1 - a0 >= b1 - b0:
             mid = (a0 + a1) // 2
             stack += [(a0, mid, b0, b1), (mid, a1, b0, b1)]
@@ -94,6 +94,23 @@ def _near(xa, pa_, xb, pb, epsilon: float, threshold: float, same: bool, emit) -
             stack += [(a0, a1, b0, mid), (a0, a1, mid, b1)]
 
 
+def _held(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, column) that hold together what a block's links do, at most one for each row and column."""
+    far = linked.shape[0]
+    row = np.arange(far)
+    while True:
+        column = np.where(linked, row[:, None], far).min(0)
+        new = np.minimum(row, np.where(linked, column[None, :], far).min(1))
+        if (new == row).all():
+            break
+        row = new
+    # A column of each group stands for it: one that its first row is linked with.
+    first = linked[:, :].argmax(1)
+    i = np.flatnonzero(linked.any(1))
+    j = np.flatnonzero(column < far)
+    return np.concatenate([i, column[j]]), np.concatenate([first[row[i]], j])
+
+
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest position each position hangs together with."""
     root = np.arange(n)
@@ -161,11 +178,12 @@ def _join(rows: DataFrame, d: int, threshold: float, leading: int, interval: int
         a, b = sides[0], sides[0] if same else sides[1]
         links, found = np.zeros(len(ids), np.int64), []
 
-        def emit(i, j):
-            i, j = a[i], b[j]
-            np.add.at(links, i, copies[j])
-            np.add.at(links, j, copies[i])
-            found.append((i, j))
+        def emit(a0, a1, b0, b1, linked):
+            i, j = a[a0:a1], b[b0:b1]
+            links[i] += linked @ copies[j]
+            links[j] += copies[i] @ linked
+            row, column = _held(linked)
+            found.append((i[row], j[column]))
 
         _near(x[a], p[a], x[b], p[b], epsilon, threshold, same, emit)
         if not found:
