@@ -1,7 +1,9 @@
 """A training-data pipeline over `documents`: each stage calls one operator on all that its predecessor kept.
 
-Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `docs`.
-Rows with an equal doc_id are one document to the Jaccard stage: they stay or go together.
+Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `docs`, also
+where these are named as an operator's own. Null texts have no language and go in the first stage; so do texts without
+letters. Texts of any length are read whole. Rows with an equal doc_id are one document to the Jaccard stage: they go
+only if every one of them is a copy. A row with a null doc_id stays there. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,21 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, jaccard_join, langid, packing, secrets
-from lectern.llm.shared import cut
+from lectern.llm.shared import aside, back, cut
 from lectern.session import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled rows outside the held-out fold; documents without a language go."""
     langs, probs = langid.learn(docs.filter(~langid.held_out()))
-    said = langid.identify(docs, langs, probs, keep=tuple(docs.columns))
-    return said.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    held = aside(docs, ["lang_pred", "score"])
+    said = langid.identify(held, langs, probs, keep=tuple(held.columns))
+    return back(said.filter(F.col("lang_pred") != langid.UNKNOWN), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays."""
-    found = jaccard_join.join(docs)
-    gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id")
+    found = jaccard_join.join(docs).groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("first"))
+    gone = found.filter(~F.col("first")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -36,7 +39,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the text, and n_chars follows; no document goes."""
     clean = secrets.redact(docs)
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,11 +60,15 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Stages whose results are kept by a checkpoint: what follows reads them several times. The others are read once.
+KEPT = ("language_id", "decontamination")
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole `documents`; each result is cut off by a checkpoint before the next."""
+    """All stages over the whole `documents`."""
     docs = table(spark, sf_dir, "documents")
-    for number, (_, stage) in enumerate(STAGES):
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
-        if number + 1 < len(STAGES):
+        if name in KEPT:
             docs = cut(docs)
     return docs
