@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.evaluation import upsert
+from lectern.session import cut
 
 Model = Callable[[list[str]], list[str]]
 SCHEMA = "task_id string, id string, grp string, verdicts map<string,int>, error string, attempts int"
@@ -73,6 +74,26 @@ def recover(first: DataFrame, task: DataFrame, make_model: Callable[[], Model])
     return upsert(first, again, "task_id", ["verdicts", "error", "attempts"], F.col("error").isNotNull())
 
 
+def recover_in_steps(first: DataFrame, task: DataFrame, make_model: Callable[[], Model]) -> DataFrame:
+    """Two levels: records with a failed task are asked again whole, and only if all of a record's tasks succeed do they
+    take its place; of the rest each failed task is asked alone. What succeeded once is never asked for again there, and
+    `attempts` adds up."""
+    first = cut(first)
+    failed = first.filter("error IS NOT NULL").select("id").distinct()
+    again = cut(judge(task.join(failed, "id", "left_semi"), make_model))
+    whole = again.groupBy("id").agg(F.bool_and(F.col("error").isNull()).alias("whole"), F.first("id").alias("one")).filter("whole").select("id")
+    tried = again.select("task_id", F.col("attempts").alias("more"), "verdicts", "error")
+    spent = first.join(tried.select("task_id", "more"), "task_id", "left").withColumn("attempts", F.col("attempts") + F.coalesce("more", F.lit(0))).drop("more")
+    better = tried.join(again.join(whole, "id", "left_semi").select("task_id"), "task_id", "left_semi").select("task_id", F.col("verdicts").alias("v2"), F.lit(True).alias("better"))
+    second = spent.join(better, "task_id", "left").select("task_id", "id", "grp", F.when(F.col("better"), F.col("v2")).otherwise(F.col("verdicts")).alias("verdicts"), F.when(~F.coalesce("better", F.lit(False)), F.col("error")).alias("error"), "attempts")
+    second = cut(second)
+    alone = cut(judge(task.join(second.filter("error IS NOT NULL").select("task_id"), "task_id", "left_semi"), make_model))
+    last = alone.select("task_id", F.col("verdicts").alias("v3"), F.col("error").alias("e3"), F.col("attempts").alias("more"))
+    joined = second.join(last, "task_id", "left")
+    tried = F.col("more").isNotNull()
+    return joined.select("task_id", "id", "grp", F.when(tried, F.col("v3")).otherwise(F.col("verdicts")).alias("verdicts"), F.when(tried, F.col("e3")).otherwise(F.col("error")).alias("error"), (F.col("attempts") + F.coalesce("more", F.lit(0))).alias("attempts"))
+
+
 def records(judged: DataFrame) -> DataFrame:
     """(id, verdicts, error): a record's verdicts as one map, NULL if any of its tasks failed, with errors in order."""
     merged = F.map_from_entries(F.flatten(F.collect_list(F.map_entries("verdicts"))))
