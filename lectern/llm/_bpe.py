@@ -148,8 +148,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return low, starts, ends - starts, hashes, np.searchsorted(starts, offsets)
 
 
-def encode(merges: Merges, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of plain texts end to end, and the bounds of each text's ids."""
+#: Bytes of a word that are merged in bulk at most, as each round merges one pair of a word; longer ones are for the library.
+LONGEST = 256
+
+
+def rules(path: str) -> tuple:
+    """What a tokenizer file does to a text before its merges."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    model = said["model"]
+    return said["normalizer"], said["pre_tokenizer"], model["type"], *(model.get(k) for k in ("end_of_word_suffix", "continuing_subword_prefix", "byte_fallback", "ignore_merges", "dropout"))
+
+
+def encode(merges: Merges, data: np.ndarray, offsets: np.ndarray, library) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of plain texts end to end, and the bounds of each text's ids. `library` encodes a list of texts."""
     low, starts, lengths, hashes, bounds = words(data, offsets)
     if not len(hashes):
         return np.empty(0, "<u4"), np.zeros(len(offsets), np.int64)
@@ -162,12 +174,23 @@ def encode(merges: Merges, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     if len(fresh):
         begin = starts[first[fresh]]
         own = lengths[first[fresh]]
-        spot = np.repeat(begin - np.concatenate(([0], np.cumsum(own)[:-1])), own) + np.arange(own.sum())
-        ids, counts = merges.ids(low[spot], own)
-        flat, ends = ids.astype("<u4").tobytes(), np.cumsum(4 * counts).tolist()
-        for i, s, e in zip(fresh.tolist(), [0, *ends], ends, strict=False):
-            known[names[i]] = flat[s:e]
-    found = [known[h] for h in names]
+        long = np.flatnonzero(own > LONGEST)
+        if len(long):
+            said = library([low[b : b + n].tobytes().decode() for b, n in zip(begin[long].tolist(), own[long].tolist(), strict=True)])
+            beyond = dict(zip([names[i] for i in fresh[long]], said, strict=True))
+            short = own <= LONGEST
+            fresh, begin, own = fresh[short], begin[short], own[short]
+        else:
+            beyond = {}
+        if len(fresh):
+            spot = np.repeat(begin - np.concatenate(([0], np.cumsum(own)[:-1])), own) + np.arange(own.sum())
+            ids, counts = merges.ids(low[spot], own)
+            flat, ends = ids.astype("<u4").tobytes(), np.cumsum(4 * counts).tolist()
+            for i, s, e in zip(fresh.tolist(), [0, *ends], ends, strict=False):
+                known[names[i]] = flat[s:e]
+    else:
+        beyond = {}
+    found = [beyond[h] if h in beyond else known[h] for h in names]
     ids = np.frombuffer(b"".join(found), dtype="<u4")
     counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
     at = np.concatenate(([0], np.cumsum(counts)))

@@ -53,7 +53,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.merges = _bpe.Merges(path)
+        # The bulk path knows the rules of one file; texts of any other go to the library.
+        self.merges = _bpe.Merges(path) if _bpe.rules(path) == _bpe.rules(default_model()) else None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def library(self, texts: list[str]) -> list[bytes]:
@@ -61,6 +62,10 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         texts = texts.fill_null("")
+        if self.merges is None:
+            for at in range(0, len(texts), 256):
+                yield from self.library(texts.slice(at, 256).to_pylist())
+            return
         named = functools.reduce(pc.or_, (pc.match_substring(texts, s) for s in self.special)).to_numpy(zero_copy_only=False)
         for a, b, data, offsets in slices(texts):
             bulk = _bpe.plain(data, offsets) & ~named[a:b]
@@ -72,7 +77,7 @@ class Encoder:
                     out[i] = ids
                 run = run.filter(pa.array(bulk))
             for _, _, data, offsets in slices(run, max(1, len(data))):
-                ids, bounds = _bpe.encode(self.merges, data, offsets)
+                ids, bounds = _bpe.encode(self.merges, data, offsets, self.library)
                 flat, ends = ids.tobytes(), (4 * bounds).tolist()
                 for n, i in enumerate(np.flatnonzero(bulk).tolist()):
                     out[i] = flat[ends[n] : ends[n + 1]]
