@@ -44,7 +44,7 @@ STAR_ROUNDS = 6
 #: Bytes of text whose shingles are counted in one task.
 PART_BYTES = 16 << 20
 #: Entries that a task gathers before it tells them.
-GATHER = 1 << 21
+GATHER = 1 << 20
 #: Ids that are told to every task at most (8 bytes each); more are joined.
 BROADCAST_IDS = 1_000_000
 #: Members of a list that one task of the last round takes on its left side.

@@ -351,12 +351,16 @@ def identify(df: DataFrame, langs: list[str], probs: np.ndarray, text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not built:
             built.append(Scorer(*shared.value, path))
-        for batch in batches:
-            texts = batch.column(at_text).fill_null("")
-            said: list[tuple[str, float]] = []
-            for at in range(0, len(texts), 256):
-                said += built[0].score(texts.slice(at, 256).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names=schema.names)
+        for whole in batches:
+            # In small parts, so that neither side holds the texts of a large batch more than once.
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                said: list[tuple[str, float]] = []
+                for b in range(0, batch.num_rows, 128):
+                    said += built[0].score(batch.column(at_text).slice(b, 128).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names=schema.names)
+            del whole, batch
+            release()
         release()
 
     return chosen.mapInArrow(run, schema)

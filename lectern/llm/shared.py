@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,9 @@ def with_text(df: DataFrame, keep, text: str) -> tuple[DataFrame, int]:
 def release() -> None:
     """Gives a worker's unused memory back, as workers live on from stage to stage."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def aside(df: DataFrame, names) -> DataFrame:
