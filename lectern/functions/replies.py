@@ -18,12 +18,14 @@ def canonical(c: Column) -> Column:
     return F.regexp_replace(c, r'("(?:[^"\\]|\\.)*+")|\s+', "$1")
 
 
-def is_json(c: Column) -> Column:
-    return F.try_parse_json(c).isNotNull()
+def parsed(c: Column) -> Column:
+    """A text that is one JSON value and nothing more, as a variant; else NULL. (The parser itself stops behind a value.)"""
+    listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    return let(listed, lambda v: F.when(F.size(F.try_variant_get(v, "$", "array<variant>")) == 1, F.try_variant_get(v, "$[0]", "variant")))
 
 
-def is_object(c: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(False))
+def is_json(c: Column) -> Column:
+    return F.coalesce(parsed(c).isNotNull(), F.lit(False))
 
 
 def lenient(c: Column) -> Column:
@@ -44,7 +46,7 @@ def strict(c: Column, finish: Column, items: list[str]) -> Column:
     body = F.when(fenced, inner).otherwise(whole)
 
     def checked(b):
-        value = F.try_parse_json(b)
+        value = parsed(b)
         keys = F.json_object_keys(b)
         kinds = [F.coalesce(F.schema_of_variant(F.try_variant_get(value, f"$['{i}']", "variant")), F.lit("")) for i in items]
         odd = [~((k == "BIGINT") & F.coalesce(F.try_variant_get(value, f"$['{i}']", "int").isin(0, 1), F.lit(False))) for i, k in zip(items, kinds, strict=True)]
@@ -52,7 +54,7 @@ def strict(c: Column, finish: Column, items: list[str]) -> Column:
         for o in odd[1:]:
             wrong = wrong | o
         error = (
-            F.when(~finish.eqNullSafe(F.lit("stop")), "not finished").when(value.isNull(), "no JSON").when(~is_object(b), "no object")
+            F.when(~finish.eqNullSafe(F.lit("stop")), "not finished").when(value.isNull(), "no JSON").when(~F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False)), "no object")
             .when(~F.array_sort(keys).eqNullSafe(F.array(*map(F.lit, sorted(items)))), "other keys").when(wrong, "a verdict is not 0 or 1")
         )
         return F.struct(F.when(error.isNull(), b).alias("json"), fenced.alias("fenced"), error.alias("error"))
@@ -80,4 +82,4 @@ def verdicts(c: Column, items: list[str]) -> Column:
         each = [(i, verdict(F.try_variant_get(top, f"$['{i}']", "variant"))) for i in items]
         return F.struct(F.create_map(*(x for i, e in each for x in (F.lit(i), F.coalesce(e, F.lit(0))))).alias("verdicts"), F.array_compact(F.array(*(F.when(e.isNull(), F.lit(i)) for i, e in each))).alias("missing"))
 
-    return read(F.try_parse_json(lenient(c)))
+    return read(parsed(lenient(c)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import escape_markdown
@@ -40,15 +40,49 @@ def markdown(notices: DataFrame) -> DataFrame:
     return notices.select("id", F.concat_ws("\n", F.concat(F.lit("# "), "id"), F.lit("| key | value |\n|---|---|"), rows, F.array_join(F.transform("docs", block), "\n")).alias("page"))
 
 
-def publish(passages: DataFrame, path: str) -> int:
-    """Writes an index and reads it back: unique ids and unit vectors, or an error. Never overwrites. Returns its rows."""
-    passages.write.mode("errorifexists").parquet(path)
-    again = passages.sparkSession.read.parquet(path)
+def _state(passages: DataFrame) -> dict:
+    """What a manifest says of an index: rows, dimension, and a checksum of ids, texts and vectors in any order."""
+    told = [c for c in ("id", "text", "vector") if c in passages.columns]
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    n, ids, odd = again.agg(F.count("*"), F.count_distinct("id"), F.count(F.when(~(F.abs(norm - 1) <= 1e-4), 1))).first()
-    if n != ids or odd:
-        raise ValueError(f"{n - ids} repeated ids, {odd} vectors without unit norm")
-    return n
+    odd = F.count(F.when(~F.coalesce(F.abs(norm - 1) <= 1e-4, F.lit(False)), 1))
+    n, ids, odd, least, most, check = passages.agg(F.count("*"), F.count_distinct("id"), odd, F.min(F.size("vector")), F.max(F.size("vector")), F.sum(F.xxhash64(*told).cast("decimal(38,0)"))).first()
+    if n != ids or odd or least != most:
+        raise ValueError(f"{n - ids} repeated ids, {odd} vectors without unit norm, {least} to {most} dimensions")
+    return {"rows": n, "dimension": most, "checksum": str(check)}
+
+
+def publish(passages: DataFrame, path: str, version: str = "1", signature: str = "") -> int:
+    """Writes an index beside its place, reads it back and checks it, and only then gives it its name. Never overwrites;
+    a refused index leaves nothing under `path`. Returns its rows."""
+    spark = passages.sparkSession
+    jvm = spark.sparkContext._jvm
+    place, stage = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "._stage")
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(place):
+        raise ValueError(f"{path} exists")
+    files.delete(stage, True)
+    passages.write.mode("errorifexists").parquet(f"{stage}/passages")
+    try:
+        state = _state(spark.read.parquet(f"{stage}/passages"))
+        spark.createDataFrame([{"version": version, "signature": signature, **state}]).coalesce(1).write.json(f"{stage}/manifest")
+    except ValueError:
+        files.delete(stage, True)
+        raise
+    if not files.rename(stage, place):
+        raise ValueError(f"{path} could not be named")
+    return state["rows"]
+
+
+def load_index(spark: SparkSession, path: str, version: str = "1", signature: str = "") -> DataFrame:
+    """A published index; refused if its version or the encoder's signature differ, or its content is not what was published."""
+    manifest = spark.read.json(f"{path}/manifest").first().asDict()
+    if manifest["version"] != version or manifest.get("signature", "") != signature:
+        raise ValueError(f"an index of version {manifest['version']} by {manifest.get('signature')!r}")
+    passages = spark.read.parquet(f"{path}/passages")
+    state = _state(passages)
+    if any(manifest[k] != v for k, v in state.items()):
+        raise ValueError("the index is not what was published")
+    return passages
 
 
 def append_batches(stream: DataFrame, path: str, checkpoint: str):

@@ -73,6 +73,13 @@ def test_markdown_and_publish(spark, tmp_path):
         writers.publish(good, str(tmp_path / "i"))
     with pytest.raises(ValueError):
         writers.publish(spark.createDataFrame([("a", [2.0, 0.0])], "id string, vector array<double>"), str(tmp_path / "j"))
+    assert not (tmp_path / "j").exists() and writers.load_index(spark, str(tmp_path / "i")).count() == 1
+    for wrong in ({"version": "2"}, {"signature": "other"}):
+        with pytest.raises(ValueError):
+            writers.load_index(spark, str(tmp_path / "i"), **wrong)
+    good.withColumn("id", F.lit("z")).write.mode("overwrite").parquet(str(tmp_path / "i" / "passages"))
+    with pytest.raises(ValueError):
+        writers.load_index(spark, str(tmp_path / "i"))
 
 
 def test_chunks_are_exact_and_cover(spark):
