@@ -44,7 +44,7 @@ KINDS = ("assign", "access", "hex")
 
 #: Bounds of the sample that the field is fitted on: texts of each kind, characters of such a text, chains taken of a text
 #: and tokens of a piece of a chain. Texts are scanned whole, whatever these bounds are.
-MAX_DOCS = 1500
+MAX_DOCS = 500
 MAX_CHARS = 20_000
 MAX_CHAINS = 20
 PIECE = 60
@@ -199,33 +199,28 @@ def _emissions(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[np.ndarray], tags: list[np.ndarray], steps: int = 150, l2: float = 1e-3) -> dict[str, np.ndarray]:
-    """Weights and transitions of greatest regularised likelihood, by gradient steps over all chains at once."""
-    x, mask = _padded(rows)
-    y = np.full(mask.shape, _O)
-    for i, t in enumerate(tags):
-        y[i, : len(t)] = t
+    """Weights and transitions of greatest regularised likelihood, by gradient steps over all chains; chains of like length
+    go together, so that padding stays small."""
+    held = []
+    order = sorted((i for i in range(len(rows)) if len(rows[i])), key=lambda i: len(rows[i]))
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and len(rows[order[end]]) <= 1.25 * len(rows[order[at]]) + 2:
+            end += 1
+        x, mask = _padded([rows[i] for i in order[at:end]])
+        y = np.full(mask.shape, _O)
+        for n, i in enumerate(order[at:end]):
+            y[n, : len(tags[i])] = tags[i]
+        gold = np.eye(3)[y] * mask[..., None]
+        held.append((x, mask, gold, np.einsum("nti,ntj->ij", gold[:, :-1], gold[:, 1:])))
+        at = end
+    n = len(order)
     weights, moves = np.zeros((N_FEATURES, 3)), np.zeros((3, 3))
-    n, length = mask.shape
-    gold = np.eye(3)[y] * mask[..., None]
-    gold_moves = np.einsum("nti,ntj->ij", gold[:, :-1], gold[:, 1:])
     m1, m2 = [0.0, 0.0], [0.0, 0.0]
     for step in range(1, steps + 1):
-        e, t = _emissions(x, weights), moves + _ALLOWED
-        alpha, beta = np.zeros((length, n, 3)), np.zeros((length, n, 3))
-        alpha[0] = e[:, 0] + _START
-        for k in range(1, length):
-            nxt = _logsum(alpha[k - 1][:, :, None] + t, 1) + e[:, k]
-            alpha[k] = np.where(mask[:, k, None], nxt, alpha[k - 1])
-        for k in range(length - 2, -1, -1):
-            prev = _logsum(t + (e[:, k + 1] + beta[k + 1])[:, None, :], 2)
-            beta[k] = np.where(mask[:, k + 1, None], prev, 0.0)
-        z = _logsum(alpha[-1], 1)
-        p = np.exp(np.minimum(0, alpha.transpose(1, 0, 2) + beta.transpose(1, 0, 2) - z[:, None, None])) * mask[..., None]
-        pair = np.zeros((3, 3))
-        for k in range(1, length):
-            q = alpha[k - 1][:, :, None] + t + (e[:, k] + beta[k])[:, None, :] - z[:, None, None]
-            pair += (np.exp(np.minimum(0, q)) * mask[:, k, None, None]).sum(0)
-        grads = [np.einsum("ntf,nti->fi", x, gold - p) / n - l2 * weights, (gold_moves - pair) / n - l2 * moves]
+        parts = [_gradients(*group, weights, moves) for group in held]
+        grads = [sum(p[0] for p in parts) / n - l2 * weights, sum(p[1] for p in parts) / n - l2 * moves]
         for i, (param, g) in enumerate(zip((weights, moves), grads, strict=True)):
             m1[i] = 0.9 * m1[i] + 0.1 * g
             m2[i] = 0.999 * m2[i] + 0.001 * g * g
@@ -233,6 +228,27 @@ def fit(rows: list[np.ndarray], tags: list[np.ndarray], steps: int = 150, l2: fl
     return {"weights": weights, "moves": moves}
 
 
+def _gradients(x, mask, gold, gold_moves, weights, moves) -> tuple[np.ndarray, np.ndarray]:
+    """What the chains' labels have more than the model expects: features by tag, and moves."""
+    n, length = mask.shape
+    e, t = _emissions(x, weights), moves + _ALLOWED
+    alpha, beta = np.zeros((length, n, 3)), np.zeros((length, n, 3))
+    alpha[0] = e[:, 0] + _START
+    for k in range(1, length):
+        nxt = _logsum(alpha[k - 1][:, :, None] + t, 1) + e[:, k]
+        alpha[k] = np.where(mask[:, k, None], nxt, alpha[k - 1])
+    for k in range(length - 2, -1, -1):
+        prev = _logsum(t + (e[:, k + 1] + beta[k + 1])[:, None, :], 2)
+        beta[k] = np.where(mask[:, k + 1, None], prev, 0.0)
+    z = _logsum(alpha[-1], 1)
+    p = np.exp(np.minimum(0, alpha.transpose(1, 0, 2) + beta.transpose(1, 0, 2) - z[:, None, None])) * mask[..., None]
+    pair = np.zeros((3, 3))
+    for k in range(1, length):
+        q = alpha[k - 1][:, :, None] + t + (e[:, k] + beta[k])[:, None, :] - z[:, None, None]
+        pair += (np.exp(np.minimum(0, q)) * mask[:, k, None, None]).sum(0)
+    return x.reshape(-1, x.shape[2]).T @ (gold - p).reshape(-1, 3), gold_moves - pair
+
+
 def viterbi(model: dict[str, np.ndarray], rows: list[np.ndarray]) -> list[np.ndarray]:
     """Best tags of every chain; chains of like length are decoded together, so padding stays small."""
     out: list[np.ndarray] = [np.empty(0, int)] * len(rows)
