@@ -95,7 +95,7 @@ def _near(xa, pa_, xb, pb, epsilon: float, threshold: float, same: bool, emit) -
 
 
 def _held(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row, column) that hold together what a block's links do, at most one for each row and column."""
+    """Pairs (row, column), at most one for each row and column, that hang together exactly as a block's links do."""
     far = linked.shape[0]
     row = np.arange(far)
     while True:
