@@ -102,7 +102,8 @@ def _scan(df: DataFrame, text: str, keep: list[str], block: DataFrame) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not built:
             built.append(WindowSet(shared.value))
-        for batch in batches:
+        # In small parts, so that neither side holds the texts of a large batch more than once.
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             n_words, n_hit, items, hit_words = [], [], [], []
             for a, b, data, offsets in slices(batch.column(at_text)):
                 w = words_of(data, offsets, ALNUM)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm._words import NONSPACE, Words, mix, slices, words_of
 from lectern.llm.components import components
-from lectern.llm.shared import cut, few, release
+from lectern.llm.shared import cut, few, release, small_batches
 
 SIZE = 5
 PERCENT = 75
@@ -376,7 +376,8 @@ def join(
     """`key`, n_shingles and component_id (smallest key reachable by links, itself included) for every row."""
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    said = cut(_tallied(_told(docs, bytes_ // part_bytes + 1, size, percent, EXTRA)))
+    with small_batches(df.sparkSession):
+        said = cut(_tallied(_told(docs, bytes_ // part_bytes + 1, size, percent, EXTRA)))
     rows = said.filter("n is not null").select("id", "n", "print")
     classes = rows.filter("n > 0").groupBy("print").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     tally = said.filter("n is null").groupBy("print").agg(F.sum("shared").alias("shared"))
@@ -389,7 +390,8 @@ def join(
     full = _full(texts, size)
     if not rows.groupBy("id", "print").count().filter("count > 1").isEmpty():  # repeated rows
         full = full.groupBy("print").agg(*(F.first(c).alias(c) for c in ("n", "hashes", "sign")))
-    full = cut(full.withColumn("node", F.monotonically_increasing_id()))
+    with small_batches(df.sparkSession):
+        full = cut(full.withColumn("node", F.monotonically_increasing_id()))
     keyed = cut(_keyed(full, percent))
     n_keyed = keyed.count()
     kept = full.join(F.broadcast(keyed.select("node")) if n_keyed <= BROADCAST_IDS else keyed.select("node"), "node", "left_semi")

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from lectern.llm import _bpe
 from lectern.llm._words import slices
-from lectern.llm.shared import cut, release
+from lectern.llm.shared import cut, release, small_batches
 
 MODEL = "word_bpe_49k.json"
 CAPACITY = 4096
@@ -168,7 +168,8 @@ def pack(
     The pieces (numbers, no tokens) are cut off by a checkpoint, so that counting and dealing them do not tokenise twice.
     """
     spark = df.sparkSession
-    made = cut(pieces(df, text, key, model, capacity, end_id).withColumn("__id", F.monotonically_increasing_id()))
+    with small_batches(spark):
+        made = cut(pieces(df, text, key, model, capacity, end_id).withColumn("__id", F.monotonically_increasing_id()))
     rest = made.filter(F.col("length") < capacity)
     groups = max(1, -(-rest.count() // group_pieces))
     dealt = rest.withColumn("__group", F.pmod(F.xxhash64("__id"), F.lit(groups)))

@@ -27,14 +27,13 @@ import string
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.shared import aside, back, release, with_text
+from lectern.llm.shared import release, with_text
 
 #: Base patterns and least lengths: fixed values of the query's contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -379,34 +378,59 @@ def _spans(texts: list[str], model) -> list[tuple[list[tuple[int, int, int]], li
     return list(zip(base, added, strict=True))
 
 
-def scan(df: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] | None = None, max_docs: int = MAX_DOCS) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] | None = None, max_docs: int = MAX_DOCS, mark: str | None = None) -> DataFrame:
     """`keep` (default: the key) and `found`: array of (kind, start, end) in order of start, then kind. A kept column named
-    found gives way."""
-    keep = tuple(k for k in keep or (key,) if k != "found")
+    found gives way. With `mark` the text, which has to be kept, has it in place of every found span, and `found` is left out.
+    """
+    keep = tuple(k for k in keep or (key,) if mark is not None or k != "found")
     model = train(sample(df, text, key, max_docs))
-    schema = T.StructType([*(df.schema[k] for k in keep), T.StructField("found", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
+    told = [] if mark is not None else [T.StructField("found", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
+    schema = T.StructType([*(df.schema[k] for k in keep), *told])
     names = (*KINDS, "crf")
     chosen, at_text = with_text(df, keep, text)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
+    def spans_of(batch: pa.RecordBatch) -> list[list[tuple[int, int, int]]]:
+        texts = batch.column(at_text).fill_null("")
+        # Whatever can be found holds a digit, a sign, a key word, or the letters of an access key or of a hash.
+        worth = pc.match_substring_regex(texts, rf"(?i)[0-9=:]|akia|{_KEY.pattern}|[a-f]{{24}}").to_numpy(zero_copy_only=False)
+        out: list[list] = [[] for _ in range(len(texts))]
+        spots = np.flatnonzero(worth).tolist()
+        for at in range(0, len(spots), 256):
+            part = spots[at : at + 256]
+            for i, (base, added) in zip(part, _spans(texts.take(pa.array(part)).to_pylist(), model), strict=True):
+                out[i] = sorted([*base, *((a, b, 3) for a, b in added)], key=lambda s: (s[0], s[2]))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at_text).fill_null("")
-            # Whatever can be found holds a digit, a sign, a key word, or the letters of an access key or of a hash.
-            worth = pc.match_substring_regex(texts, rf"(?i)[0-9=:]|akia|{_KEY.pattern}|[a-f]{{24}}").to_numpy(zero_copy_only=False)
-            out: list[list] = [[] for _ in range(len(texts))]
-            spots = np.flatnonzero(worth).tolist()
-            for at in range(0, len(spots), 256):
-                part = spots[at : at + 256]
-                for i, (base, added) in zip(part, _spans(texts.take(pa.array(part)).to_pylist(), model), strict=True):
-                    spans = sorted([*base, *((a, b, 3) for a, b in added)], key=lambda s: (s[0], s[2]))
-                    out[i] = [{"kind": names[k], "start": a, "end": b} for a, b, k in spans]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out, kind)], names=schema.names)
-        release()
+        for whole in batches:
+            # In small parts, so that neither side holds the texts of a large batch more than once.
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                out, columns = spans_of(batch), [batch.column(i) for i in range(len(keep))]
+                if mark is None:
+                    columns.append(pa.array([[{"kind": names[k], "start": a, "end": b} for a, b, k in spans] for spans in out], kind))
+                elif any(out):
+                    held = [i for i, spans in enumerate(out) if spans]
+                    bodies = batch.column(at_text).take(pa.array(held)).to_pylist()
+                    clean = pa.array([_replaced(t, out[i], mark) for i, t in zip(held, bodies, strict=True)], batch.column(at_text).type)
+                    columns[at_text] = pc.replace_with_mask(batch.column(at_text), pa.array([bool(spans) for spans in out]), clean)
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            release()
 
     return chosen.mapInArrow(run, schema)
 
 
+def _replaced(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
+    """Spans (in order of start) replaced by `mark`, those that overlap as one."""
+    out, at, begun = [], 0, False
+    for start, end, _ in spans:
+        if start >= at or not begun:
+            out += [text[at:start], mark]
+        begun, at = True, max(at, end)
+    return "".join([*out, text[at:]])
+
+
 def digest(found: DataFrame) -> DataFrame:
     """Counts of the base kinds, a hash of the base spans, and all spans as text."""
     def of(kind):
@@ -420,34 +444,8 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(df: DataFrame, text: str = "text", key: str = "doc_id", mark: str = "[secret]", **options) -> DataFrame:
-    """The documents with every found span replaced by `mark`; overlapping spans are replaced as one."""
-    columns = df.columns
-    df = aside(df, ["found"])
-    found = scan(df, text, key, tuple(df.columns), **options)
-    held = F.size("found") > 0
-    clean = _replaced(mark)(F.when(held, F.col(text)), F.when(held, F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))
-    return found.withColumn(text, F.coalesce(clean, F.col(text))).transform(back, columns)
-
-
-def _replaced(mark: str):
-    """Spans (in order of start) replaced by `mark`, those that overlap or touch nothing between them as one."""
-
-    @F.pandas_udf(T.StringType())
-    def run(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        def one(t, own):
-            if t is None:
-                return None
-            out, at, open_until = [], 0, -1
-            for s in own:
-                if s["start"] >= at or open_until < 0:
-                    out += [t[at : s["start"]], mark]
-                open_until = max(open_until, s["end"])
-                at = max(at, s["end"])
-            return "".join([*out, t[at:]])
-
-        return pd.Series([one(*x) for x in zip(texts, spans, strict=True)], dtype=object)
-
-    return run
+    """The documents with every found span replaced by `mark`; overlapping spans are replaced as one. All columns stay."""
+    return scan(df, text, key, tuple(df.columns), mark=mark, **options)
 
 
 def registered(spark, sf_dir: str) -> DataFrame:

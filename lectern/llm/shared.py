@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +25,18 @@ def with_text(df: DataFrame, keep, text: str) -> tuple[DataFrame, int]:
     return df.select(*keep, F.col(text).alias("__text")), len(keep)
 
 
+@contextmanager
+def small_batches(spark, rows: int = 1_000):
+    """Jobs that start within hand texts to Python in batches of so many rows; the session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release() -> None:
     """Gives a worker's unused memory back, as workers live on from stage to stage."""
     pa.default_memory_pool().release_unused()
