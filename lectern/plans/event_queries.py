@@ -87,11 +87,13 @@ def time_weighted_mean(spark, d):
     f"WITH {_SPANS} SELECT a.user_id AS user_id, count(*) AS pairs, sum(least(a.hi, b.lo + 3600000000) - greatest(a.lo, b.lo)) AS overlap FROM sp a JOIN sp b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view' AND a.lo < b.lo + 3600000000 AND b.lo < a.hi GROUP BY 1",
 )
 def interval_overlap_join(spark, d):
-    """Range join of clicks with the hour after each view of the same user."""
+    """Range join of clicks with the hour after each view of the same user. A view meets, by the hour it begins in, only
+    the clicks that are open within the hour before or then, so a busy user's pairs are dealt over hours."""
+    hour = 3_600_000_000
     s = spans(spark, d)
-    a = s.filter("event_type = 'click'").select("user_id", "lo", "hi")
-    b = s.filter("event_type = 'view'").select("user_id", F.col("lo").alias("blo"), (F.col("lo") + 3_600_000_000).alias("bhi"))
-    both = a.join(b, "user_id").filter((F.col("lo") < F.col("bhi")) & (F.col("blo") < F.col("hi")))
+    a = s.filter("event_type = 'click'").select("user_id", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / hour) - 1, F.floor(F.col("hi") / hour))).alias("at"))
+    b = s.filter("event_type = 'view'").select("user_id", F.col("lo").alias("blo"), (F.col("lo") + hour).alias("bhi"), F.floor(F.col("lo") / hour).alias("at"))
+    both = a.join(b, ["user_id", "at"]).filter((F.col("lo") < F.col("bhi")) & (F.col("blo") < F.col("hi")))
     return both.groupBy("user_id").agg(F.count("*").alias("pairs"), F.sum(F.least("hi", "bhi") - F.greatest("lo", "blo")).alias("overlap"))
 
 
@@ -214,8 +216,11 @@ def phase_rollup(spark, d):
 
 @register("value_counts", "SELECT event_type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, event_type) AS place FROM events GROUP BY event_type")
 def value_counts(spark, d):
-    c = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return c.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "event_type")))
+    """Values by how often they occur, numbered through range partitions."""
+    from lectern.plans.evaluation_queries import numbered
+
+    c = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).withColumn("down", -F.col("n"))
+    return numbered(c, "down", "event_type", name="place").select("event_type", "n", (F.col("place") + 1).alias("place"))
 
 
 @register("length_bins", "SELECT CASE WHEN n_chars <= 1000 THEN 'short' WHEN n_chars <= 4000 THEN 'medium' ELSE 'long' END AS bin, count(*) AS n, round(avg(n_chars), 6) AS mean FROM documents GROUP BY 1")

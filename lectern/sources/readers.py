@@ -57,8 +57,18 @@ def strict_csv(spark: SparkSession, path: str, key: str, binary: list[str], text
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a folder: source, suffix, sha256, bytes and content. Spark's reader leaves out files of 0 bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    """Files below a folder: source, suffix, sha256, bytes and content. Spark's reader leaves out files of 0 bytes; these
+    are listed by the file system, so that no source is left out without a word."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "content")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(place, True)
+    empty = []
+    while listed.hasNext():
+        f = listed.next()
+        if f.getLen() == 0 and not f.getPath().getName().startswith(("_", ".")):
+            empty.append((f.getPath().toString(), 0, bytearray()))
+    if empty:
+        files = files.unionByName(spark.createDataFrame(empty, "path string, length long, content binary"))
     return files.select(F.col("path").alias("source"), F.lower(F.substring_index("path", ".", -1)).alias("suffix"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), "content")
 
 

@@ -37,13 +37,14 @@ def test_corpus(spark, tmp_path):
     (c / "sub" / "b.csv").write_text("번호,품목,특이사항\n00123,제품,예외 있음\n00124,,\n", encoding="utf-8")
     (c / "bad.pdf").write_bytes(b"x")
     (c / "empty.txt").write_bytes(b" \n")
+    (c / "sub" / "none.txt").write_bytes(b"")
     cell = lambda t, r=1, k=1: f"<tc><p><t>{t}</t></p><cellSpan rowSpan='{r}' colSpan='{k}'/></tc>"
     with zipfile.ZipFile(c / "d.hwpx", "w") as z:
         z.writestr("Contents/section0.xml", f"<s><p><t>본문</t></p><p><tbl><tr>{cell('분류')}{cell('품목')}</tr><tr>{cell('공통', 2)}{cell('가')}</tr><tr>{cell('나')}</tr></tbl></p></s>")
     rows = readers.source_texts(readers.corpus(spark, str(c))).collect()
     texts = {r["text"] for r in rows if r["text"]}
     assert texts == {"법 제1조", "번호: 00123\n품목: 제품\n특이사항: 예외 있음", "번호: 00124", "본문", "분류: 공통\n품목: 가", "분류: 공통\n품목: 나"}
-    assert sorted(r["problem"] for r in rows if r["problem"]) == ["no text", "unknown kind pdf"]
+    assert sorted(r["problem"] for r in rows if r["problem"]) == ["no text", "no text", "unknown kind pdf"]
 
 
 def test_log_numbers(spark, tmp_path):
