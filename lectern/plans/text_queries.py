@@ -188,9 +188,9 @@ def paragraphs(spark, d):
     return docs(spark, d).select("doc_id", F.size(F.filter(F.split("text", r"\n *(?:\n *)+"), lambda p: F.trim(p) != "")).alias("n"))
 
 
-@register("sentences")
+@register("sentences", r"SELECT doc_id, len(list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?。])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: x <> '')) AS n FROM documents")
 def sentences(spark, d):
-    """Sentences by lookbehind, which the oracle's regular expressions lack."""
+    """Sentences by lookbehind; the oracle marks their ends first."""
     return docs(spark, d).select("doc_id", F.size(F.filter(F.split("text", r"(?<=[.!?。])\s+|\n+"), lambda s: s != "")).alias("n"))
 
 
@@ -306,7 +306,11 @@ def matched_terms_top8(spark, d):
     return docs(spark, d).select("doc_id", F.array_join(F.transform(best, lambda c: c["k"].cast("string")), ",").alias("best")).filter("best <> ''")
 
 
-@register("whitespace_map")
+@register(
+    "whitespace_map",
+    r"""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM documents), x AS (SELECT doc_id, ch, i, regexp_matches(ch, '\s') AS gap, lead(ch) OVER (PARTITION BY doc_id ORDER BY i) AS next, min(i) FILTER (NOT regexp_matches(ch, '\s')) OVER (PARTITION BY doc_id) AS first FROM c)
+    SELECT doc_id, count(*) AS n, sum(i) AS offsets FROM x WHERE NOT gap OR (i > first AND NOT regexp_matches(next, '\s')) GROUP BY doc_id""",
+)
 def whitespace_map(spark, d):
     """Collapsed texts with the original offset of each character, as a checksum."""
     x = docs(spark, d).select("doc_id", tx.collapse_with_map("text").alias("c"))
