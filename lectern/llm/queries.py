@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontaminate, epsilon_grid, html_extract, jaccard_join, langid, licenses, packing, secrets, token_counts, url_filters
+from lectern.llm import (
+    conversation_repair, decontaminate, epsilon_grid, html_extract, jaccard_join, langid, licenses, packing, secrets, sharding, token_counts, url_filters,
+)
 
 QUERIES = {
     "op1_token_counts": token_counts.registered,
@@ -15,5 +17,7 @@ QUERIES = {
     "op8_language_id": langid.registered,
     "op9_embedding_near_dedup": epsilon_grid.registered,
     "op10_html_extraction": html_extract.registered,
+    "op11_feistel_sharding": sharding.registered,
+    "op12_conversation_repair": conversation_repair.registered,
 }
-ORACLES = {"op2_decontamination": decontaminate.ORACLE}
+ORACLES = {"op2_decontamination": decontaminate.ORACLE, "op11_feistel_sharding": sharding.ORACLE}
