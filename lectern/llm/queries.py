@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lectern.llm import (
-    conversation_repair, decontaminate, epsilon_grid, html_extract, jaccard_join, langid, licenses, packing, secrets, sharding, token_counts, url_filters,
+    conversation_repair, decontaminate, epsilon_grid, html_extract, jaccard_join, langid, licenses, packing, periodic_runs, secrets, sharding, token_counts, url_filters,
 )
 
 QUERIES = {
@@ -19,5 +19,6 @@ QUERIES = {
     "op10_html_extraction": html_extract.registered,
     "op11_feistel_sharding": sharding.registered,
     "op12_conversation_repair": conversation_repair.registered,
+    "op13_periodic_runs": periodic_runs.registered,
 }
 ORACLES = {"op2_decontamination": decontaminate.ORACLE, "op11_feistel_sharding": sharding.ORACLE}

@@ -23,7 +23,7 @@ def test_permutation(n):
             while x >= n:
                 x, passes = p.once(x), passes + 1
             walked = max(walked, passes)
-        assert walked == p.walk() and p.a * p.b - n < max(p.a, 1)
+        assert walked == p.walk() and p.a * p.b - n < p.a + (n == 0)
 
 
 def test_seeds_and_spread():
