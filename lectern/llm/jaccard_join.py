@@ -12,7 +12,8 @@
    into their classes.
 4. Verification in star rounds. In each list one class is the centre; the members that are not yet connected to it, of
    fitting size and signature and not compared before, are verified against it on whole sets. A centre leaves its list
-   after the round, and lists whose members all hang together are dropped. The last round compares what still shares a key across components, so
+   after the round, and lists whose members all hang together are dropped. Every other round's centres are of their list's
+   largest component, so that what is scattered around a crowd joins it. The last round compares what still shares a key across components, so
    no link is lost that joins different components; links within one component add nothing to the result. Its lists
    are dealt in blocks, and only pairs that sizes, places and signatures allow leave the join.
 
@@ -40,7 +41,7 @@ SIZE = 5
 PERCENT = 75
 #: Of this share of a set's size, shared shingles beyond the first are asked for in the tallies.
 EXTRA = 15
-STAR_ROUNDS = 6
+STAR_ROUNDS = 8
 #: Bytes of text whose shingles are counted in one task.
 PART_BYTES = 16 << 20
 #: Entries that a task gathers before it tells them.
@@ -324,20 +325,26 @@ def _linked(lists: DataFrame, n_nodes: int, sets: DataFrame, signs: DataFrame, p
     # is enough to find the pair; where it stands late, a pair cannot be linked and is not made.
     need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
     fits = (F.col("n") - F.col("pos") >= need) & (F.col("m") - F.col("opos") >= need) & (F.col("c") != F.col("oc"))
-    enough = max(100, n_nodes // 50)
+    enough = max(20, n_nodes // 200)
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     checked = member = None
     last, turn, n = star_rounds == 0, -1, lists.count()
     while True:
         turn += 1
-        now = lists.withColumn("c", F.col("node")) if member is None else lists.join(member, "node", "left").select(*lists.columns, F.coalesce("component", "node").alias("c"))
-        # One of each list by hash, later one of the list's first component. The hash of one number is different for
-        # each number, so all that is kept at first is of one member.
+        if member is None:
+            now = lists.withColumns({"c": F.col("node"), "w": F.lit(1).cast("long")})
+        else:
+            weighed = member.join(member.groupBy("component").agg(F.count("*").alias("w")), "component")
+            now = lists.join(weighed, "node", "left").select(*lists.columns, F.coalesce("component", "node").alias("c"), F.coalesce("w", F.lit(1)).cast("long").alias("w"))
+        # One of each list by hash, later one of its largest component, as what is scattered around a crowd is linked with
+        # some of it, and every other time one of any component. The hash of one number is different for each number, so all
+        # that is kept at first is of one member.
         if turn == 0:
             kept = [F.min_by(c, F.xxhash64("node", F.lit(turn))).alias(to) for c, to in (("node", "other"), ("n", "m"), ("pos", "opos"), ("c", "oc"))]
             mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), *kept).filter("lo != hi")
         else:
-            kept = F.min(F.struct(F.xxhash64("c", F.lit(turn)).alias("r"), F.xxhash64("node", F.lit(turn)).alias("s"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("opos"), F.col("c").alias("oc")))
+            largest = -F.col("w") if turn % 2 else F.lit(0)
+            kept = F.min(F.struct(largest.alias("w"), F.xxhash64("c", F.lit(turn)).alias("r"), F.xxhash64("node", F.lit(turn)).alias("s"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("opos"), F.col("c").alias("oc")))
             mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), kept.alias("centre")).filter("lo != hi")
             mixed = mixed.select("key", "lo", "hi", "size", "centre.other", "centre.m", "centre.opos", "centre.oc")
         now = cut(few(now.join(mixed.drop("lo", "hi"), "key"), n, 20_000))
