@@ -292,17 +292,29 @@ def _labels(nodes: list[Node]) -> list[float | None]:
     return [None if id(n) in grown else y for n, y in zip(nodes, out, strict=True)]
 
 
-_MAIN = re.compile(r"<(article|main)\b([^>]*)>(.*)</\1\s*>", re.S | re.I)
+def _main(page: str) -> tuple[str, int, int, int, int] | None:
+    """(tag, start, and where its content begins, where that ends, end) of the first article or main element that ends
+    somewhere; it reaches to the last end tag of its kind. Linear in the page."""
+    first = [m for tag in ("article", "main") if (m := re.search(rf"<{tag}\b", page, re.I))]
+    for m in sorted(first, key=re.Match.start):
+        begin = page.find(">", m.end()) + 1
+        last = None
+        for last in re.finditer(rf"</{m[0][1:]}\s*+>", page[begin:], re.I) if begin else ():
+            pass
+        if last is not None:
+            return m[0][1:], m.start(), begin, begin + last.start(), begin + last.end()
+    return None
 
 
 def dressed(page: str, rng: random.Random, copies: int = 3) -> list[str]:
     """The page with its main element marked, and re-dressed copies of it."""
-    m = _MAIN.search(page)
-    if m is None:
+    found = _main(page)
+    if found is None:
         return []
-    before, inner, after = page[: m.start()], m[3], page[m.end() :]
+    name, start, begin, stop, end = found
+    before, inner, after = page[:start], page[begin:stop], page[end:]
     body = re.split(r"</p>", inner)
-    said = [s for s in (re.sub(r"<[^>]*>", " ", b).strip() for b in body) if s] or ["text"]
+    said = [s for s in (re.sub(r"<[^<>]*+>", " ", b).strip() for b in body) if s] or ["text"]
 
     def some() -> str:
         return rng.choice(said)[: rng.choice([40, 120, 400])]
@@ -325,7 +337,7 @@ def dressed(page: str, rng: random.Random, copies: int = 3) -> list[str]:
         each = "".join(f"<div class='comment'><p>{some()}</p><p>{some()}</p></div>" for _ in range(rng.randint(1, 4)))
         return f"<{(t := rng.choice(['section', 'div']))} data-y='0' {rng.choice(['class', 'id'])}='{rng.choice(['comments', 'comment-list', 'discussion'])}'><h3>{some()[:20]}</h3>{each}</{t}>"
 
-    out = [f"{before}<{m[1]}{m[2]} data-y='1'>{inner}</{m[1]}>{after}"]
+    out = [f"{before}{page[start : begin - 1]} data-y='1'>{inner}</{name}>{after}"]
     for _ in range(copies):
         tag, attrs = rng.choice([("article", ""), ("main", ""), ("div", "class='post-content'"), ("div", "id='content'"), ("section", "class='entry'"), ("div", "class='article-body'"), ("main", "id='main'"), ("div", "class='story'")])
         parts = list(body)
