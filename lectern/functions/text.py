@@ -39,6 +39,15 @@ def squeeze(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+", "")
 
 
+#: All white space of Unicode, and the separators that Python strips.
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
+def strip(c: Column) -> Column:
+    """Without any white space at either end."""
+    return F.btrim(c, F.lit(WHITE))
+
+
 def safe(c: Column) -> Column:
     """NULL for what a spreadsheet would read as a formula."""
     return F.when(~c.rlike("^[=+@]"), c)
@@ -139,6 +148,24 @@ def source_slice(text: pd.Series, start: pd.Series, size: pd.Series) -> pd.Serie
     return pd.Series([one(*x) for x in zip(text, start, size, strict=True)], dtype=object)
 
 
+@F.pandas_udf(T.LongType())
+def first_stray(clean: pd.Series, source: pd.Series) -> pd.Series:
+    """Place in a cleaned text of the first character that shows that more was done than deleting: from which on the text is no
+    subsequence of its source. NULL where nothing was put in or moved, and where either is NULL."""
+
+    def one(c, s):
+        if c is None or s is None:
+            return None
+        at = 0
+        for i, x in enumerate(c):
+            at = s.find(x, at) + 1
+            if not at:
+                return i
+        return None
+
+    return pd.Series([one(*x) for x in zip(clean, source, strict=True)], dtype="Int64")
+
+
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
 def collapse_with_map(s: pd.Series) -> pd.DataFrame:
     """Collapsed text, and the original offset of each of its characters."""

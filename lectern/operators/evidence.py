@@ -10,10 +10,10 @@ LONGEST = 500
 
 def located(claims: DataFrame, docs: DataFrame) -> DataFrame:
     """claims (id, ..., evidence) with `found`: whether the evidence stands in a text of its record. docs: id, text."""
-    texts = docs.groupBy("id").agg(F.collect_list("text").alias("__texts"))  # a record's own few documents
-    joined = claims.join(texts, "id", "left")
-    held = F.exists("__texts", lambda t: F.contains(t, F.col("evidence")))
-    return joined.withColumn("found", F.coalesce(held, F.lit(False))).drop("__texts")
+    asked = claims.filter(F.coalesce("evidence", F.lit("")) != "").select("id", "evidence").distinct()
+    texts = docs.join(asked.select("id").distinct(), "id", "left_semi")  # only of records that state evidence
+    held = texts.join(asked, "id").filter(F.contains("text", F.col("evidence"))).select("id", "evidence").distinct()
+    return claims.join(held.withColumn("found", F.lit(True)), ["id", "evidence"], "left").select(*claims.columns, F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def unsafe(evidence: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections import Counter
 from functools import reduce
 
@@ -11,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
+from lectern.functions.text import collapse
 from lectern.session import cut
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -105,6 +108,56 @@ def dense_top(queries: DataFrame, passages: DataFrame, k: int, most_cells: int =
     return _best(queries, max(1, -(-cells // most_cells)), passages.select("id", "v"), k, scorer)
 
 
+def dense_top_distinct(queries: DataFrame, passages: DataFrame, kind: str, k: int, most_cells: int = MOST_CELLS) -> DataFrame:
+    """(q, id, `kind`, score, place): of the passages (id, v, `kind`) of one kind the one of greatest dot product, then the k
+    best kinds for every query (q, qv). Scores to six digits, equal ones in order of id. A task keeps the k best kinds of each
+    query of all it has seen, of which the k best of all tasks are the k best kinds there are."""
+    cells = queries.agg(F.sum(F.size("qv"))).first()[0] or 0
+    n = max(1, -(-cells // most_cells))
+    # Kinds are compared by number, and named again among the few that are left.
+    numbered = passages.select("id", "v", F.xxhash64(kind).alias("__kind"), kind)
+    schema = StructType([StructField("q", LongType()), StructField("id", LongType()), StructField("__kind", LongType()), StructField("score", DoubleType()), StructField(kind, passages.schema[kind].dataType)])
+
+    def block(i: int) -> DataFrame:
+        rows = (queries if n == 1 else queries.filter(F.pmod(F.xxhash64("q"), F.lit(n)) == i)).collect()
+        shared = queries.sparkSession.sparkContext.broadcast(rows)
+
+        def run(batches):
+            rows = shared.value
+            names, matrix = np.array([r["q"] for r in rows], dtype=np.int64), np.array([r["qv"] for r in rows], dtype=np.float64)
+            best = [np.zeros((len(rows), 0), t) for t in (np.int64, np.int64, np.float64)]
+            called: dict[int, object] = {}
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256) if len(rows) else ():
+                    part = batch.slice(at, 256)
+                    v, of = part.column(1), part.column(2).to_numpy()
+                    scores = np.round(np.clip(np.asarray(v.flatten(), dtype=np.float64).reshape(len(v), -1) @ matrix.T, -1, 1), 6).T
+                    new = [np.broadcast_to(x, scores.shape) for x in (part.column(0).to_numpy(), of)] + [scores]
+                    best = [np.concatenate(pair, axis=1) for pair in zip(best, new, strict=True)]
+                    order = np.lexsort((best[0], -best[2], best[1]), axis=1)  # kinds together, each with its best first
+                    best = [np.take_along_axis(b, order, 1) for b in best]
+                    again = np.zeros(best[1].shape, bool)
+                    again[:, 1:] = best[1][:, 1:] == best[1][:, :-1]
+                    order = np.lexsort((best[0], -best[2], again), axis=1)[:, :k]
+                    keep = ~np.take_along_axis(again, order, 1)
+                    best = [np.take_along_axis(b, order, 1) for b in best]
+                    best[2] = np.where(keep, best[2], -np.inf)
+                    for number, name in zip(of.tolist(), part.column(3).to_pylist(), strict=True):
+                        called.setdefault(number, name)
+                    if len(called) > 4 * best[1].size + 4096:
+                        held = set(best[1].ravel().tolist())
+                        called = {x: name for x, name in called.items() if x in held}
+            own = best[2] > -np.inf
+            ids, kinds, scores = (b[own] for b in best)
+            last = pa.array([called[x] for x in kinds.tolist()], to_arrow_type(schema[kind].dataType))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, own.sum(1))), pa.array(ids), pa.array(kinds), pa.array(scores), last], names=schema.names)
+
+        return numbered.mapInArrow(run, schema)
+
+    found = reduce(DataFrame.unionByName, map(block, range(n)))
+    return top_k(keep_first(found, "__kind"), k).drop("__kind")
+
+
 def bm25_top(queries: DataFrame, docs: DataFrame, k: int, floor: float | None = None, k1: float = K1, b: float = B, most_cells: int = MOST_CELLS, among: DataFrame | None = None) -> DataFrame:
     """The k best documents (id, words: array) for every query (q, words), by BM25; `among`: ids that may win. Exact.
 
@@ -162,25 +215,81 @@ def blocks(rows: DataFrame, most: int = MOST_ROWS) -> list[DataFrame]:
     return [rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(n)) == i) for i in range(n)]
 
 
+def top_groups(texts: DataFrame) -> DataFrame:
+    """(id) of one row, the one with the smallest id, of each group of rows (id, text) that differ in white space only."""
+    return texts.groupBy(F.sha2(collapse(F.col("text")), 256).alias("t")).agg(F.min("id").alias("id")).select("id")
+
+
+def grouped_top(queries: DataFrame, passages: DataFrame, k: int, most_cells: int = MOST_CELLS) -> DataFrame:
+    """(g, id, part, score, place): the k passages (id, v) that are best for a group of query vectors (g, part, qv). A
+    passage's score is that of the vector of the group nearest to it (`part`; the smallest of equal ones), to six digits.
+    Groups are told to the tasks in blocks of about `most_cells` cells, a group's vectors together; passages never move."""
+    cells = queries.agg(F.sum(F.size("qv"))).first()[0] or 0
+    n = max(1, -(-cells // most_cells))
+
+    def block(i: int) -> DataFrame:
+        rows = (queries if n == 1 else queries.filter(F.pmod(F.xxhash64("g"), F.lit(n)) == i)).collect()
+        rows.sort(key=lambda r: (r["g"], r["part"]))
+        shared = queries.sparkSession.sparkContext.broadcast(rows)
+
+        def run(batches):
+            rows = shared.value
+            groups = np.array([r["g"] for r in rows], dtype=np.int64)
+            parts = np.array([r["part"] for r in rows], dtype=np.int64)
+            matrix = np.array([r["qv"] for r in rows], dtype=np.float64)
+            names, firsts = np.unique(groups, return_index=True)
+            lasts = np.append(firsts[1:], len(rows))
+            best = [np.zeros((len(names), 0), kind) for kind in (np.int64, np.int64, np.float64)]
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256) if len(rows) else ():
+                    v = batch.slice(at, 256).column(1)
+                    x = np.asarray(v.flatten(), dtype=np.float64).reshape(len(v), -1)
+                    scores = np.round(np.clip(x @ matrix.T, -1, 1), 6)
+                    won = np.stack([a + scores[:, a:b].argmax(1) for a, b in zip(firsts, lasts, strict=True)])
+                    ids = np.broadcast_to(batch.column(0).slice(at, 256).to_numpy(), won.shape)
+                    new = (ids, parts[won], np.take_along_axis(scores.T, won, 0))
+                    best = [np.concatenate(pair, axis=1) for pair in zip(best, new, strict=True)]
+                    order = np.lexsort((best[0], -best[2]), axis=1)[:, :k]
+                    best = [np.take_along_axis(b, order, 1) for b in best]
+            flat = [pa.array(b.ravel()) for b in best]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best[0].shape[1])), *flat], names=["g", "id", "part", "score"])
+
+        return passages.select("id", "v").mapInArrow(run, "g long, id long, part long, score double")
+
+    return top_k(reduce(DataFrame.unionByName, map(block, range(n))), k, by="g")
+
+
 MOST_CHARS = 1_000_000
 
 
 def contained(docs: DataFrame, items: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
-    """(id, item) of every document (id, text) that holds an item's whole text (item, said), once for each distinct item.
+    """(id, item) of every document (id, text) that holds an item's whole text (item, said), once for each distinct item."""
+    found = places(docs, items, most_chars=most_chars).select("id", "item")
+    # Only an item with several texts can be found twice in a document.
+    several = items.groupBy("item").agg(F.min("said").alias("a"), F.max("said").alias("b")).filter("a != b")
+    return found if several.isEmpty() else found.distinct()
 
-    The items' texts are told to the tasks in blocks of about `most_chars` characters, by hash; a task finds all texts of
-    a block in one pass over a document (Aho-Corasick). Null texts hold nothing and are held by nothing; the empty text
-    stands in every document.
+
+def places(docs: DataFrame, items: DataFrame, unescape: bool = False, most_chars: int = MOST_CHARS) -> DataFrame:
+    """(id, item, at, line, last_line, unescaped): where each text of an item (item, said) first stands in each document
+    (id, text) that holds it: the code point, from 0, and the lines, from 1, that it covers. A row for each of an item's texts.
+
+    With `unescape` a text in which line ends are written as backslash and n is also looked for with true line ends, and
+    found that way where it does not stand as it is. The texts are told to the tasks in blocks of about `most_chars`
+    characters, by hash; a task finds all of a block in one pass over a document (Aho-Corasick). Null texts hold nothing and
+    are held by nothing; the empty text stands at the begin of every document. Repeated rows of `items` count once.
     """
-    items = items.filter("said IS NOT NULL")
+    items = items.filter("said IS NOT NULL").select("item", "said").distinct()
     n = max(1, -(-(items.agg(F.sum(F.length("said"))).first()[0] or 0) // most_chars))
-    schema = StructType([StructField("id", docs.schema["id"].dataType), StructField("item", items.schema["item"].dataType)])
-    return reduce(DataFrame.unionByName, (_holders(docs, items if n == 1 else items.filter(F.pmod(F.xxhash64("said"), F.lit(n)) == i), schema) for i in range(n)))
+    item, name = items.schema["item"].dataType, docs.schema["id"].dataType
+    kinds = [("id", name), ("item", item), ("at", LongType()), ("line", LongType()), ("last_line", LongType()), ("unescaped", BooleanType())]
+    schema = StructType([StructField(c, t) for c, t in kinds])
+    return reduce(DataFrame.unionByName, (_holders(docs, items if n == 1 else items.filter(F.pmod(F.xxhash64("said"), F.lit(n)) == i), schema, unescape) for i in range(n)))
 
 
-def _holders(docs: DataFrame, block: DataFrame, schema: StructType) -> DataFrame:
+def _holders(docs: DataFrame, block: DataFrame, schema: StructType, unescape: bool) -> DataFrame:
     known: dict[str, list] = {}
-    for r in block.select("item", "said").distinct().collect():
+    for r in block.collect():
         known.setdefault(r["said"], []).append(r["item"])
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -188,23 +297,40 @@ def _holders(docs: DataFrame, block: DataFrame, schema: StructType) -> DataFrame
         import ahocorasick
 
         finder = ahocorasick.Automaton()
-        for said, names in shared.value.items():
-            if said:
-                finder.add_word(said, names)
-        always = shared.value.get("", [])
+        wanted: dict[str, list[tuple[str, bool]]] = {}  # what is looked for: the texts it stands for, and whether unescaped
+        for said in shared.value:
+            wanted.setdefault(said, []).append((said, False))
+            if unescape and "\\n" in said:
+                wanted.setdefault(said.replace("\\n", "\n"), []).append((said, True))
+        for text in wanted:
+            if text:
+                finder.add_word(text, text)
         finder.make_automaton()
         for batch in batches:
-            ids, at, found = batch.column(0), [], []
+            rows, out = [], [[] for _ in range(5)]
             for i, text in enumerate(batch.column(1).to_pylist()):
                 if text is None:
                     continue
-                names = dict.fromkeys(always)
+                first = {"": 0} if "" in wanted else {}
                 if len(finder):
-                    for _, own in finder.iter(text):
-                        names.update(dict.fromkeys(own))
-                at += [i] * len(names)
-                found += names
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(found, batch_type)], names=["id", "item"])
+                    for end, found in finder.iter(text):
+                        if found not in first:
+                            first[found] = end + 1 - len(found)
+                if not first:
+                    continue
+                ends = [m.start() for m in re.finditer("\n", text)]
+                best: dict[str, tuple[int, str, bool]] = {}  # as it is, before unescaped
+                for found, at in first.items():
+                    for said, changed in wanted[found]:
+                        if said not in best or best[said][2]:
+                            best[said] = (at, found, changed)
+                for said, (at, found, changed) in best.items():
+                    for name in shared.value[said]:
+                        rows.append(i)
+                        line = (bisect_left(ends, at) + 1, bisect_left(ends, at + len(found)) + 1)
+                        for column, value in zip(out, (name, at, *line, changed), strict=True):
+                            column.append(value)
+            types = [to_arrow_type(f.dataType) for f in schema.fields[1:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=schema.names)
 
-    batch_type = to_arrow_type(schema["item"].dataType)
     return docs.select("id", "text").mapInArrow(run, schema)

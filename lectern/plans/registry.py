@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Importing a module of queries registers them."""
-    from lectern.plans import evaluation_queries, event_queries, review_queries, text_queries  # noqa: F401
+    from lectern.plans import corpus_queries, evaluation_queries, event_queries, review_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -10,6 +10,7 @@ from lectern.operators import chunks, evidence
 from lectern.operators.evaluation import count_where
 from lectern.plans.evaluation_queries import BASE, judged
 from lectern.plans.registry import register
+from lectern.plans.text_queries import WHITE
 from lectern.session import table
 from lectern.streaming.folds import fold
 
@@ -279,12 +280,12 @@ def bounded_admission(spark, d):
     return told.groupBy("user_id", "said").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
-@register("clean_evidence", r"WITH x AS (SELECT b.item_id AS item_id, trim(replace(nfc_normalize(b.text), chr(13), '')) AS e FROM benchmark b), y AS (SELECT item_id, CASE WHEN regexp_matches(e, '^[=+@]') THEN '' ELSE substr(e, 1, 500) END AS e FROM x) SELECT item_id, CASE WHEN e <> '' AND EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, e)) THEN md5(e) END AS evidence FROM y")
+@register("clean_evidence", rf"WITH x AS (SELECT b.item_id AS item_id, trim(replace(nfc_normalize(b.text), chr(13), ''), {WHITE}) AS e FROM benchmark b), y AS (SELECT item_id, CASE WHEN regexp_matches(e, '^[=+@]') THEN '' ELSE substr(e, 1, 500) END AS e FROM x) SELECT item_id, CASE WHEN e <> '' AND EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, e)) THEN md5(e) END AS evidence FROM y")
 def clean_evidence(spark, d):
     """Composed, guarded, cut, and blank unless it stands in a source."""
     from lectern.operators.retrieval import contained
 
-    e = F.trim(F.replace(tx.nfc("text"), F.lit("\r"), F.lit("")))
+    e = tx.strip(F.replace(tx.nfc("text"), F.lit("\r"), F.lit("")))
     items = table(spark, d, "benchmark").select("item_id", F.coalesce(F.substring(tx.safe(e), 1, 500), F.lit("")).alias("e"))
     held = contained(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), items.filter("e <> ''").select(F.col("item_id").alias("item"), F.col("e").alias("said"))).select(F.col("item").alias("item_id"), F.lit(True).alias("held")).distinct()
     return items.join(held, "item_id", "left").select("item_id", F.when(F.col("held"), F.md5(F.col("e").cast("binary"))).alias("evidence"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.functions import replies
 from lectern.functions import text as tx
 from lectern.operators import retrieval as rt
 from lectern.operators import sequences as seq
@@ -217,10 +218,14 @@ def word_counts(spark, d):
     return docs(spark, d).groupBy("lang").agg(F.sum(F.size(F.filter(F.split("text", "[ \n]+"), lambda w: w != ""))).alias("words"), F.sum(F.regexp_count("text", F.lit("[가-힣]"))).alias("hangul"), F.sum(F.length(tx.squeeze(F.col("text")))).alias("solid"))
 
 
-@register("evidence_clean", r"SELECT item_id, CASE WHEN e LIKE '=%' OR e LIKE '+%' OR e LIKE '@%' THEN '' ELSE substr(e, 1, 500) END AS evidence FROM (SELECT item_id, trim(replace(nfc_normalize(text), chr(13), '')) AS e FROM benchmark)")
+#: All white space, for SQL's trim.
+WHITE = "||".join(f"chr({ord(c)})" for c in tx.WHITE)
+
+
+@register("evidence_clean", f"SELECT item_id, CASE WHEN e LIKE '=%' OR e LIKE '+%' OR e LIKE '@%' THEN '' ELSE substr(e, 1, 500) END AS evidence FROM (SELECT item_id, trim(replace(nfc_normalize(text), chr(13), ''), {WHITE}) AS e FROM benchmark)")
 def evidence_clean(spark, d):
-    """Composed, without returns, trimmed, guarded against formulas, cut to 500."""
-    e = F.trim(F.replace(tx.nfc("text"), F.lit("\r"), F.lit("")))
+    """Composed, without returns, stripped of all white space, guarded against formulas, cut to 500."""
+    e = tx.strip(F.replace(tx.nfc("text"), F.lit("\r"), F.lit("")))
     return table(spark, d, "benchmark").select("item_id", F.coalesce(F.substring(tx.safe(e), 1, 500), F.lit("")).alias("evidence"))
 
 
@@ -346,8 +351,7 @@ _DS = f"{EMB}, s AS (SELECT q, vec_id AS id, label, round(greatest(-1, least(1,
 def dense_topk_dedupe(spark, d):
     """Of each label the best ranked, then the five best."""
     queries, passages = vectors(spark, d)
-    scored = rt.dense_scores(queries, passages.drop("label")).withColumn("score", F.round("score", 6)).join(passages.select("id", "label"), "id")
-    return rt.top_k(rt.keep_first(scored, "label"), 5)
+    return rt.dense_top_distinct(queries, passages, "label", 5)
 
 
 @register("round_robin", f"WITH {_DS} SELECT q, id, place, row_number() OVER (ORDER BY place, q) AS turn FROM r WHERE place <= 3")
@@ -383,8 +387,8 @@ def candidate_union(spark, d):
     items, dd = table(spark, d, "benchmark"), docs(spark, d)
     codes = dd.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)))).alias("code"))
     by_code = codes.join(items.select("item_id", F.col("item_id").cast("string").alias("code")), "code").select("doc_id", "item_id", F.lit("code").alias("reason"), F.lit(None).cast("long").alias("first_at"))
-    inside = rt.contained(dd.select(F.col("doc_id").alias("id"), "text"), items.select(F.col("item_id").alias("item"), F.col("text").alias("said"))).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
-    placed = inside.join(dd.select("doc_id", "text"), "doc_id").join(items.select("item_id", F.col("text").alias("said")), "item_id").select("doc_id", "item_id", F.lit("contained").alias("reason"), F.expr("instr(text, said)").cast("long").alias("first_at"))
+    inside = rt.places(dd.select(F.col("doc_id").alias("id"), "text"), items.select(F.col("item_id").alias("item"), F.col("text").alias("said")))
+    placed = inside.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.lit("contained").alias("reason"), (F.col("at") + 1).alias("first_at"))
     ranked = rt.bm25_top(words_of(items, "item_id", "q", tx.tokens), words_of(dd, "doc_id", "id", tx.tokens), 5, rt.FLOOR).select(F.col("id").alias("doc_id"), F.col("q").alias("item_id"), F.lit("ranked").alias("reason"), F.lit(None).cast("long").alias("first_at"))
     return by_code.unionByName(placed).unionByName(ranked).groupBy("doc_id", "item_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"), F.max("first_at").alias("first_at"))
 
@@ -435,11 +439,11 @@ def strict_json(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), count_where(F.schema_of_variant(v).startswith("OBJECT")).alias("objects"), count_where(kind == "BIGINT").alias("whole"))
 
 
-@register("payload_sanitizer", "SELECT conv_id, turn, CASE WHEN ltrim(text) LIKE '{%' THEN text ELSE '[removed ' || CAST(length(text) AS VARCHAR) || ' ' || substr(sha256(text), 1, 12) || ']' END AS payload FROM conversations")
+@register("payload_sanitizer", "SELECT conv_id, turn, CASE WHEN json_valid(text) THEN text ELSE '[removed ' || CAST(length(text) AS VARCHAR) || ' ' || substr(sha256(text), 1, 12) || ']' END AS payload FROM conversations")
 def payload_sanitizer(spark, d):
-    """Anything that is no JSON object gives way to its length and hash."""
+    """Anything that is no JSON gives way to its length and hash."""
     mark = F.concat(F.lit("[removed "), F.length("text").cast("string"), F.lit(" "), F.substring(F.sha2("text", 256), 1, 12), F.lit("]"))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.when(F.ltrim("text").startswith("{"), F.col("text")).otherwise(mark).alias("payload"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.when(replies.is_json(F.col("text")), F.col("text")).otherwise(mark).alias("payload"))
 
 
 @register("meta_projection", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.missing') AS missing FROM events")

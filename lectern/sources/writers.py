@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from dataclasses import dataclass
+
+from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from lectern.functions.text import escape_markdown
 from lectern.operators.evaluation import wide_form
@@ -40,6 +47,77 @@ def markdown(notices: DataFrame) -> DataFrame:
     return notices.select("id", F.concat_ws("\n", F.concat(F.lit("# "), "id"), F.lit("| key | value |\n|---|---|"), rows, F.array_join(F.transform("docs", block), "\n")).alias("page"))
 
 
+class _Files(DataSource):
+    """Sink of one file per row (name, text): tasks write beside the place, and only when all have ended well do the files get
+    their names. A failed or repeated task leaves nothing."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "lectern_files"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _FilesWriter(self.options["path"], self.options.get("suffix", ""))
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    folder: str
+    names: list[str]
+
+
+class _FilesWriter(DataSourceWriter):
+    def __init__(self, path: str, suffix: str):
+        self.path, self.suffix, self.run = path.rstrip("/"), suffix, uuid.uuid4().hex
+
+    def _place(self):
+        return FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("/") else FileSystem.from_uri(os.path.abspath(self.path))
+
+    def write(self, iterator) -> WriterCommitMessage:
+        files, place = self._place()
+        folder, names = f"{place}/_stage-{self.run}/{uuid.uuid4().hex}", []
+        for row in iterator:
+            if row["name"] is None or row["text"] is None or not row["name"].strip(".") or re.search(r"[/\\\0]", row["name"]):
+                raise ValueError(f"{row['name']!r} is no name of a file")
+            if not names:
+                files.create_dir(folder, recursive=True)
+            with files.open_output_stream(f"{folder}/{row['name']}{self.suffix}") as out:
+                out.write(row["text"].encode())
+            names.append(row["name"] + self.suffix)
+        return _Written(folder, names)
+
+    def commit(self, messages) -> None:
+        files, place = self._place()
+        told = [m for m in messages if m is not None]
+        names = [n for m in told for n in m.names]
+        there = {f.base_name for f in files.get_file_info(FileSelector(place, allow_not_found=True))}
+        if len(set(names)) != len(names) or there & set(names):
+            self.abort(messages)
+            raise ValueError("a name stands twice, or its file exists")
+        for m in told:
+            for n in m.names:
+                files.move(f"{m.folder}/{n}", f"{place}/{n}")
+        self.abort(messages)
+
+    def abort(self, messages) -> None:
+        files, place = self._place()
+        stage = f"{place}/_stage-{self.run}"
+        if files.get_file_info(stage).type.name == "Directory":
+            files.delete_dir(stage)
+
+
+def file_per_row(pages: DataFrame, path: str, suffix: str = ".md") -> None:
+    """Writes each row's (id, page) as a file of its own, named by its id. `path` is a folder that driver and executors share,
+    or a store that Arrow knows. Refuses names that are no names, that stand twice, or that exist; then nothing is written."""
+    pages.sparkSession.dataSource.register(_Files)
+    pages.select(F.col("id").cast("string").alias("name"), F.col("page").alias("text")).write.format("lectern_files").mode("append").option("path", path).option("suffix", suffix).save()
+
+
+def csv_with_mark(df: DataFrame, path: str) -> None:
+    """CSV whose every part begins with a byte order mark, as spreadsheets want it, and then its header."""
+    first, *rest = df.columns
+    df.select(F.col(first).alias("\ufeff" + first), *rest).write.mode("errorifexists").option("escape", '"').csv(path, header=True)
+
+
 def _state(passages: DataFrame) -> dict:
     """What a manifest says of an index: rows, dimension, and a checksum of ids, texts and vectors in any order."""
     told = [c for c in ("id", "text", "vector") if c in passages.columns]
