@@ -41,7 +41,7 @@ SIZE = 5
 PERCENT = 75
 #: Of this share of a set's size, shared shingles beyond the first are asked for in the tallies.
 EXTRA = 15
-STAR_ROUNDS = 8
+STAR_ROUNDS = 6
 #: Bytes of text whose shingles are counted in one task.
 PART_BYTES = 16 << 20
 #: Entries that a task gathers before it tells them.

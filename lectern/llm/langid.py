@@ -291,7 +291,10 @@ def learn(train: DataFrame, text: str = "text", label: str = "lang", key: str =
         counts.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
     if not any(counts.values()):
         return [], np.zeros((len(vocab) + 1, 0))
-    return fit(counts, vocab)
+    fitted = fit(counts, vocab)
+    del counts
+    release()  # the driver's memory, too
+    return fitted
 
 
 class Scorer:

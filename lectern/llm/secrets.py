@@ -384,6 +384,7 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str
     """
     keep = tuple(k for k in keep or (key,) if mark is not None or k != "found")
     model = train(sample(df, text, key, max_docs))
+    release()  # the driver's memory, too
     told = [] if mark is not None else [T.StructField("found", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
     schema = T.StructType([*(df.schema[k] for k in keep), *told])
     names = (*KINDS, "crf")
