@@ -61,6 +61,7 @@ def test_schemas_as_read(spark):
         item = lambda: some({"x": True}, {"x": some(False)}, {"x": True, "y": 1}, {})
         full = {"id": some("n1", "n22"), "note": some("abc", None), "verdicts": some({"v1": some(0, 1), "v2": some(1, 2.5)}, {"v1": 1}, {}), "list": some([item()], [item(), item()], [item()] * 3), "kind": some("a"), "more": 1}
         values.append({k: v for k, v in full.items() if rng.random() < (0.1 if k == "more" else 0.85)})
+    values += [{"id": "n1", "verdicts": {"v1": i % 2}, **more} for i, more in enumerate([{}, {"note": None}, {"note": "ab"}, {"list": [{"x": True}]}, {"kind": "a"}, {"list": [{"x": False}, {"x": True}]}])]
     rows = [(i, json.dumps(v)) for i, v in enumerate(values)] + [(9_000, "{"), (9_001, None), (9_002, '{"id": "n1", "id": "n2"}'), (9_003, "{} {}")]
     got = {r["i"]: r["w"] for r in spark.createDataFrame(rows, "i int, j string").select("i", schemas.violations(F.col("j"), SCHEMA).alias("w")).collect()}
     for i, v in enumerate(values):
