@@ -86,3 +86,13 @@ def clean_up_proof(spark, d):
     lines = F.filter(F.transform(F.split("text", "\n"), lambda b: F.rtrim(b)), lambda b: F.trim(b) != "")
     clean = tx.strip(F.array_join(lines, "\n"))
     return table(spark, d, "documents").select("doc_id", F.length(clean).alias("n"), tx.first_stray(clean, F.col("text")).alias("stray"), tx.first_stray(F.col("text"), clean).alias("first_deleted"))
+
+
+@register("fitted_contexts")
+def fitted_contexts(spark, d):
+    """Every document as a notice, its context shrunk to 900 tokens of words; held against a plain loop in the tests."""
+    from lectern.operators.contexts import contexts
+
+    notice = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array(F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.lit("notice").alias("type"), "text")).alias("docs"))
+    found = contexts(notice, ["licen", "tion", "ung"], encoders.Words().count, 900)
+    return found.select(F.col("id").alias("doc_id"), "tokens", "size", "tries", F.md5(F.col("context").cast("binary")).alias("context"))
