@@ -26,12 +26,30 @@ def union(pairs, nodes):
     return {n: find(n) for n in nodes}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_links, gather", [(100_000, 1 << 20), (0, 1 << 20), (0, 7), (100_000, 7)])
+def test_components(spark, monkeypatch, task_links, gather):
+    """The same components from one task and from star rounds, also where a task's links are settled in parts."""
+    monkeypatch.setattr(components, "TASK_LINKS", task_links)
+    monkeypatch.setattr(components, "GATHER", gather)
     rng = random.Random(1)
     pairs = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 5001 + i) for i in range(300)]
     nodes = {x for p in pairs if p[0] != p[1] for x in p}
-    got = dict(map(tuple, components.components(spark.createDataFrame(pairs, "u long, v long")).collect()))
-    assert got == union([p for p in pairs if p[0] != p[1]], nodes)
+    frame = spark.createDataFrame(pairs, "u long, v long").repartition(5)
+    rows = [tuple(r) for r in components.components(frame).collect()]
+    assert len(rows) == len(set(rows)) and dict(rows) == union([p for p in pairs if p[0] != p[1]], nodes)
+
+
+def test_components_of_nothing(spark):
+    assert components.components(spark.createDataFrame([(3, 3)], "u long, v long")).collect() == []
+
+
+def test_roots_of_a_long_path():
+    """Links in any order; negative numbers are nodes like others."""
+    n = np.arange(-500, 500)
+    rng = np.random.default_rng(5)
+    order = rng.permutation(len(n) - 1)
+    nodes, root = components.roots(n[1:][order], n[:-1][order])
+    assert (nodes == n).all() and (root == -500).all()
 
 
 def shingles(text):
