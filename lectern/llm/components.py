@@ -88,8 +88,12 @@ def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
     return few(moved.filter("u != v").groupBy("u", "v").agg(F.lit(1).alias("one")).drop("one"), n)
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(node, component) of every node with a link: the smallest node it can reach. `edges`: (u, v), any order."""
+def components(edges: DataFrame, most_rounds: int = 40, most_links: int | None = None) -> DataFrame:
+    """(node, component) of every node with a link: the smallest node it can reach. `edges`: (u, v), any order.
+    most_links: where the caller knows that there are no more links than so many."""
+    if most_links is not None and most_links <= TASK_LINKS:
+        proper = edges.filter("u != v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+        return cut(_forests(proper.coalesce(1), True).toDF("node", "component"))
     own = _forests(edges.filter("u != v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")), False)
     now = cut(own.groupBy("u", "v").agg(F.lit(1).alias("one")).drop("one"))
     n = now.count()

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm._words import NONSPACE, Words, mix, slices, words_of
 from lectern.llm.components import components
-from lectern.llm.shared import cut, few, release, small_batches
+from lectern.llm.shared import cut, few, forget, release, small_batches
 
 SIZE = 5
 PERCENT = 75
@@ -284,16 +284,19 @@ def _lists(keyed: DataFrame) -> DataFrame:
     return entries.join(several, "key").unionByName(own).join(keyed.select("grp", "node"), "grp").select("key", "node", "n", "pos")
 
 
-def _grown(member: DataFrame | None, found: DataFrame) -> DataFrame:
-    """The components (node, component) once more links are found."""
+def _grown(member: DataFrame | None, found: DataFrame, most: int, gained: int) -> tuple[DataFrame, int]:
+    """The components (node, component) once `gained` more links are found, and the most rows these can be; `most` rows before."""
     edges = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return components(edges if member is None else edges.unionByName(member.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    if member is not None:
+        edges = edges.unionByName(member.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    return components(edges, most_links=most + gained), most + 2 * gained
 
 
-def _settled(pairs: DataFrame, member: DataFrame | None, sets: DataFrame, percent: int, few_first: int = 3) -> DataFrame | None:
+def _settled(pairs: DataFrame, member: DataFrame | None, most: int, sets: DataFrame, percent: int, few_first: int = 3) -> DataFrame | None:
     """The components once all pairs across components are verified: first one pair of each two components, a few times,
-    as one link makes the others of these two needless; then all that are left."""
+    as one link makes the others of these two needless; then all that are left. member has `most` rows at most."""
     for turn in range(few_first + 1):
+        forget(pairs.sparkSession)
         if member is not None:
             for side, c in (("a", "ca"), ("b", "cb")):
                 pairs = pairs.join(member.select(F.col("node").alias(side), F.col("component").alias(c)), side, "left")
@@ -313,8 +316,9 @@ def _settled(pairs: DataFrame, member: DataFrame | None, sets: DataFrame, percen
         else:
             some = across.select("a", "b")
         found = cut(few(_verified(some, n, sets, percent), n, 500))
-        if not found.isEmpty():
-            member = _grown(member, found)
+        gained = found.count()
+        if gained:
+            member, most = _grown(member, found, most, gained)
         pairs = across.select("a", "b").join(some, ["a", "b"], "left_anti")
     return member
 
@@ -328,9 +332,11 @@ def _linked(lists: DataFrame, n_nodes: int, sets: DataFrame, signs: DataFrame, p
     enough = max(20, n_nodes // 200)
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     checked = member = None
+    most = 0  # rows of member at most
     last, turn, n = star_rounds == 0, -1, lists.count()
     while True:
         turn += 1
+        forget(lists.sparkSession)
         if member is None:
             now = lists.withColumns({"c": F.col("node"), "w": F.lit(1).cast("long")})
         else:
@@ -363,13 +369,13 @@ def _linked(lists: DataFrame, n_nodes: int, sets: DataFrame, signs: DataFrame, p
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = cut(few(pairs if last else _possible(pairs, signs, percent), n, 20_000))
         if last:
-            return _settled(pairs, member, sets, percent)
+            return _settled(pairs, member, most, sets, percent)
         n_pairs = pairs.count()
         found = cut(few(_verified(pairs, n_pairs, sets, percent), n_pairs, 500))
         gained = found.count()
         checked = pairs if checked is None else checked.unionByName(pairs)
         if gained:
-            member = _grown(member, found)
+            member, most = _grown(member, found, most, gained)
         # A list's centre has met all of its list, and leaves it.
         lists = now.filter(F.col("node") != F.col("other")).select(*lists.columns)
         n = lists.count()

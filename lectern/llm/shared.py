@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -45,6 +46,14 @@ def release() -> None:
         trim(0)
 
 
+def forget(spark) -> None:
+    """Lets the driver drop what finished jobs left behind: plans that Python still refers to, and then, as Spark's own
+    cleaner does at longer intervals, broadcasts, shuffles and classes of plans that nobody refers to any more."""
+    gc.collect()
+    release()
+    spark.sparkContext._jvm.System.gc()
+
+
 def aside(df: DataFrame, names) -> DataFrame:
     """`df` with columns of these names under another name, out of the way of an operator's own."""
     return df.withColumnsRenamed({n: f"__own_{n}" for n in names if n in df.columns})

@@ -36,6 +36,7 @@ def test_components(spark, monkeypatch, task_links, gather):
     nodes = {x for p in pairs if p[0] != p[1] for x in p}
     frame = spark.createDataFrame(pairs, "u long, v long").repartition(5)
     rows = [tuple(r) for r in components.components(frame).collect()]
+    assert sorted(map(tuple, components.components(frame, most_links=frame.count()).collect())) == sorted(rows)
     assert len(rows) == len(set(rows)) and dict(rows) == union([p for p in pairs if p[0] != p[1]], nodes)
 
 
