@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.shared import release, with_text
+from lectern.llm.shared import forget, release, with_text
 
 MODEL = "piece_bpe_32k.model"
 MAX_DOCS = 600
@@ -293,7 +293,7 @@ def learn(train: DataFrame, text: str = "text", label: str = "lang", key: str =
         return [], np.zeros((len(vocab) + 1, 0))
     fitted = fit(counts, vocab)
     del counts
-    release()  # the driver's memory, too
+    forget(train.sparkSession)
     return fitted
 
 

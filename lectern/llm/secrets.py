@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.shared import release, with_text
+from lectern.llm.shared import forget, release, with_text
 
 #: Base patterns and least lengths: fixed values of the query's contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -384,7 +384,7 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str
     """
     keep = tuple(k for k in keep or (key,) if mark is not None or k != "found")
     model = train(sample(df, text, key, max_docs))
-    release()  # the driver's memory, too
+    forget(df.sparkSession)
     told = [] if mark is not None else [T.StructField("found", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
     schema = T.StructType([*(df.schema[k] for k in keep), *told])
     names = (*KINDS, "crf")
