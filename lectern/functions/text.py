@@ -181,3 +181,32 @@ def collapse_with_map(s: pd.Series) -> pd.DataFrame:
 
     pairs = [one(t) for t in s]
     return pd.DataFrame({"text": [p[0] for p in pairs], "at": [p[1] for p in pairs]})
+
+
+# What a clean-up of statutes deletes.
+AMENDED = (r"<(?:개정|신설|전문개정|제목개정|본조신설|종전)[^>]*>", r"\[(?:전문개정|제목개정|본조신설|종전)[^\]]*\]", r"<!\[CDATA\[", r"\]\]>")
+
+
+def clean_statute(c: Column, deletions: tuple[str, ...] = AMENDED) -> Column:
+    """Without the deletions, in their order, blank lines and white space at line ends; NULL stays NULL."""
+    for pattern in deletions:
+        c = F.regexp_replace(c, pattern, "")
+    kept = F.transform(F.split(c, LINE_END), lambda x: F.rtrim(x, F.lit(WHITE)))
+    return strip(F.array_join(F.filter(kept, lambda x: x != ""), "\n"))
+
+
+@F.pandas_udf(T.IntegerType())
+def foreign(source: pd.Series, cleaned: pd.Series) -> pd.Series:
+    """Proof that a clean-up only deleted: NULL where `cleaned` is a subsequence of `source`, else the first code point of
+    `cleaned` that cannot be found behind the ones before it. A null source holds nothing; a null or empty `cleaned` is
+    a subsequence of everything. One walk through both texts."""
+
+    def place(whole, part):
+        at = 0
+        for i, char in enumerate(part or ""):
+            at = (whole or "").find(char, at) + 1
+            if not at:
+                return i
+        return None
+
+    return pd.Series([place(a, b) for a, b in zip(source, cleaned, strict=True)], dtype="Int32")

@@ -36,6 +36,9 @@ ATTENDANCE = [
     ("attendees_only", rf"{BRIEFING}.{{0,25}}?(?:참석|참가|참여).{{0,30}}?(?:한하|한해|자만|업체만|업체에만|자에만).{{0,45}}?{ELIGIBLE}.{{0,35}}?(?:가능|자격|허용|있|부여)"),
 ]
 PRESENTATION = r"제안(?:서)?\s*설명회\s*\(평가\)|평가위원.*설명회|평가\s*대상.{0,10}제외"
+# What every eligibility heading and every sentence about a briefing holds: texts without it need no closer look.
+HEADED = r"(?U)자\s*격|조\s*건"
+BRIEFED = r"설명회|현장설명"
 SPECIAL = r"특수\s*기술|특수\s*공법"
 NEGOTIATED = r"협상에\s*의한\s*계약|계약\s*방법\s*[:：]?\s*협상"
 
@@ -89,7 +92,8 @@ def sections(text: Column) -> Column:
         )
 
     start = F.struct(F.lit(False).alias("open"), F.lit("").alias("now"), F.lit("").alias("number"), F.lit(None).cast("int").alias("level"), F.array().cast("array<string>").alias("done"))
-    return F.aggregate(F.transform(F.split(text, LINE_END), line), start, step, lambda a: F.when(a["open"], F.array_append(a["done"], a["now"])).otherwise(a["done"]))
+    found = F.aggregate(F.transform(F.split(text, LINE_END), line), start, step, lambda a: F.when(a["open"], F.array_append(a["done"], a["now"])).otherwise(a["done"]))
+    return F.when(text.isNull() | text.rlike(HEADED), found).otherwise(F.array().cast("array<string>"))
 
 
 def clauses(section: Column) -> Column:
@@ -122,7 +126,7 @@ def briefing(docs: Column) -> Column:
             each.append(F.transform(kept, lambda m, name=name: F.struct(F.lit(name).alias("rule"), doc["doc_id"].alias("doc_id"), doc["text"].alias("text"), m["start"].alias("start"), F.length(m["match"]).alias("size"))))
         return F.get(F.concat(*each), 0)
 
-    return F.get(F.filter(F.transform(docs, of), lambda m: m.isNotNull()), 0)
+    return F.get(F.filter(F.transform(F.filter(docs, lambda d: d["text"].rlike(BRIEFED)), of), lambda m: m.isNotNull()), 0)
 
 
 def judge(notices: DataFrame) -> DataFrame:

@@ -289,3 +289,35 @@ def clean_evidence(spark, d):
     items = table(spark, d, "benchmark").select("item_id", F.coalesce(F.substring(tx.safe(e), 1, 500), F.lit("")).alias("e"))
     held = contained(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), items.filter("e <> ''").select(F.col("item_id").alias("item"), F.col("e").alias("said"))).select(F.col("item").alias("item_id"), F.lit(True).alias("held")).distinct()
     return items.join(held, "item_id", "left").select("item_id", F.when(F.col("held"), F.md5(F.col("e").cast("binary"))).alias("evidence"))
+
+
+_SAID = f"""t AS (SELECT doc_id, trim(body, {WHITE}) AS b, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) WHERE trim(body, {WHITE}) <> ''),
+    c AS (SELECT doc_id, line, b, concat_ws(' ', lag(b) OVER w, b, lead(b) OVER w) AS x FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+    k AS (SELECT *, regexp_matches(x, 'licen[sc]e') AS e, regexp_matches(x, 'public|open') AS o, regexp_matches(x, 'region|local|near') AS r FROM c WHERE NOT regexp_matches(x, 'copyright'))"""
+CANDIDATES = {"experience": "licen[sc]e", "institution": "public|open", "region": "region|local|near", "basic": "local", "bad": "copyright", "qualification": "permission|terms", "adjacent": "near", "token": "region"}
+
+
+@register(
+    "line_candidates",
+    f"""WITH {_SAID}, n AS (SELECT doc_id, count(*) FILTER (e) AS n_experience, count(*) FILTER (o) AS n_institution, count(*) FILTER (r) AS n_region,
+    sum(CASE WHEN e THEN len(regexp_extract_all(x, '[0-9][0-9,]*(?:[.][0-9]+)?')) ELSE 0 END) AS n_amounts, coalesce(bool_or(r AND regexp_matches(x, 'local')), false) AS basic,
+    coalesce(bool_or(r AND regexp_matches(x, 'near')), false) AS near, sum(CASE WHEN r THEN len(regexp_extract_all(x, 'region')) ELSE 0 END) AS tokens FROM k GROUP BY doc_id)
+    SELECT doc_id, n_experience, n_institution, n_region, n_amounts::BIGINT AS n_amounts, concat_ws(',', CASE WHEN n_amounts > 0 AND n_institution > 0 THEN 'v4' END, CASE WHEN n_region > 0 THEN 'v5' END, CASE WHEN basic THEN 'v6' END, CASE WHEN n_region > 0 AND (near OR tokens >= 2) THEN 'v7' END) AS flags
+    FROM n WHERE n_experience + n_institution + n_region > 0""",
+)
+def line_candidates(spark, d):
+    """Lines that speak of licences, openness or places, judged with their neighbours, and the flags that they raise."""
+    from lectern.operators.candidates import extract
+
+    notices = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array(F.struct("text")).alias("docs"))
+    counts = [F.col(c).cast("long").alias(c) for c in ("n_experience", "n_institution", "n_region")]
+    found = extract(notices, CANDIDATES).filter("n_experience + n_institution + n_region > 0")
+    return found.select(F.col("id").alias("doc_id"), *counts, F.size("amounts").cast("long").alias("n_amounts"), F.array_join("flags", ",").alias("flags"))
+
+
+@register("cleaning_proof", "SELECT doc_id, length(text) AS chars, -1 AS cleaned_at, CASE WHEN strpos(substr(text, 2), substr(text, 1, 1)) > 0 THEN NULL ELSE 0 END AS moved_at FROM documents WHERE length(text) > 0 AND length(trim(replace(text, chr(10), ' '))) > 0")
+def cleaning_proof(spark, d):
+    """Deletions leave a subsequence of each text (-1); its first character, looked for in the rest alone, need not stand there."""
+    x = table(spark, d, "documents").filter("length(text) > 0 AND length(trim(replace(text, chr(10), ' '))) > 0")
+    cleaned = tx.clean_statute(F.col("text"), ("[0-9]+",))
+    return x.select("doc_id", F.length("text").cast("long").alias("chars"), F.coalesce(tx.foreign(F.col("text"), cleaned), F.lit(-1)).alias("cleaned_at"), tx.foreign(F.substr("text", F.lit(2)), F.substring("text", 1, 1)).alias("moved_at"))
