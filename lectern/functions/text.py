@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 from itertools import islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,21 +169,45 @@ def first_stray(clean: pd.Series, source: pd.Series) -> pd.Series:
     return pd.Series([one(*x) for x in zip(clean, source, strict=True)], dtype="Int64")
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
-def collapse_with_map(s: pd.Series) -> pd.DataFrame:
-    """Collapsed text, and the original offset of each of its characters."""
-
-    def one(t):
-        out, at = [], []
-        for m in re.finditer(r"\S+", t or ""):
-            if out:
-                at.append(m.start() - 1)
-            out.append(m[0])
-            at += range(*m.span())
-        return " ".join(out), at
-
-    pairs = [one(t) for t in s]
-    return pd.DataFrame({"text": [p[0] for p in pairs], "at": [p[1] for p in pairs]})
+#: Characters whose places are gathered at once, of one text at least.
+PLACES = 1 << 20
+_MAPPED = pa.struct([("text", pa.string()), ("at", pa.list_(pa.int32()))])
+_GAPS = np.zeros(ord(max(WHITE)) + 2, dtype=bool)
+_GAPS[[ord(c) for c in WHITE]] = True
+
+
+def _mapped(t: str) -> tuple[str, np.ndarray]:
+    """A collapsed text, and where each of its characters stands in the text; a space stands for the last of its run."""
+    codes = np.frombuffer(t.encode("utf-32-le"), "<u4")
+    gap = _GAPS[np.minimum(codes, len(_GAPS) - 1)]
+    kept = ~gap
+    kept[:-1] |= gap[:-1] & ~gap[1:]
+    if len(t):
+        kept[: int(gap.argmin())] = False
+    at = np.flatnonzero(kept).astype(np.int32)
+    return np.where(gap[at], np.uint32(32), codes[at]).astype("<u4").tobytes().decode("utf-32-le"), at
+
+
+@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
+def collapse_with_map(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Collapsed text, and the original offset of each of its characters. A few texts at a time are in memory."""
+
+    def told(texts: list, places: list) -> pa.Array:
+        ends = pa.array(np.cumsum([0, *map(len, places)]), pa.int32())
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(places)))], fields=list(_MAPPED))
+
+    for batch in batches:
+        texts, places, gathered = [], [], 0
+        for x in batch:
+            text, at = _mapped(x.as_py() or "")
+            texts.append(text)
+            places.append(at)
+            gathered += len(at)
+            if gathered >= PLACES:
+                yield told(texts, places)
+                texts, places, gathered = [], [], 0
+        if texts:
+            yield told(texts, places)
 
 
 # What a clean-up of statutes deletes.

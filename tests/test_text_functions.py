@@ -2,6 +2,7 @@
 
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
@@ -66,3 +67,15 @@ def test_source_characters(spark):
     text = "a  b\n\tc d"
     rows = spark.createDataFrame([(text, 2, 3), (None, 0, 1), (text, None, None)], "t string, a long, n long")
     assert [r["x"] for r in rows.select(tx.source_slice("t", "a", "n").alias("x")).collect()] == ["b\n\tc", None, None]
+
+
+def test_places_of_many_texts_are_told_in_parts(spark):
+    """A batch's places are never in memory together."""
+    import re
+
+    pieces = [len(x) for x in tx.collapse_with_map.func(iter([pa.array(["ab " * 100_000] * 40 + [None, "", " \n", "　a\x85\x1c b "])]))]
+    assert len(pieces) > 5 and sum(pieces) == 44
+    texts = ["", " ", None, "a", " a", "a ", "a  b", "한 \U0001f600　x\x1fy\xa0\n", "a" * 9 + " \t" * 9 + "b"]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.collapse_with_map("t").alias("c")).collect():
+        want = [i for i, c in enumerate(r["t"] or "") if not c.isspace() or (re.match(r"\s(?=\S)", r["t"][i:]) and r["t"][:i].strip())]
+        assert (r["c"]["text"], r["c"]["at"]) == (" ".join((r["t"] or "").split()), want)
