@@ -151,22 +151,22 @@ def source_slice(text: pd.Series, start: pd.Series, size: pd.Series) -> pd.Serie
     return pd.Series([one(*x) for x in zip(text, start, size, strict=True)], dtype=object)
 
 
-@F.pandas_udf(T.LongType())
-def first_stray(clean: pd.Series, source: pd.Series) -> pd.Series:
+def _lost(part: str, whole: str) -> int | None:
+    """Place of the first character of `part` that is not found in `whole` behind the ones before it."""
+    at = 0
+    for i, x in enumerate(part):
+        at = whole.find(x, at) + 1
+        if not at:
+            return i
+    return None
+
+
+@F.arrow_udf(T.LongType())
+def first_stray(clean: pa.Array, source: pa.Array) -> pa.Array:
     """Place in a cleaned text of the first character that shows that more was done than deleting: from which on the text is no
-    subsequence of its source. NULL where nothing was put in or moved, and where either is NULL."""
-
-    def one(c, s):
-        if c is None or s is None:
-            return None
-        at = 0
-        for i, x in enumerate(c):
-            at = s.find(x, at) + 1
-            if not at:
-                return i
-        return None
-
-    return pd.Series([one(*x) for x in zip(clean, source, strict=True)], dtype="Int64")
+    subsequence of its source. NULL where nothing was put in or moved, and where either is NULL. One row at a time becomes text."""
+    pairs = ((c.as_py(), s.as_py()) for c, s in zip(clean, source, strict=True))
+    return pa.array([None if c is None or s is None else _lost(c, s) for c, s in pairs], pa.int64())
 
 
 #: Characters whose places are gathered at once, of one text at least.
@@ -222,18 +222,11 @@ def clean_statute(c: Column, deletions: tuple[str, ...] = AMENDED) -> Column:
     return strip(F.array_join(F.filter(kept, lambda x: x != ""), "\n"))
 
 
-@F.pandas_udf(T.IntegerType())
-def foreign(source: pd.Series, cleaned: pd.Series) -> pd.Series:
+@F.arrow_udf(T.IntegerType())
+def foreign(source: pa.Array, cleaned: pa.Array) -> pa.Array:
     """Proof that a clean-up only deleted: NULL where `cleaned` is a subsequence of `source`, else the first code point of
     `cleaned` that cannot be found behind the ones before it. A null source holds nothing; a null or empty `cleaned` is
-    a subsequence of everything. One walk through both texts."""
-
-    def place(whole, part):
-        at = 0
-        for i, char in enumerate(part or ""):
-            at = (whole or "").find(char, at) + 1
-            if not at:
-                return i
-        return None
-
-    return pd.Series([place(a, b) for a, b in zip(source, cleaned, strict=True)], dtype="Int32")
+    a subsequence of everything. One walk through both texts, of which one row at a time leaves Arrow; Series give a Series."""
+    if isinstance(source, pd.Series):
+        return pd.Series([_lost(b or "", a or "") for a, b in zip(source, cleaned, strict=True)], dtype="Int32")
+    return pa.array([_lost(b.as_py() or "", a.as_py() or "") for a, b in zip(source, cleaned, strict=True)], pa.int32())

@@ -79,3 +79,8 @@ def test_places_of_many_texts_are_told_in_parts(spark):
     for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.collapse_with_map("t").alias("c")).collect():
         want = [i for i, c in enumerate(r["t"] or "") if not c.isspace() or (re.match(r"\s(?=\S)", r["t"][i:]) and r["t"][:i].strip())]
         assert (r["c"]["text"], r["c"]["at"]) == (" ".join((r["t"] or "").split()), want)
+
+
+def test_a_proof_reads_arrow_row_by_row():
+    """Whole batches of texts are never Python's."""
+    assert tx.foreign.func(pa.array(["abc", None, "a"]), pa.array(["ca", "x", None])).to_pylist() == [1, 0, None]
