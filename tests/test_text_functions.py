@@ -84,3 +84,7 @@ def test_places_of_many_texts_are_told_in_parts(spark):
 def test_a_proof_reads_arrow_row_by_row():
     """Whole batches of texts are never Python's."""
     assert tx.foreign.func(pa.array(["abc", None, "a"]), pa.array(["ca", "x", None])).to_pylist() == [1, 0, None]
+
+
+def test_a_stray_is_found_in_arrow_row_by_row():
+    assert tx.first_stray.func(pa.array(["ca", None, "ac", "b"]), pa.array(["abc", "x", "abc", None])).to_pylist() == [1, None, None, None]
