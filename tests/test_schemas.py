@@ -108,3 +108,16 @@ def test_sanitizer_keeps_json_only(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = [r["payload"] for r in registry.queries()["payload_sanitizer"](spark, str(tmp_path)).orderBy("turn").collect()]
     assert got[0] == '{"a": 1}' and got[3:5] == ["[1]", "1"] and all(g.startswith("[removed ") for g in (got[1], got[2], got[5]))
+
+
+def test_a_text_is_parsed_once(spark):
+    """However often its value is looked at. (A text's parser stands in the plan as often as it runs.)"""
+    from pyspark.sql import functions as F
+
+    from lectern.functions import replies, schemas
+
+    df = spark.createDataFrame([("3",)], "t string")
+    schema = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 10}}}
+    for c, most in ((schemas.violations(F.col("t"), schema), 1), (replies.verdicts(F.col("t"), ["b", "a"]), 3), (replies.strict(F.col("t"), F.lit("stop"), ["b"]), 1)):
+        plan = df.select(c.alias("c"))._jdf.queryExecution().analyzed().toString()
+        assert 1 <= plan.count("parse_json") <= most
