@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern.functions.replies import parsed
+from lectern.functions.text import let
 
 _WORDS = {"type", "required", "properties", "additionalProperties", "enum", "const", "minimum", "maximum", "minLength", "maxLength", "pattern", "items", "minItems", "maxItems"}
 _NOTES = {"$schema", "$id", "title", "description", "default", "examples"}
@@ -103,6 +104,9 @@ def _wrong(v: Column, schema: dict, place: str) -> list[tuple[Column, str]]:
 
 def violations(text: Column, schema: dict) -> Column:
     """What is wrong with a JSON text by a schema, in the schema's order; empty if it is valid. No JSON is one violation."""
-    v = parsed(text)
-    told = [F.when(F.coalesce(wrong, F.lit(False)), F.lit(what)) for wrong, what in _wrong(v, schema, "$")]
-    return F.when(v.isNull(), F.array(F.lit("no JSON"))).otherwise(F.array_compact(F.array(*told)) if told else F.array().cast("array<string>"))
+
+    def judged(v):
+        told = [F.when(F.coalesce(wrong, F.lit(False)), F.lit(what)) for wrong, what in _wrong(v, schema, "$")]
+        return F.when(v.isNull(), F.array(F.lit("no JSON"))).otherwise(F.array_compact(F.array(*told)) if told else F.array().cast("array<string>"))
+
+    return let(parsed(text), judged)
