@@ -110,8 +110,9 @@ def running(sizes: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-case words, then the character bigrams of each word."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+"), F.lit(0))
-    pairs = F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= 2), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substr(w, i, F.lit(2)))))
+    flat = F.lower(c)
+    words = F.regexp_extract_all(flat, F.lit(r"[a-z0-9]+"), F.lit(0))
+    pairs = F.regexp_extract_all(flat, F.lit(r"(?=([a-z0-9]{2}))"), F.lit(1))
     return F.concat(words, pairs)
 
 

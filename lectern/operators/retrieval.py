@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import Counter
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -166,8 +166,12 @@ def bm25_top(queries: DataFrame, docs: DataFrame, k: int, floor: float | None =
     times the mean over all of the corpus' terms, N counts all documents, and repeated words count as often.
     """
     told = queries.select("q", F.explode("words").alias("term")).groupBy("q", "term").agg(F.count("*").alias("n"))
-    counts = docs.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n_docs, total = docs.filter(F.size("words") > 0 if floor is None else F.lit(True)).agg(F.count("*"), F.sum(F.greatest(F.size("words"), F.lit(0)))).first()
+    # Words are made once: a row of no term counts a document and all of its words.
+    terms = F.concat(F.array(F.lit(None).cast("string")), F.array_compact(F.array_distinct("words")))
+    counted = docs.filter(F.size("words") > 0) if floor is None else docs.withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    counts = cut(counted.select(F.size("words").alias("size"), F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("size").alias("size")))
+    n_docs, total = counts.filter("term IS NULL").select("df", "size").first() or (0, 0)
+    counts = counts.filter("term IS NOT NULL").select("term", "df")
     n = F.lit(float(n_docs))
     if floor is None:
         weighed = told.join(counts, "term").withColumns({"idf": F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), "n": F.lit(1)})
@@ -184,23 +188,28 @@ def bm25_top(queries: DataFrame, docs: DataFrame, k: int, floor: float | None =
         place, column = {q: i for i, q in enumerate(names)}, {}
         for r in rows:
             column.setdefault(r["term"], len(column))
-        matrix = np.zeros((len(column), len(names)))
+        matrix, held_by = np.zeros((len(column), len(names))), np.zeros((len(column), len(names)), bool)
         for r in rows:
             matrix[column[r["term"]], place[r["q"]]] = r["w"]
-        held_by = matrix != 0
+            held_by[column[r["term"]], place[r["q"]]] = True
+        known = pa.array(list(column), pa.string())
 
         def score(part):
             out = np.full((part.num_rows, len(names)), -np.inf)
-            for i, words in enumerate(part.column(1).to_pylist()):
-                seen = Counter(map(column.get, words or ()))
-                seen.pop(None, None)
-                if not seen:
-                    continue
-                at, tf = np.array(list(seen)), np.array(list(seen.values()), dtype=float)
-                gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(words) / average))
-                out[i] = np.where(held_by[at].any(0), gain @ matrix[at], -np.inf)
+            words = part.column(1)
+            size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(len(size)), size)
+            term = pc.fill_null(pc.index_in(words.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+            own = term >= 0
+            cell, tf = np.unique(of[own] * len(column) + term[own], return_counts=True)
+            row, at = np.divmod(cell, max(len(column), 1))
+            gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / average))
+            ends = np.searchsorted(row, np.arange(len(size) + 1))
+            for i in np.flatnonzero(np.diff(ends)):
+                own = slice(ends[i], ends[i + 1])
+                out[i] = gain[own] @ matrix[at[own]]
+                out[i, ~held_by[at[own]].any(0)] = -np.inf
             return out
-
         return np.array(names, dtype=np.int64), score
 
     return _best(held, max(1, -(-n_terms * n_queries // most_cells)), (docs if among is None else docs.join(among, "id", "left_semi")).select("id", "words"), k, scorer)

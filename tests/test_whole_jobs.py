@@ -49,3 +49,9 @@ def test_blocks_hold_every_row_once(spark):
     rows = spark.range(1000)
     parts = [{r["id"] for r in b.collect()} for b in retrieval.blocks(rows, 300)]
     assert len(parts) == 4 and sum(map(len, parts)) == 1000 and set().union(*parts) == set(range(1000))
+
+
+def test_terms_without_weight_find_documents(spark):
+    """A term that half of the documents hold weighs nothing, but who holds it is found."""
+    asked, held = (spark.createDataFrame(rows, f"{k} long, words array<string>") for k, rows in (("q", [(1, ["a"])]), ("id", [(1, ["a", None]), (2, ["b"])])))
+    assert [tuple(r) for r in retrieval.bm25_top(asked, held, 5, retrieval.FLOOR).collect()] == [(1, 1, 0.0, 1)]
