@@ -128,7 +128,7 @@ _COVER = "SELECT doc_id, unnest(range(0, length(text), 100)) AS lo FROM document
 def passage_coverage(spark, d):
     """Characters in no passage; passages overlap, and each hundred characters leave ten out."""
     docs = table(spark, d, "documents").filter("text IS NOT NULL")
-    lo = docs.select(F.col("doc_id").alias("id"), F.length("text").alias("size"), F.explode(F.filter(F.sequence(F.lit(0), F.length("text"), F.lit(100)), lambda x: x < F.length("text"))).alias("lo"))
+    lo = docs.select(F.col("doc_id").alias("id"), F.length("text").alias("size"), F.explode(tx.let(F.length("text"), lambda n: F.filter(F.sequence(F.lit(0), n, F.lit(100)), lambda x: x < n))).alias("lo"))
     spans = lo.select("id", F.explode(F.array(*(F.struct((F.col("lo") + a).cast("long").alias("start"), F.least(F.col("lo") + b, F.col("size")).cast("long").alias("stop")) for a, b in ((0, 50), (30, 90))))).alias("s"))
     return chunks.uncovered(docs.select(F.col("doc_id").alias("id"), "text"), spans.select("id", "s.start", "s.stop")).withColumnRenamed("id", "doc_id")
 

@@ -86,3 +86,19 @@ def test_folds_walk_each_key_in_order(spark):
     step = lambda s, r: ({"n": (s or {"n": 0})["n"] + 1, "last": r["at"], "ok": s is None or (s["ok"] and r["at"] > s["last"])}, [])
     got = fold(rows, "k", ["at"], step, "k long, n long, ok boolean", lambda k, s: [(k, s["n"], s["ok"])]).collect()
     assert sorted(r["k"] for r in got) == list(range(7)) and sum(r["n"] for r in got) == 5000 and all(r["ok"] for r in got)
+
+
+def test_gaps_of_a_long_text_take_linear_time(spark):
+    """Each place is looked for near by, not from the begin of its text."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from lectern.operators import chunks
+
+    n = 1_000_000
+    texts = spark.range(1).select(F.lit("a").alias("id"), F.repeat(F.lit("é b\n"), n // 4).alias("text"))
+    spans = spark.range(n // 50).select(F.lit("a").alias("id"), (F.col("id") * 50).alias("start"), (F.col("id") * 50 + 45).alias("stop"))
+    begin = time.time()
+    assert [tuple(r) for r in chunks.uncovered(texts, spans).collect()] == [("a", n // 2, sum(1 for i in range(n) if i % 50 >= 45 and i % 4 in (0, 2)))]
+    assert time.time() - begin < 15
