@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
+from lectern.functions import terms
 from lectern.functions.text import collapse
 from lectern.session import cut
 
@@ -158,18 +159,56 @@ def dense_top_distinct(queries: DataFrame, passages: DataFrame, kind: str, k: in
     return top_k(keep_first(found, "__kind"), k).drop("__kind")
 
 
-def bm25_top(queries: DataFrame, docs: DataFrame, k: int, floor: float | None = None, k1: float = K1, b: float = B, most_cells: int = MOST_CELLS, among: DataFrame | None = None) -> DataFrame:
-    """The k best documents (id, words: array) for every query (q, words), by BM25; `among`: ids that may win. Exact.
+#: Kinds of terms that a task gathers before it tells them.
+MOST_KINDS = 500_000
+#: Ids that are told to every task at most; more are joined.
+MOST_IDS = 1_000_000
+
+
+def _held_by(docs: DataFrame, pairs: bool, blank: bool) -> DataFrame:
+    """(term, df, size): how many documents (id, terms) hold each term; a row of no term counts documents and all of their
+    terms. Without `blank` documents of no term do not count. A task adds up its own before they move."""
+
+    def run(batches):
+        gathered, held = [], 0
+
+        def told() -> pa.Table:
+            return pa.concat_tables(gathered).group_by("term", use_threads=False).aggregate([("df", "sum"), ("size", "sum")]).rename_columns(["term", "df", "size"])
+
+        for batch in batches:
+            for c in terms.counted(batch.column(1), pairs):
+                df = np.bincount(c.term, minlength=len(c.known))
+                own = np.flatnonzero(df)
+                names = pa.concat_arrays([c.known.take(pa.array(own)), pa.nulls(1, pa.string())])
+                df = np.append(df[own], len(c.size) if blank else np.count_nonzero(c.size))
+                gathered.append(pa.table({"term": names, "df": df, "size": np.append(np.zeros(len(own), np.int64), c.size.sum())}))
+                held += len(names)
+            if held >= MOST_KINDS:
+                gathered = [told()]
+                held = len(gathered[0])
+                if held >= MOST_KINDS // 2:
+                    yield from gathered[0].to_batches()
+                    gathered, held = [], 0
+        if gathered:
+            yield from told().to_batches()
+
+    found = docs.mapInArrow(run, "term string, df long, size long")
+    return found.groupBy("term").agg(F.sum("df").alias("df"), F.sum("size").alias("size"))
+
+
+def bm25_top(queries: DataFrame, docs: DataFrame, k: int, floor: float | None = None, k1: float = K1, b: float = B, most_cells: int = MOST_CELLS, among: DataFrame | None = None, pairs: bool = False) -> DataFrame:
+    """The k best documents for every query (q, words: array), by BM25; `among`: ids that may win. Exact.
+
+    Documents are (id, words: array) or (id, text); terms of a text are made within the tasks: its lower-case words, with
+    `pairs` their character bigrams, too. Neither texts nor their terms move, but where more ids than can be told may win.
 
     Without `floor` a term's weight is log((N - n + 0.5) / (n + 0.5) + 1), N counts documents with words, and a query's
     repeated words count once. With it the weight is log((N - n + 0.5) / (n + 0.5)), negative ones give way to `floor`
     times the mean over all of the corpus' terms, N counts all documents, and repeated words count as often.
     """
     told = queries.select("q", F.explode("words").alias("term")).groupBy("q", "term").agg(F.count("*").alias("n"))
-    # Words are made once: a row of no term counts a document and all of its words.
-    terms = F.concat(F.array(F.lit(None).cast("string")), F.array_compact(F.array_distinct("words")))
-    counted = docs.filter(F.size("words") > 0) if floor is None else docs.withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
-    counts = cut(counted.select(F.size("words").alias("size"), F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("size").alias("size")))
+    docs = docs.select("id", F.lower("text").alias("text") if "text" in docs.columns else "words")
+    counts = cut(_held_by(docs, pairs, floor is not None))
     n_docs, total = counts.filter("term IS NULL").select("df", "size").first() or (0, 0)
     counts = counts.filter("term IS NOT NULL").select("term", "df")
     n = F.lit(float(n_docs))
@@ -188,31 +227,33 @@ def bm25_top(queries: DataFrame, docs: DataFrame, k: int, floor: float | None =
         place, column = {q: i for i, q in enumerate(names)}, {}
         for r in rows:
             column.setdefault(r["term"], len(column))
-        matrix, held_by = np.zeros((len(column), len(names))), np.zeros((len(column), len(names)), bool)
+        matrix, held_by = np.zeros((len(column), len(names))), np.zeros((len(column), len(names)), np.float32)
         for r in rows:
             matrix[column[r["term"]], place[r["q"]]] = r["w"]
-            held_by[column[r["term"]], place[r["q"]]] = True
+            held_by[column[r["term"]], place[r["q"]]] = 1
         known = pa.array(list(column), pa.string())
+        positive = all(r["w"] > 0 for r in rows)  # then a score is positive where any term is shared
 
         def score(part):
             out = np.full((part.num_rows, len(names)), -np.inf)
-            words = part.column(1)
-            size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
-            of = np.repeat(np.arange(len(size)), size)
-            term = pc.fill_null(pc.index_in(words.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
-            own = term >= 0
-            cell, tf = np.unique(of[own] * len(column) + term[own], return_counts=True)
-            row, at = np.divmod(cell, max(len(column), 1))
-            gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / average))
-            ends = np.searchsorted(row, np.arange(len(size) + 1))
-            for i in np.flatnonzero(np.diff(ends)):
-                own = slice(ends[i], ends[i + 1])
-                out[i] = gain[own] @ matrix[at[own]]
-                out[i, ~held_by[at[own]].any(0)] = -np.inf
+            for c in terms.counted(part.column(1), pairs):
+                at = pc.fill_null(pc.index_in(c.known, value_set=known), -1).to_numpy(zero_copy_only=False)[c.term]
+                own = at >= 0
+                of, at, tf = c.of[own], at[own], c.times[own]
+                used, at = np.unique(at, return_inverse=True)
+                gain = np.zeros((len(c.size), len(used)))
+                gain[of, at] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * c.size[of] / average))
+                scores = gain @ matrix[used]
+                found = scores > 0 if positive else (gain > 0).astype(np.float32) @ held_by[used] > 0
+                out[c.first : c.first + len(c.size)] = np.where(found, scores, -np.inf)
             return out
+
         return np.array(names, dtype=np.int64), score
 
-    return _best(held, max(1, -(-n_terms * n_queries // most_cells)), (docs if among is None else docs.join(among, "id", "left_semi")).select("id", "words"), k, scorer)
+    if among is not None:
+        among = cut(among.select("id"))
+        docs = docs.join(F.broadcast(among) if among.count() <= MOST_IDS else among, "id", "left_semi")
+    return _best(held, max(1, -(-n_terms * n_queries // most_cells)), docs, k, scorer)
 
 
 MOST_ROWS = 100_000
