@@ -274,13 +274,28 @@ def _keyed(full: DataFrame, percent: int) -> DataFrame:
     return listed.select("node", "n", "alone", "keys", group.alias("grp"))
 
 
+def _own_list() -> Column:
+    """The name of the list of a group's own classes."""
+    return F.xxhash64("grp", F.lit("group"))
+
+
+def _names(keyed: DataFrame) -> DataFrame:
+    """node and names: all keys under which a class can be listed, in the one order of all keys, its group's own list first."""
+    return keyed.select("node", F.concat(F.array(_own_list()), "keys").alias("names"))
+
+
+def _first_shared(key: Column) -> Column:
+    """Of all keys that two classes of names `own` and `others` share, `key` is the first."""
+    return F.get(F.array_intersect("own", "others"), 0) == key
+
+
 def _lists(keyed: DataFrame) -> DataFrame:
     """Inverted lists (key, node, n, pos) of the keys that several groups hold, and of every group of several classes."""
     groups = keyed.groupBy("grp").agg(F.min("n").alias("n"), F.min("alone").alias("alone"), F.min_by("keys", "node").alias("keys"), F.count("*").alias("m"))
     entries = groups.select("grp", "n", "alone", F.posexplode("keys").alias("at", "key")).select("key", "grp", "n", (F.col("alone") + F.col("at")).alias("pos"))
     several = entries.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo != hi").select("key")
     # Classes of one group meet under the group's own name as well, in case no other group shares its keys.
-    own = groups.filter("m > 1").select(F.xxhash64("grp", F.lit("group")).alias("key"), "grp", "n", F.lit(0).alias("pos"))
+    own = groups.filter("m > 1").select(_own_list().alias("key"), "grp", "n", F.lit(0).alias("pos"))
     return entries.join(several, "key").unionByName(own).join(keyed.select("grp", "node"), "grp").select("key", "node", "n", "pos")
 
 
@@ -324,7 +339,7 @@ def _settled(pairs: DataFrame, member: DataFrame | None, most: int, sets: DataFr
 
 
 def _linked(lists: DataFrame, n_nodes: int, sets: DataFrame, signs: DataFrame, percent: int, star_rounds: int) -> DataFrame | None:
-    """(node, component) of every class with a link; None where there is no link. sets: node, hashes; signs: node, n, sign."""
+    """(node, component) of every class with a link; None where there is no link. sets: node, hashes; signs: node, n, sign, names."""
     # Of a linked pair the first shared key stands so early in both that enough is left behind it to share. That one key
     # is enough to find the pair; where it stands late, a pair cannot be linked and is not made.
     need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
@@ -356,11 +371,13 @@ def _linked(lists: DataFrame, n_nodes: int, sets: DataFrame, signs: DataFrame, p
         now = cut(few(now.join(mixed.drop("lo", "hi"), "key"), n, 20_000))
         if last:
             blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-            signed = now.select("key", "node", "n", "pos", "c", "size").join(signs.select("node", "sign"), "node").withColumn("blocks", blocks)
-            one = signed.select("key", "node", "n", "pos", "c", F.col("n").alias("na"), F.col("sign").alias("sa"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-            two = signed.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("opos"), F.col("c").alias("oc"), F.col("n").alias("nb"), F.col("sign").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+            signed = now.select("key", "node", "n", "pos", "c", "size").join(signs.select("node", "sign", "names"), "node").withColumn("blocks", blocks)
+            one = signed.select("key", "node", "n", "pos", "c", F.col("n").alias("na"), F.col("sign").alias("sa"), F.col("names").alias("own"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+            two = signed.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("opos"), F.col("c").alias("oc"), F.col("n").alias("nb"), F.col("sign").alias("sb"), F.col("names").alias("others"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
             one, two = one.alias("one"), two.alias("two")
-            on = (F.col("one.key") == F.col("two.key")) & (F.col("one.block") == F.col("two.block")) & (F.col("node") < F.col("other")) & fits & _allowed(percent)
+            # Of all lists that hold a pair only that of its first shared key makes it. Where one of them has left that list as
+            # its centre, or the list has gone, they have been compared, or hang together.
+            on = (F.col("one.key") == F.col("two.key")) & (F.col("one.block") == F.col("two.block")) & (F.col("node") < F.col("other")) & fits & _allowed(percent) & _first_shared(F.col("one.key"))
             pairs = one.join(two, on)
         else:
             pairs = now.filter((F.col("node") != F.col("other")) & fits)
@@ -408,7 +425,8 @@ def join(
     keyed = cut(_keyed(full, percent))
     n_keyed = keyed.count()
     kept = full.join(F.broadcast(keyed.select("node")) if n_keyed <= BROADCAST_IDS else keyed.select("node"), "node", "left_semi")
-    member = _linked(cut(_lists(keyed)), n_keyed, kept.select("node", "hashes"), cut(kept.select("node", "n", "sign")), percent, star_rounds)
+    signs = cut(kept.select("node", "n", "sign").join(_names(keyed), "node"))
+    member = _linked(cut(_lists(keyed)), n_keyed, kept.select("node", "hashes"), signs, percent, star_rounds)
     if member is None:
         named = classes.select("print", F.col("id").alias("component_id"))
     else:
