@@ -208,15 +208,18 @@ def bm25_top(queries: DataFrame, docs: DataFrame, k: int, floor: float | None =
     """
     told = queries.select("q", F.explode("words").alias("term")).groupBy("q", "term").agg(F.count("*").alias("n"))
     docs = docs.select("id", F.lower("text").alias("text") if "text" in docs.columns else "words")
-    counts = cut(_held_by(docs, pairs, floor is not None))
-    n_docs, total = counts.filter("term IS NULL").select("df", "size").first() or (0, 0)
-    counts = counts.filter("term IS NOT NULL").select("term", "df")
+    # Only terms of queries are kept by name; of others it is enough how many there are of each `df`.
+    named = told.select("term").distinct().withColumn("asked", F.col("term"))
+    counts = _held_by(docs, pairs, floor is not None).join(named, "term", "left")
+    counts = cut(counts.groupBy(F.col("term").isNull().alias("all"), F.col("asked").alias("term"), "df").agg(F.count("*").alias("kinds"), F.sum("size").alias("size")))
+    n_docs, total = counts.filter("all").select("df", "size").first() or (0, 0)
+    counts = counts.filter("NOT all")
     n = F.lit(float(n_docs))
     if floor is None:
         weighed = told.join(counts, "term").withColumns({"idf": F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), "n": F.lit(1)})
     else:
         raw = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        mean = counts.agg(F.avg(raw)).first()[0] or 0.0
+        mean = counts.agg(F.sum(raw * F.col("kinds")) / F.sum("kinds")).first()[0] or 0.0
         weighed = told.join(counts, "term").withColumn("idf", F.when(raw < 0, F.lit(floor * mean)).otherwise(raw))
     held = cut(weighed.select("q", "term", (F.col("idf") * F.col("n")).alias("w")))
     n_terms, n_queries = held.agg(F.count_distinct("term"), F.count_distinct("q")).first()

@@ -1,5 +1,6 @@
 """Terms counted in Arrow beside plain Python, and BM25 over texts beside BM25 over arrays of words."""
 
+import math
 import re
 from collections import Counter
 
@@ -53,3 +54,24 @@ def test_texts_rank_as_their_words(spark, monkeypatch, floor, most):
     by_words = retrieval.bm25_top(*words, 3, floor, among=some).collect()
     by_text = retrieval.bm25_top(words[0], held, 3, floor, among=some, pairs=True).collect()
     assert sorted(by_text) == sorted(by_words) and len({r["q"] for r in by_text}) == 3 and 8 not in {r["id"] for r in by_text}
+
+
+@pytest.mark.parametrize("floor", [None, retrieval.FLOOR])
+def test_terms_that_nobody_asks_for_are_not_kept(spark, monkeypatch, floor):
+    """Their number grows with the corpus; weights need only how many there are of each count of documents."""
+    kept, cut = [], retrieval.cut
+
+    def counting(df):
+        kept.append(cut(df))
+        return kept[-1]
+
+    monkeypatch.setattr(retrieval, "cut", counting)
+    held = spark.range(400).select("id", F.concat(F.lit("all ab "), F.concat_ws(" ", *(F.concat(F.lit(f"z{k}y"), F.col("id").cast("string")) for k in range(5)))).alias("text"))
+    asked = spark.createDataFrame([(1, ["ab", "z3y7"]), (2, ["none", None])], "q long, words array<string>")
+    best = sorted(retrieval.bm25_top(asked, held, 2, floor).collect(), key=lambda r: r["place"])
+    assert sum(df.count() for df in kept) < 10 and [(r["q"], r["id"]) for r in best] == [(1, 7), (1, 0)]
+    n, df, ln = 400, {"ab": 400, "z3y7": 1}, math.log
+    raw = {t: ln(n - x + 0.5) - ln(x + 0.5) for t, x in df.items()}
+    mean = (2 * raw["ab"] + 2000 * raw["z3y7"]) / 2002
+    w = {t: ln((n - x + 0.5) / (x + 0.5) + 1) if floor is None else raw[t] if raw[t] >= 0 else floor * mean for t, x in df.items()}
+    assert [r["score"] for r in best] == [round(w["ab"] + w["z3y7"], 6), round(w["ab"], 6)]
