@@ -173,14 +173,26 @@ def first_stray(clean: pa.Array, source: pa.Array) -> pa.Array:
 #: Characters whose places are gathered at once, of one text at least.
 PLACES = 1 << 20
 _MAPPED = pa.struct([("text", pa.string()), ("at", pa.list_(pa.int32()))])
-_GAPS = np.zeros(ord(max(WHITE)) + 2, dtype=bool)
-_GAPS[[ord(c) for c in WHITE]] = True
+#: White space as RE2, and so SQL, has it in `\s`.
+PLAIN = "\t\n\f\r "
 
 
-def _mapped(t: str) -> tuple[str, np.ndarray]:
-    """A collapsed text, and where each of its characters stands in the text; a space stands for the last of its run."""
+def _gaps(white: str) -> np.ndarray:
+    """Whether a code point is one of `white`; the last entry stands for all beyond."""
+    table = np.zeros(ord(max(white)) + 2, dtype=bool)
+    table[[ord(c) for c in white]] = True
+    return table
+
+
+def _codes(t: str, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's code points, and whether each is a gap."""
     codes = np.frombuffer(t.encode("utf-32-le"), "<u4")
-    gap = _GAPS[np.minimum(codes, len(_GAPS) - 1)]
+    return codes, gaps[np.minimum(codes, len(gaps) - 1)]
+
+
+def _mapped(t: str, gaps: np.ndarray) -> tuple[str, np.ndarray]:
+    """A collapsed text, and where each of its characters stands in the text; a space stands for the last of its run."""
+    codes, gap = _codes(t, gaps)
     kept = ~gap
     kept[:-1] |= gap[:-1] & ~gap[1:]
     if len(t):
@@ -189,26 +201,73 @@ def _mapped(t: str) -> tuple[str, np.ndarray]:
     return np.where(gap[at], np.uint32(32), codes[at]).astype("<u4").tobytes().decode("utf-32-le"), at
 
 
-@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
-def collapse_with_map(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Collapsed text, and the original offset of each of its characters. A few texts at a time are in memory."""
+def _collapsing(white: str):
+    gaps = _gaps(white)
+
+    @F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        """Collapsed text, and the original offset of each of its characters. A few texts at a time are in memory."""
+
+        def told(texts: list, places: list) -> pa.Array:
+            ends = pa.array(np.cumsum([0, *map(len, places)]), pa.int32())
+            return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(places)))], fields=list(_MAPPED))
+
+        for batch in batches:
+            texts, places, gathered = [], [], 0
+            for x in batch:
+                text, at = _mapped(x.as_py() or "", gaps)
+                texts.append(text)
+                places.append(at)
+                gathered += len(at)
+                if gathered >= PLACES:
+                    yield told(texts, places)
+                    texts, places, gathered = [], [], 0
+            if texts:
+                yield told(texts, places)
 
-    def told(texts: list, places: list) -> pa.Array:
-        ends = pa.array(np.cumsum([0, *map(len, places)]), pa.int32())
-        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(places)))], fields=list(_MAPPED))
+    return run
 
-    for batch in batches:
-        texts, places, gathered = [], [], 0
-        for x in batch:
-            text, at = _mapped(x.as_py() or "")
-            texts.append(text)
-            places.append(at)
-            gathered += len(at)
-            if gathered >= PLACES:
-                yield told(texts, places)
-                texts, places, gathered = [], [], 0
-        if texts:
-            yield told(texts, places)
+
+collapse_with_map = _collapsing(WHITE)
+#: The same for `PLAIN` white space.
+collapse_plain_with_map = _collapsing(PLAIN)
+
+#: Places in one bitmap; Spark's aggregates of bitmaps have as many.
+BITS = 1 << 15
+_PIECE = T.StructType([T.StructField(k, t) for k, t in (("piece", T.IntegerType()), ("first", T.LongType()), ("n", T.LongType()), ("offsets", T.LongType()), ("gaps", T.BinaryType()), ("nexts", T.BinaryType()))])
+
+
+def _pieces(t: str, gaps: np.ndarray) -> Iterator[dict]:
+    gap = _codes(t, gaps)[1] if t else np.zeros(1, dtype=bool)
+    follows = np.append(~gap[1:], False)
+    for k in range(0, len(gap), BITS):
+        own = np.flatnonzero(~gap[k : k + BITS]) + k
+        bits = {name: np.packbits(x[k : k + BITS]).tobytes() for name, x in (("gaps", gap), ("nexts", follows))}
+        yield {"piece": k // BITS, "first": int(own[0]) if len(own) else None, "n": len(own), "offsets": int(own.sum()), **bits}
+
+
+@F.arrow_udf(T.ArrayType(_PIECE))
+def plain_pieces(text: pa.Array) -> pa.Array:
+    """A text's places in pieces of `BITS`: the first of a character other than `PLAIN` white space, how many such there are and the sum
+    of their places, and as bitmaps which places are white space and which have another character next. An empty text is one
+    character, as in SQL."""
+    gaps = _gaps(PLAIN)
+    kind = pa.list_(pa.struct([("piece", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("offsets", pa.int64()), ("gaps", pa.binary()), ("nexts", pa.binary())]))
+    return pa.array([None if x is None else list(_pieces(x, gaps)) for x in (v.as_py() for v in text)], kind)
+
+
+@F.arrow_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("offsets", T.LongType())]))
+def gap_ends(gaps: pa.Array, nexts: pa.Array, piece: pa.Array, first: pa.Array) -> pa.Array:
+    """How many places behind `first` are set in both bitmaps of a piece, and their sum."""
+
+    def one(g, x, k, f):
+        both = np.frombuffer(g, np.uint8) & np.frombuffer(x, np.uint8)
+        at = np.flatnonzero(np.unpackbits(both)) + k * BITS
+        at = at[at > f]
+        return {"n": len(at), "offsets": int(at.sum())}
+
+    rows = (tuple(v.as_py() for v in row) for row in zip(gaps, nexts, piece, first, strict=True))
+    return pa.array([one(*row) for row in rows], pa.struct([("n", pa.int64()), ("offsets", pa.int64())]))
 
 
 # What a clean-up of statutes deletes.

@@ -1,6 +1,10 @@
 """Queries that look at all of their input, on small tables made for it."""
 
+import random
+from collections import defaultdict
+
 import pytest
+from compare import differ
 
 from lectern.operators import retrieval
 from lectern.plans import registry
@@ -55,3 +59,40 @@ def test_terms_without_weight_find_documents(spark):
     """A term that half of the documents hold weighs nothing, but who holds it is found."""
     asked, held = (spark.createDataFrame(rows, f"{k} long, words array<string>") for k, rows in (("q", [(1, ["a"])]), ("id", [(1, ["a", None]), (2, ["b"])])))
     assert [tuple(r) for r in retrieval.bm25_top(asked, held, 5, retrieval.FLOOR).collect()] == [(1, 1, 0.0, 1)]
+
+
+ODD = "ab  \n\t\r\f\v\x1c\x85\xa0\u3000é\U0001f600"
+TEXTS = [None, "", " ", " \n", "a", " a", "a ", "a  b", "a\v\vb", "a\xa0 \xa0b", "\u3000a\x1c\x1cb\x85", "\x00  \x00", *("a" * n + " " * m + "b" for n, m in ((0, 32768), (1, 32767), (32767, 2)))]
+
+
+def mapped(spark, tmp_path, pairs):
+    spark.createDataFrame([(i, t, "en", "web", 1) for i, t in pairs], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    return registry.queries()["whitespace_map"]
+
+
+@pytest.mark.parametrize("times", [1, 3])
+def test_whitespace_map_of_odd_texts(spark, tmp_path, times):
+    """White space as in the SQL, no row without characters, and copies that share an id."""
+    rng = random.Random(4)
+    texts = TEXTS + ["".join(rng.choices(ODD, k=rng.randrange(60))) for _ in range(200)]
+    query = mapped(spark, tmp_path, [(i or None, t) for i, t in enumerate(texts)] * times)
+    assert differ(query, registry.oracles()["whitespace_map"], spark, str(tmp_path)) is None
+
+
+@pytest.mark.parametrize("most", [retrieval.MOST_IDS, 0])
+def test_whitespace_map_of_texts_that_share_an_id(spark, tmp_path, monkeypatch, most):
+    """The SQL leaves open which of several texts' characters of one place comes first; here white space is behind the others."""
+    monkeypatch.setattr(retrieval, "MOST_IDS", most)
+    rng = random.Random(5)
+    pairs = [(rng.randrange(90) or None, "".join(rng.choices(ODD, k=rng.randrange(60)))) for _ in range(200)] + [(rng.choice([None, 1, 100, 101]), t) for t in TEXTS * 2]
+    want, places = {}, defaultdict(list)
+    for k, t in pairs:
+        places[k] += [(i, c in {*" \t\n\r\f"}) for i, c in enumerate(t or "")] or [(0, False)] * (t == "")
+    for k, held in places.items():
+        held.sort()
+        first = min((i for i, gap in held if not gap), default=None)
+        kept = [i for (i, gap), (_, after) in zip(held, [*held[1:], (0, True)], strict=True) if not gap or (first is not None and i > first and not after)]
+        if kept:
+            want[k] = (len(kept), sum(kept))
+    got = mapped(spark, tmp_path, pairs)(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["n"], r["offsets"]) for r in got} == want and len(got) == len(want)
